@@ -2,22 +2,90 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+1. toxicity: documents that the ordinal regression rejects go.
+2. lines: repeated and nearly repeated lines go; a document that loses all of its text goes with them.
+3. near_duplicates: one document, the smallest doc_id, stays of each group that SimHash links.
+4. mix: documents are repeated, cut or left out so that the sources' words meet their target weights.
+5. tokens: every text becomes token ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from folioforge.llm import bpe, line_dedup, mixing, simhash, toxicity
 from folioforge.llm.common import stored, table
 
-STAGES = []
+#: Words in a shingle of the near-duplicate stage, and bits by which linked fingerprints may differ.
+SHINGLE_WORDS, BITS = 5, 3
+
+#: Words with the white space after them.
+WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of any severity stays below the rejection threshold, unchanged."""
+    model = toxicity.learn(docs, toxicity.grades(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, carry={c: docs[c] for c in docs.columns})
+    return scored.where(F.col("chance") < toxicity.REJECT).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that stay; n_chars follows the text."""
+    return line_dedup.dedup_text(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component. Documents without identifier stay."""
+    found = simhash.near_duplicates(docs, words=SHINGLE_WORDS, bits=BITS)
+    stay = found.where("id = component_id").select(F.col("id").alias("stays")).distinct()
+    return docs.join(stay, docs["doc_id"] == F.col("stays"), "left").where("stays is not null or doc_id is null").select(*[docs[c] for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole copies of a document, then its first words for what is left of its share; the text of no words stays once."""
+    shares = mixing.mix(docs).select(F.col("id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size"), "taken")
+    shares = shares.groupBy("mixed_id", "mixed_source", "mixed_size").agg(F.collect_list("taken").alias("shares"))
+    # Rows equal in identifier, source and size have a share each; which of them gets which makes no difference.
+    same = Window.partitionBy("doc_id", "source", "mixed_size").orderBy("doc_id")
+    sized = docs.withColumn("mixed_size", mixing.word_count(F.col("text")))
+    numbered = sized.withColumn("mixed_place", F.row_number().over(same))
+    on = numbered["doc_id"].eqNullSafe(F.col("mixed_id")) & numbered["source"].eqNullSafe(F.col("mixed_source")) & (numbered["mixed_size"] == shares["mixed_size"])
+    joined = numbered.join(shares.withColumnRenamed("mixed_size", "shares_size"), numbered["doc_id"].eqNullSafe(F.col("mixed_id")) & numbered["source"].eqNullSafe(F.col("mixed_source")) & (numbered["mixed_size"] == F.col("shares_size")))
+    del on
+    taken = joined.withColumn("taken", F.col("shares")[F.col("mixed_place") - 1])
+    whole, rest = F.when(F.col("mixed_size") > 0, F.floor(F.col("taken") / F.col("mixed_size"))).otherwise(1), F.when(F.col("mixed_size") > 0, F.col("taken") % F.col("mixed_size")).otherwise(0)
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), rest.cast("int"))
+    pieces = F.concat(F.array_repeat(F.col("text"), whole.cast("int")), F.when(rest > 0, F.array(F.rtrim(F.array_join(words, "")))).otherwise(F.array().cast("array<string>")))
+    out = taken.withColumn("piece", F.explode(pieces))
+    return out.select(*[F.col("piece").alias("text") if c == "text" else F.length("piece").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row for each piece of the mix."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bpe.encode_documents(docs, path, public_tokenizers.PATTERN, digests=True)
+    return done.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("tokens", tokenize),
+]
 
 #: Learned models and hash functions are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stored in the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
