@@ -29,12 +29,14 @@ from folioforge.llm.common import stored, table, whole
 
 #: Lines of fewer characters always stay.
 MIN_CHARS = 16
+#: What a line that is not blank holds.
+SOMETHING = r"[^\x20\x09-\x0D]"
 #: Blocks of a line; one edit falls into one of them.
 BLOCKS = 4
 
 
 def _eligible(line: Column, min_chars: int) -> Column:
-    return (F.char_length(line) >= min_chars) & (F.trim(line) != "")
+    return (F.char_length(line) >= min_chars) & line.rlike(SOMETHING)
 
 
 def _rests(line: Column) -> Column:
@@ -130,7 +132,7 @@ def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[id_col], text) == F.col("__doc")), "left")
     held = F.array(F.struct(F.split(text, "\n", -1).alias("x"), F.col("__kept").alias("k")))
     built = F.transform(held, lambda s: F.array_join(F.transform(_places(s["x"], s["k"], min_chars), lambda i: s["x"][i]), "\n"))[0]
-    out = joined.withColumn("__text", F.when(docs[text_col].isNotNull(), built)).where((F.trim(text) == "") | (F.trim(F.regexp_replace("__text", r"\s+", "")) != ""))
+    out = joined.withColumn("__text", F.when(docs[text_col].isNotNull(), built)).where(~text.rlike(SOMETHING) | F.col("__text").rlike(SOMETHING))
     return out.select(*[F.col("__text").alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
@@ -139,10 +141,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 
-SQL = """
+SQL = r"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM x)),
-e AS (SELECT *, length(line) >= 16 AND trim(line, ' ') <> '' AS ok FROM l),
+e AS (SELECT *, length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]') AS ok FROM l),
 f AS (SELECT line, doc_id, pos, length(line) AS n FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM e WHERE ok) WHERE k = 1),
 p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
       UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n AND right(a.line, a.n // 2) = right(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
