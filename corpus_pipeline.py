@@ -28,7 +28,7 @@ WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of any severity stays below the rejection threshold, unchanged."""
-    model = toxicity.learn(docs, toxicity.grades(table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model, carry={c: docs[c] for c in docs.columns})
     return scored.where(F.col("chance") < toxicity.REJECT).select(*docs.columns)
 
@@ -53,9 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", "mixed_size").orderBy("doc_id")
     sized = docs.withColumn("mixed_size", mixing.word_count(F.col("text")))
     numbered = sized.withColumn("mixed_place", F.row_number().over(same))
-    on = numbered["doc_id"].eqNullSafe(F.col("mixed_id")) & numbered["source"].eqNullSafe(F.col("mixed_source")) & (numbered["mixed_size"] == shares["mixed_size"])
-    joined = numbered.join(shares.withColumnRenamed("mixed_size", "shares_size"), numbered["doc_id"].eqNullSafe(F.col("mixed_id")) & numbered["source"].eqNullSafe(F.col("mixed_source")) & (numbered["mixed_size"] == F.col("shares_size")))
-    del on
+    shares = shares.withColumnRenamed("mixed_size", "shared_size")
+    joined = numbered.join(shares, numbered["doc_id"].eqNullSafe(F.col("mixed_id")) & numbered["source"].eqNullSafe(F.col("mixed_source")) & (F.col("mixed_size") == F.col("shared_size")))
     taken = joined.withColumn("taken", F.col("shares")[F.col("mixed_place") - 1])
     whole, rest = F.when(F.col("mixed_size") > 0, F.floor(F.col("taken") / F.col("mixed_size"))).otherwise(1), F.when(F.col("mixed_size") > 0, F.col("taken") % F.col("mixed_size")).otherwise(0)
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0)), F.lit(1), rest.cast("int"))

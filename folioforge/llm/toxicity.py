@@ -4,13 +4,16 @@ P(grade <= k) = sigmoid(theta_k - w * x): one weight a word, shared by all thres
 prediction is the expected severity, the sum over k of P(grade >= k). Features say which words (runs of letters, lower
 case) a text holds; those are used whose presence goes with toxic labels, or against them, beyond chance.
 
+Labels say toxic or not; a toxic document's grade grows with the number of different toxic words in it (STEPS), so
+severity means how much of a document's wording is of that kind.
+
 The model is fitted on a bounded sample of labelled rows (SAMPLE, the smallest hashes of their identifiers); counting
 and choosing words are Spark aggregations over that sample, and at most FEATURES weights reach the executors. Every
 document is scored over its whole text.
 
-Defined results: a null or empty text has no features. Without labels of at least two grades nothing is learned, all
-severities are 0 and nothing is toxic. Labels that are null are left out; a document labelled twice counts with its highest
-grade. Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored, whatever
+Defined results: a null or empty text has no features. Without both toxic and other labels nothing is learned, all
+severities are 0 and nothing is toxic. Labels that are null are left out; a document labelled twice is toxic if one label
+says so. Repeated rows give repeated results. An empty table gives an empty result. Other columns are ignored, whatever
 their names.
 """
 
@@ -38,7 +41,9 @@ LEAST_DOCS, LEAST_PART = 3, 0.0005
 #: A document is rejected from this probability of any severity on.
 REJECT = 0.5
 #: Weight of the squared weights in the loss of the whole sample.
-RIDGE = 0.5
+RIDGE = 0.05
+#: Different toxic words from which a toxic document's grade is 2, and 3.
+STEPS = (3, 6)
 
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -91,34 +96,37 @@ def fit(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 6
     return p[:features], np.cumsum(np.concatenate([p[features : features + 1], np.exp(p[features + 1 :])]))
 
 
-def learn(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel:
-    """graded: id, grade (0 and up). Fits on the labelled documents of the sample."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel:
+    """labels: id, toxic (0 or 1). Fits on the labelled documents of the sample."""
     spark = docs.sparkSession
-    chosen = graded.where("id is not null and grade is not null").groupBy("id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(words_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["grade", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
 
     texts = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
-    labelled = texts.join(F.broadcast(stored(chosen, "toxicity-sample")), "id").select("grade", "text")  # at most `sample` rows
-    bags = stored(labelled.mapInArrow(run, "grade int, words array<string>"), "toxicity-bags")
-    n, toxic = bags.agg(F.count(F.lit(1)), F.sum((F.col("grade") > 0).cast("long"))).first()
+    labelled = texts.join(F.broadcast(stored(chosen, "toxicity-sample")), "id").select("toxic", "text")  # at most `sample` rows
+    bags = stored(labelled.mapInArrow(run, "toxic int, words array<string>"), "toxicity-bags")
+    n, toxic = bags.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     if not n or not toxic or toxic == n:
         return OrdinalModel({}, [])
     p = toxic / n
-    each = bags.select(F.explode("words").alias("word"), (F.col("grade") > 0).cast("long").alias("toxic")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    each = bags.select(F.explode("words").alias("word"), (F.col("toxic") > 0).cast("long").alias("toxic")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     z = F.abs(F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
     best = each.where(F.col("n") >= max(LEAST_DOCS, LEAST_PART * n)).withColumn("z", z).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "word").limit(FEATURES)
-    vocabulary = [r["word"] for r in best.collect()]
+    chosen_words = best.collect()
+    vocabulary = [r["word"] for r in chosen_words]
+    against = {r["word"] for r in chosen_words if r["t"] < r["n"] * p}
     if not vocabulary:
         return OrdinalModel({}, [])
     number = {w: i for i, w in enumerate(vocabulary)}
     used = spark.createDataFrame([(vocabulary,)], "vocabulary array<string>")  # one row of at most FEATURES words
-    kept = bags.crossJoin(F.broadcast(used)).select("grade", F.array_intersect("words", "vocabulary").alias("words")).collect()  # at most `sample` rows of known words
-    kept.sort(key=lambda r: (r["grade"], r["words"]))
-    weights, thetas = fit([[number[w] for w in r["words"]] for r in kept], np.array([r["grade"] for r in kept]), len(vocabulary))
+    kept = bags.crossJoin(F.broadcast(used)).select("toxic", F.array_intersect("words", "vocabulary").alias("words")).collect()  # at most `sample` rows of known words
+    kept.sort(key=lambda r: (r["toxic"], r["words"]))
+    grade = np.array([1 + sum(len(set(r["words"]) - against) >= s for s in STEPS) if r["toxic"] else 0 for r in kept])
+    weights, thetas = fit([[number[w] for w in r["words"]] for r in kept], grade, len(vocabulary))
     return OrdinalModel(dict(zip(vocabulary, weights.tolist(), strict=True)), thetas.tolist())
 
 
@@ -142,13 +150,11 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"{kept}, severity double, chance double, grade int")
 
 
-def grades(labels: DataFrame) -> DataFrame:
-    """Severity grades from the labels table: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a poor one."""
-    bad = F.when(F.col("quality") == 0, 2).otherwise(1)
-    return labels.select(F.col("doc_id").alias("id"), F.when(F.col("toxic").isNotNull(), F.when(F.col("toxic") > 0, bad).otherwise(0)).alias("grade"))
+def toxic_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = score(docs, learn(docs, grades(table(spark, sf_dir, "labels"))))
+    found = score(docs, learn(docs, toxic_labels(table(spark, sf_dir, "labels"))))
     return found.select(F.col("id").alias("doc_id"), "severity", "grade", (F.col("chance") >= REJECT).alias("toxic"))

@@ -10,12 +10,12 @@ D = "/root/testdata/sf0.1"
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
     train, rest = labels.where("doc_id % 5 > 0"), labels.where("doc_id % 5 = 0")
-    model = toxicity.learn(docs, toxicity.grades(train))
+    model = toxicity.learn(docs, toxicity.toxic_labels(train))
     rows = toxicity.score(docs.join(rest.select("doc_id"), "doc_id", "left_semi"), model).join(rest.withColumnRenamed("doc_id", "id"), "id").collect()
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
-    assert np.mean([r.chance >= toxicity.REJECT for r in toxic]) >= 0.95
+    assert np.mean([r.chance >= toxicity.REJECT for r in toxic]) >= 0.9
     assert np.mean([r.chance < toxicity.REJECT for r in clean]) >= 0.99
-    assert np.mean([r.severity for r in toxic if r.quality == 0]) > np.mean([r.severity for r in clean])
+    assert np.mean([r.severity for r in toxic]) > 1 + np.mean([r.severity for r in clean])
 
 
 def test_fit_orders_grades():
@@ -28,10 +28,10 @@ def test_fit_orders_grades():
 
 def test_edges(spark):
     docs = edge_docs(spark)
-    graded = spark.createDataFrame([(1, 0), (6, 0), (7, 1), (7, 2), (None, 1), (4, None)], "id long, grade int")
+    graded = spark.createDataFrame([(1, 0), (6, 0), (7, 1), (7, 0), (None, 1), (4, None)], "id long, toxic int")
     model = toxicity.learn(docs, graded)
     rows = toxicity.score(docs, model, carry={"lang": F.col("lang")}).collect()
-    assert len(rows) == docs.count() and all(0 <= r.severity <= 2 for r in rows)
+    assert len(rows) == docs.count() and all(0 <= r.severity <= 3 for r in rows)
     none = toxicity.learn(docs, graded.limit(0))
     assert none.thetas == [] and {(r.severity, r.grade) for r in toxicity.score(docs, none).collect()} == {(0.0, 0)}
     assert toxicity.score(empty_docs(spark), model).count() == 0
