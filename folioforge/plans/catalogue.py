@@ -1,4 +1,260 @@
-"""Queries over the driver's tables, by name, each with the SQL that must give the same rows."""
+"""Queries over the driver's tables, by name, each with the SQL that must give the same rows where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioforge.functions import metadata, text, urls
+from folioforge.operators import collections, fulltext, identity, library, sections
+from folioforge.plans import views
+from folioforge.sources import exports, html
+
+QUERIES, ORACLE_SQL = {}, {}
+C, W = "WITH " + views.CAPTURES_SQL, "WITH " + views.WORKS_SQL
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(C + "SELECT id, url_canon, sha256(url_canon) AS url_hash, 'generic' AS site FROM captures")
+def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
+    c = views.captures(spark, d)
+    return c.select("id", "url_canon", urls.url_hash(F.col("url_canon")).alias("url_hash"), urls.site_kind(F.col("url_canon")).alias("site"))
+
+
+_FOUND = C + ", found AS (SELECT * FROM captures WHERE lower(title) LIKE '%an%' OR lower(url) LIKE '%an%' OR lower(doi) LIKE '%an%' OR id IN (SELECT capture_id FROM texts WHERE lower(content_text) LIKE '%an%'))"
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return library.search(views.captures(spark, d), "AN", texts=views.texts(spark, d))
+
+
+@query(_FOUND + "SELECT id, url, title, doi, updated_at FROM found ORDER BY updated_at DESC, id LIMIT 50 OFFSET 50")
+def library_search_paged(spark: SparkSession, d: str) -> DataFrame:
+    return library.page(_found(spark, d), 2).select("id", "url", "title", "doi", "updated_at")
+
+
+@query(_FOUND + "SELECT count(*) AS total FROM found")
+def library_count(spark: SparkSession, d: str) -> DataFrame:
+    return library.count_of(_found(spark, d))
+
+
+@query(C + "SELECT id, title FROM captures WHERE (lower(title) LIKE '%e_e%' OR lower(url) LIKE '%e_e%') AND id IN (SELECT capture_id FROM items WHERE collection_id = 3)")
+def library_collection_filter(spark: SparkSession, d: str) -> DataFrame:
+    return library.search(views.captures(spark, d), "e_E", items=views.items(spark, d), collection=3).select("id", "title")
+
+
+@query(C + """, tok AS (SELECT capture_id, unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) AS t FROM texts)
+SELECT capture_id FROM tok GROUP BY capture_id HAVING bool_or(t LIKE 'tha%') AND bool_or(t LIKE 'on%')""")
+def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
+    none = views.captures(spark, d).limit(0)
+    ids = views.texts(spark, d).select(F.col("capture_id").alias("id"), F.lit("").alias("title"))
+    return library.matching_ids(fulltext.postings(none.select("id", "title").unionByName(ids), views.texts(spark, d)), library.query_terms("Tha, ON"))
+
+
+@query(C + """, tok AS (SELECT id, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM captures)
+SELECT id, count(DISTINCT t) AS tokens FROM tok WHERE t <> '' GROUP BY id""")
+def fts_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    built = fulltext.postings(views.captures(spark, d), views.texts(spark, d).limit(0))
+    return built.groupBy(F.col("capture_id").alias("id")).agg(F.count(F.lit(1)).alias("tokens"))
+
+
+@query("""SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 > 0) AS captures, (SELECT count(*) FROM labels) AS indexed,
+(SELECT count(*) FROM documents WHERE doc_id % 10 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
+(SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 > 0)) AS extra, false AS ok""")
+def fts_verify(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.table(spark, d, "documents").where("doc_id % 10 > 0").select(F.col("doc_id").alias("id"))
+    return fulltext.verify(docs, views.table(spark, d, "labels").select(F.col("doc_id").alias("capture_id")))
+
+
+@query(C + "SELECT c.id, c.name, count(i.capture_id) AS count FROM collections c LEFT JOIN items i ON i.collection_id = c.id GROUP BY c.id, c.name")
+def collections_with_counts(spark: SparkSession, d: str) -> DataFrame:
+    return collections.with_counts(views.collections(spark, d), views.items(spark, d))
+
+
+@query(C + "SELECT c.id, c.name, CASE WHEN i.capture_id IS NULL THEN 0 ELSE 1 END AS selected FROM collections c LEFT JOIN items i ON i.collection_id = c.id AND i.capture_id = '7'")
+def collections_membership(spark: SparkSession, d: str) -> DataFrame:
+    return collections.membership(views.collections(spark, d), views.items(spark, d), "7")
+
+
+@query("SELECT doc_id FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id FROM labels WHERE quality = 0")
+def membership_to_add(spark: SparkSession, d: str) -> DataFrame:
+    labels = views.table(spark, d, "labels")
+    return collections.to_add(labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1").select("doc_id"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 0 EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def membership_to_remove(spark: SparkSession, d: str) -> DataFrame:
+    labels = views.table(spark, d, "labels")
+    return collections.to_remove(labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1").select("doc_id"))
+
+
+@query(C + "SELECT 5::BIGINT AS collection_id, doc_id::VARCHAR AS capture_id, 'now' AS added_at FROM labels WHERE doc_id::VARCHAR NOT IN (SELECT capture_id FROM items WHERE collection_id = 5)")
+def bulk_add_delta(spark: SparkSession, d: str) -> DataFrame:
+    ids = views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("capture_id"))
+    return collections.added(views.items(spark, d), ids, 5, "now")
+
+
+@query(C + "SELECT collection_id, capture_id FROM items WHERE collection_id = 5 AND capture_id IN (SELECT doc_id::VARCHAR FROM labels)")
+def bulk_remove_delta(spark: SparkSession, d: str) -> DataFrame:
+    ids = views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("capture_id"))
+    return collections.removed(views.items(spark, d), ids, 5)
+
+
+@query(C + "SELECT collection_id, count(*) AS left_over FROM items WHERE capture_id NOT IN (SELECT doc_id::VARCHAR FROM labels) GROUP BY collection_id")
+def delete_captures(spark: SparkSession, d: str) -> DataFrame:
+    ids = views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("capture_id"))
+    return collections.without(views.items(spark, d), ids).groupBy("collection_id").agg(F.count(F.lit(1)).alias("left_over"))
+
+
+@query(C + "SELECT id, url, title FROM captures WHERE id = '17'")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return views.captures(spark, d).where("id = '17'").limit(1).select("id", "url", "title")
+
+
+@query(C + "SELECT id, title FROM captures WHERE id IN ('3', '5', '8', 'x')")
+def in_list_select(spark: SparkSession, d: str) -> DataFrame:
+    return views.captures(spark, d).where(F.col("id").isin("3", "5", "8", "x")).orderBy("id").select("id", "title")
+
+
+@query(C + "SELECT pos, id FROM (SELECT unnest([0, 1, 2, 3]) AS pos, unnest(['8', 'x', '3', '8']) AS id) WHERE id IN (SELECT id FROM captures)")
+def existing_ids_in_order(spark: SparkSession, d: str) -> DataFrame:
+    given = spark.range(1).select(F.posexplode(F.array(*map(F.lit, ("8", "x", "3", "8")))).alias("pos", "id"))
+    return library.with_known_ids(views.captures(spark, d), given)
+
+
+@query("""SELECT user_id, event_id, ts, created_at FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS created_at, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def latest_capture_per_url(spark: SparkSession, d: str) -> DataFrame:
+    log = views.table(spark, d, "events").select(F.col("user_id").alias("url_hash"), F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"))
+    return identity.latest_per_url(log).select(F.col("url_hash").alias("user_id"), F.col("seq").alias("event_id"), F.col("captured_at").alias("ts"), "created_at")
+
+
+@query("""SELECT user_id, arg_max(value, (ts, event_id)) FILTER (WHERE event_id % 3 > 0) AS page, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_id % 5 = 0) AS article FROM events GROUP BY user_id""")
+def latest_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    log = views.table(spark, d, "events").select("user_id", F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("page"), F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("article"))
+    return identity.latest_artifacts(log, "user_id", ["page", "article"])
+
+
+@query()
+def identity_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold over events: a user stands for a URL, and every third event has one of many DOIs."""
+    doi = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.1/"), (F.col("event_id") % 997).cast("string"))).otherwise("")
+    log = views.table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("url_hash"), doi.alias("doi"), F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"))
+    return identity.resolve(log)
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '10.' || (1000 + doc_id) || '/ab.' || doc_id || CASE WHEN doc_id % 4 = 3 THEN ';' ELSE '' END END AS doi,
+CASE WHEN doc_id % 3 > 0 THEN 1900 + doc_id % 100 END AS year, CASE WHEN doc_id % 2 = 0 THEN lang || '|' || source ELSE lang END AS keywords,
+CASE WHEN doc_id % 2 = 0 THEN 'Lee, Ann|Bo Roe' ELSE 'Ann Lee|Bo Roe' END AS authors FROM documents""")
+def meta_fields(spark: SparkSession, d: str) -> DataFrame:
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    doi = F.concat(F.when(i % 4 == 1, "https://DOI.org/").when(i % 4 == 2, "doi: ").otherwise(""), F.lit("10."), (i + 1000).cast("string"), F.lit("/AB."), n, F.when(i % 4 == 3, "; other").otherwise(".);"))
+    raw = views.table(spark, d, "documents").select(
+        "doc_id", F.when(i % 4 == 0, "none").otherwise(doi).alias("doi"), F.when(i % 3 > 0, F.concat(F.lit("12 May "), (1900 + i % 100).cast("string"), F.lit("; 2031"))).otherwise("1234 or 12999").alias("date"),
+        F.when(i % 2 == 0, F.concat_ws(", ", "lang", "source", F.upper("lang"))).otherwise(F.concat_ws(";\n", "lang", "lang")).alias("kw"), F.when(i % 2 == 0, F.array(F.lit("Lee, Ann; Bo Roe;"), F.lit("bo roe"))).otherwise(F.array(F.lit(" Ann Lee AND Bo Roe "))).alias("au"),
+    )
+    return raw.select("doc_id", metadata.doi(F.col("doi")).alias("doi"), metadata.year(F.col("date")).alias("year"), F.array_join(metadata.keywords(F.col("kw")), "|").alias("keywords"), F.array_join(metadata.authors(F.col("au")), "|").alias("authors"))
+
+
+@query(W + """SELECT id, array_to_string(authors, ', ') AS authors_str, CASE len(authors) WHEN 0 THEN '' WHEN 1 THEN 'Lee' WHEN 2 THEN 'Lee & Roe' ELSE 'Lee et al.' END AS authors_short,
+CASE WHEN length(trim(abstract, ' \n')) <= 220 THEN trim(abstract, ' \n') ELSE rtrim(substr(trim(abstract, ' \n'), 1, 219), ' \n') || '…' END AS abstract_snip FROM works""".replace("' \\n'", "' ' || chr(10)"))
+def citation_fields(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d)
+    return w.select("id", F.array_join("authors", ", ").alias("authors_str"), metadata.authors_short(F.col("authors")).alias("authors_short"), metadata.snippet(F.col("abstract")).alias("abstract_snip"))
+
+
+@query(W + """, r AS (SELECT doi, 'Known ' || id AS title, 'Registry' AS container_title, 2001 AS year, CASE WHEN id::BIGINT % 2 = 0 THEN ['Reg A'] ELSE [] END::VARCHAR[] AS authors FROM works WHERE doi <> '')
+SELECT w.id, coalesce(nullif(w.title, ''), CASE WHEN len(r.authors) > 0 THEN r.title END, '') AS title, CASE WHEN len(r.authors) > 0 AND w.container_title = '' THEN r.container_title ELSE w.container_title END AS container_title,
+CASE WHEN len(r.authors) > 0 AND w.year IS NULL THEN r.year ELSE w.year END AS year, array_to_string(CASE WHEN len(r.authors) > 0 THEN r.authors ELSE w.authors END, ';') AS authors FROM works w LEFT JOIN r ON w.doi = r.doi AND w.doi <> ''""")
+def registry_override(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d).withColumn("published_date_raw", F.lit(""))
+    even = F.col("id").cast("long") % 2 == 0
+    r = w.where("doi != ''").select(F.upper("doi").alias("doi"), F.concat(F.lit("Known "), "id").alias("title"), F.lit("Registry").alias("container_title"), F.lit(2001).alias("year"), F.lit("").alias("published_date_raw"), F.when(even, F.array(F.lit("Reg A"))).otherwise(F.array().cast("array<string>")).alias("authors"))
+    return metadata.with_registry(w, r).select("id", "title", "container_title", "year", F.array_join("authors", ";").alias("authors"))
+
+
+_MESSY = "\nDownload PDF\nLong inter-\nnational ab-\ncd-\nef  word\t\tx \r\n\n\n\nShare this page\nEnd. "
+
+
+@query(r"""WITH m AS (SELECT doc_id, text || chr(10) || 'Long international abcdef word x' || chr(10) || chr(10) || 'End.' AS t FROM documents)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS clean FROM m""")
+def text_standardize(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.table(spark, d, "documents")
+    return docs.select("doc_id", text.standard_text(F.concat("text", F.lit(_MESSY))).alias("clean"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), n AS (SELECT doc_id, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS s FROM l)
+SELECT doc_id, count(*) FILTER (WHERE length(s) BETWEEN 3 AND 220 AND NOT regexp_matches(s, '[.?!]$') AND NOT s LIKE '%:' AND regexp_matches(s, '^\p{L}[\p{L}\p{M}\p{N}_ \-–—,:;()''’/]{2,160}$')
+ AND len(string_split(s, ' ')) <= 16 AND NOT regexp_matches(lower(substr(s, 1, 15)), '^(this |we |in this |however |therefore )')) AS headings FROM n GROUP BY doc_id""")
+def heading_count(spark: SparkSession, d: str) -> DataFrame:
+    lines = sections.lines_of(views.table(spark, d, "documents"), "doc_id", "text")
+    return lines.groupBy(F.col("id").alias("doc_id")).agg(F.sum(text.is_heading(F.col("line")).cast("long")).alias("headings"))
+
+
+@query("""SELECT * FROM (VALUES ('1. Introduction', 'introduction', '1', 'Introduction'), ('3.2 Methods', 'other', NULL, '3.2 Methods'), ('2) RESULTS and discussion', 'results_discussion', '2', 'RESULTS and discussion'),
+('Keywords: a, b', 'keywords', NULL, 'Keywords: a, b'), ('Competing interest', 'conflicts', NULL, 'Competing interest'), ('Aims', 'other', NULL, 'Aims')) AS t(line, kind, number, title)""")
+def heading_classify(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, ("1. Introduction", "3.2 Methods", "2) RESULTS and discussion", "Keywords: a, b", "Competing interest", "Aims")))).alias("line"))
+    c = F.col("line")
+    return lines.select("line", text.heading_kind(c).alias("kind"), text.heading_number(c).alias("number"), text.heading_title(c).alias("title"))
+
+
+@query()
+def split_sections(spark: SparkSession, d: str) -> DataFrame:
+    marked = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Keywords: a, b\n"), "text", F.lit("\n2. Methods\nWe did\net\nthis.\nFunding\n")).alias("t"))
+    found = sections.split_sections(marked, "doc_id", "t")
+    return found.select(F.col("id").alias("doc_id"), "section_id", "title", "kind", "number", "text")
+
+
+@query(W + r""", e AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(coalesce(nullif(trim(title, ' ' || chr(10)), ''), 'Untitled'), '\', '\\'), '{', '\{'), '}', '\}'), '"', '\"'), '\s+', ' ', 'g')) AS t,
+ trim(regexp_replace(replace(replace(replace(replace(abstract, '\', '\\'), '{', '\{'), '}', '\}'), '"', '\"'), '\s+', ' ', 'g')) AS a FROM works)
+SELECT id, '@' || CASE WHEN container_title <> '' THEN 'article' ELSE 'misc' END || '{pc' || coalesce(year::VARCHAR, 'nd') || '_' || substr(id, 1, 8) || ',' || chr(10) || array_to_string(list_filter([
+ '  title = {' || t || '}', CASE WHEN len(authors) > 0 THEN '  author = {' || array_to_string(authors, ' and ') || '}' END, CASE WHEN container_title <> '' THEN '  journal = {' || container_title || '}' END,
+ '  year = {' || year || '}', CASE WHEN doi <> '' THEN '  doi = {' || doi || '}' END, '  url = {' || url || '}', CASE WHEN a <> '' THEN '  abstract = {' || a || '}' END,
+ CASE WHEN len(keywords) > 0 THEN '  keywords = {' || array_to_string(keywords, ', ') || '}' END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}' AS entry FROM e""")
+def export_bibtex(spark: SparkSession, d: str) -> DataFrame:
+    return views.works(spark, d).select("id", exports.bibtex_entry().alias("entry"))
+
+
+@query(W + r"""SELECT id, array_to_string(list_concat(list_concat(list_concat(list_filter(['TY  - ' || CASE WHEN container_title <> '' THEN 'JOUR' ELSE 'GEN' END, CASE WHEN title <> '' THEN 'TI  - ' || trim(title, ' ' || chr(10)) END], lambda x: x IS NOT NULL),
+ list_transform(authors, lambda a: 'AU  - ' || a)), list_filter([CASE WHEN container_title <> '' THEN 'JO  - ' || container_title END, 'PY  - ' || year, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'UR  - ' || url,
+ CASE WHEN trim(regexp_replace(abstract, '\s+', ' ', 'g')) <> '' THEN 'AB  - ' || trim(regexp_replace(abstract, '\s+', ' ', 'g')) END], lambda x: x IS NOT NULL)), list_concat(list_transform(keywords, lambda k: 'KW  - ' || k), ['ER  -'])), chr(10)) AS entry FROM works""")
+def export_ris(spark: SparkSession, d: str) -> DataFrame:
+    return views.works(spark, d).select("id", exports.ris_entry().alias("entry"))
+
+
+def _papers(spark: SparkSession, d: str) -> DataFrame:
+    section = lambda i, kind, title, body: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), body.alias("text"))
+    s = F.array(section("s01", "other", "Body", F.col("abstract")), section("s02", "funding", "Funding", F.lit("A grant.")), section("s03", "references", "References", F.col("url")))
+    return views.works(spark, d).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
+
+
+@query()
+def export_papers_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return _papers(spark, d).select("id", exports.paper_json().alias("line"))
+
+
+@query()
+def export_paper_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _papers(spark, d).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
+
+
+@query()
+def parse_pages(spark: SparkSession, d: str) -> DataFrame:
+    parsed = html.parse_pages(views.table(spark, d, "pages"), "page_id", "html")
+    return parsed.select("id", "title_tag", "selected_hint", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "capture_quality", "blocked_reason", "article_text", "references_text")
+
+
+@query()
+def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("content_text"))
+
 
-QUERIES = {}
-ORACLE_SQL = {}
