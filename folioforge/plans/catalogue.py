@@ -42,6 +42,11 @@ def library_search_paged(spark: SparkSession, d: str) -> DataFrame:
     return library.page(_found(spark, d), 2).select("id", "url", "title", "doi", "updated_at")
 
 
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a library search over canonicalised captures."""
+    return library.page(_found(spark, d), 1).select("id", "url_canon", "title", "updated_at")
+
+
 @query(_FOUND + "SELECT count(*) AS total FROM found")
 def library_count(spark: SparkSession, d: str) -> DataFrame:
     return library.count_of(_found(spark, d))
