@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import metadata, text, urls
-from folioforge.operators import collections, fulltext, identity, library, sections
+from folioforge.operators import collections, fulltext, identity, ingest, library, sections
 from folioforge.plans import views
 from folioforge.sources import exports, html
 
@@ -263,3 +263,14 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("content_text"))
 
 
+
+
+@query()
+def ingest_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads made of pages, some of them broken, through validation, metadata and parsing."""
+    pages = views.table(spark, d, "pages")
+    payload = F.to_json(F.struct(F.col("url").alias("source_url"), F.col("html").alias("dom_html"), F.struct(F.create_map(F.lit("citation_doi"), F.concat(F.lit("10.5555/"), "page_id")).alias("meta")).alias("extraction")))
+    value = F.when(F.col("page_id") % 50 == 0, "[1]").when(F.col("page_id") % 50 == 1, '{"source_url": " "}').otherwise(payload)
+    raw = ingest.validated(pages.select(value.alias("value"), F.lit("2024-01-01").alias("captured_at"), F.col("page_id").alias("seq")))
+    good = ingest.parsed(raw.where("error_code is null")).select("seq", "url_canon", "url_hash", "title", "doi", "site", "capture_quality", "used_for_index", "content_text", F.lit(None).cast("string").alias("error_code"))
+    return good.unionByName(raw.where("error_code is not null").select("seq", "error_code"), allowMissingColumns=True)

@@ -233,17 +233,20 @@ def block_score(b: Column) -> Column:
     return F.when(b["chars"] <= 0, F.lit(-1e9)).otherwise(score)
 
 
-def parse_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, title_tag, meta, selected_hint, score, confidence, capture_quality, blocked_reason, article_text, references_text, ok, error."""
-    read = pages.select(F.col(id_col).alias("id"), page_features(F.col(html_col)).alias("p")).select("id", "p.*")
+def judged(read: DataFrame) -> DataFrame:
+    """Rows with the fields of page_features, with the best block's text and what it is worth in place of the blocks."""
     scored = F.transform("blocks", lambda b, i: F.struct(block_score(b).alias("score"), (-i).alias("order"), b.alias("b")))
     best = read.withColumn("best", F.array_max(F.filter(scored, lambda x: x["score"] > -1e9))).withColumn("reason", wall_reason(F.col("document_text")))
     long = F.length("document_text")
     quality = F.when(long == 0, "suspicious").when((F.col("reason") != "") & (long < BLOCKED_CHARS), "blocked").when((F.col("reason") != "") | (long < SHORT_CHARS), "suspicious").otherwise("ok")
     raw = F.least(F.lit(1.0), F.coalesce(F.col("best.score"), F.lit(0.0)) / 10) + F.when(F.col("best.b.chars") >= 2500, 0.25).otherwise(0.0) + F.when(F.col("best.b.paragraphs") >= 8, 0.25).otherwise(0.0)
     capped = F.when(quality == "blocked", F.least(raw, F.lit(0.2))).otherwise(raw)
-    return best.select(
-        "id", "title_tag", "meta", F.coalesce("best.b.hint", F.lit("")).alias("selected_hint"), F.col("best.score").alias("score"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), F.lit(0.0)).alias("confidence"),
-        quality.alias("capture_quality"), F.when(long == 0, "unknown").otherwise(F.col("reason")).alias("blocked_reason"), strip(F.coalesce("best.b.body", F.lit(""))).alias("article_text"), F.coalesce("best.b.refs", F.lit("")).alias("references_text"),
-        F.col("best").isNotNull().alias("ok"), "error",
-    )
+    return best.withColumns({
+        "selected_hint": F.coalesce("best.b.hint", F.lit("")), "score": F.col("best.score"), "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), "capture_quality": quality,
+        "blocked_reason": F.when(long == 0, "unknown").otherwise(F.col("reason")), "article_text": strip(F.coalesce("best.b.body", F.lit(""))), "references_text": F.coalesce("best.b.refs", F.lit("")), "ok": F.col("best").isNotNull(),
+    }).drop("blocks", "document_text", "best", "reason")
+
+
+def parse_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """id, title_tag, meta, error, selected_hint, score, confidence, capture_quality, blocked_reason, article_text, references_text, ok."""
+    return judged(pages.select(F.col(id_col).alias("id"), page_features(F.col(html_col)).alias("p")).select("id", "p.*"))
