@@ -13,7 +13,8 @@ candidate is verified with levenshtein() on the whole lines.
 
 A line is dropped if it occurred before, or if an earlier different line is within one edit. Lines come in the order of
 document identifier, then hash of the document, then place. Blank lines and lines of under `min_chars` characters
-always stay, since they say nothing about copying. A line is what "\n" separates.
+always stay, since they say nothing about copying. A line is what "\n" separates. Equal lines
+are found by 125 bits of hash, near ones verified character by character.
 
 Defined results: null texts count as empty (one blank line). Null identifiers come first. Rows equal in identifier and
 text are one document with one result, given for each of them. Lines of any length are compared whole. An empty table
@@ -33,6 +34,8 @@ MIN_CHARS = 16
 SOMETHING = r"[^\x20\x09-\x0D]"
 #: Blocks of a line; one edit falls into one of them.
 BLOCKS = 4
+#: Bits of the filter that finds the lines whose texts are needed.
+FILTER_BITS = 1 << 23
 
 
 def _eligible(line: Column, min_chars: int) -> Column:
@@ -40,35 +43,54 @@ def _eligible(line: Column, min_chars: int) -> Column:
 
 
 def _rests(line: Column) -> Column:
-    """array<struct<key, role>>: the hashes of a line without a block; role is the block, plus BLOCKS as the shorter line."""
+    """The hashes of a line without each block, then of the line as the shorter one of a pair, without each block."""
     n = F.char_length(line)
     out = []
     for shorter in (0, 1):
         size = n + shorter
         for j in range(BLOCKS):
             low, high = F.floor(size * j / BLOCKS), F.floor(size * (j + 1) / BLOCKS)
-            rest = F.xxhash64(size, F.lit(j), F.substring(line, F.lit(1), low), F.substring(line, high + 1 - shorter, n))
-            out.append(F.struct(rest.alias("key"), F.lit(j + BLOCKS * shorter).alias("role")))
+            out.append(F.xxhash64(size, F.lit(j), F.substring(line, F.lit(1), low), F.substring(line, high + 1 - shorter, n)))
     return F.array(*out)
 
 
-def distinct_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """h, line, at (id, doc, pos of the first occurrence): one row per different eligible line."""
+def eligible_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """at (id, doc, pos), line: every eligible line of every document."""
     text = whole(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    rows = rows.where(_eligible(F.col("line"), min_chars))
-    return rows.groupBy(F.xxhash64("line").alias("h"), "line").agg(F.min(F.struct("id", "doc", "pos")).alias("at"))
+    return rows.where(_eligible(F.col("line"), min_chars)).select(F.struct("id", "doc", "pos").alias("at"), "line")
 
 
-def with_partners(lines: DataFrame) -> DataFrame:
-    """h, at, rests, line: the rests that a line shares with another one, and its text, both null if there are none."""
-    keyed = lines.select("h", F.explode(_rests(F.col("line"))).alias("r")).select("h", "r.key", "r.role")
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """h, at, keys: each different line's hash, first occurrence and rests. Lines are told apart by 125 bits of hash, so texts don't move."""
+    low = 2 * BLOCKS - 1
+    h = F.xxhash64("line").bitwiseAND(F.lit(~low)).alias("h")  # room for a role in its last bits
+    first = F.min(F.struct("at", _rests(F.col("line")).alias("keys"))).alias("first")
+    return lines.groupBy(h, F.xxhash64(F.lit(1), F.col("line")).alias("h2")).agg(first).select("h", "first.at", "first.keys")
+
+
+def partners(firsts: DataFrame) -> DataFrame:
+    """at, rests: the lines that share a rest with another line, with those rests. firsts: h, at, keys."""
+    low = F.lit(2 * BLOCKS - 1)
+    keyed = firsts.select("h", F.posexplode("keys").alias("role", "key")).select("key", F.col("h").bitwiseOR(F.col("role").cast("long")).alias("hr"))
+    role = F.col("hr").bitwiseAND(low.cast("long")).cast("int")
     same = Window.partitionBy("key")
-    long, short = F.sum((F.col("role") < BLOCKS).cast("int")).over(same), F.sum((F.col("role") >= BLOCKS).cast("int")).over(same)
+    long, short = F.sum((role < BLOCKS).cast("int")).over(same), F.sum((role >= BLOCKS).cast("int")).over(same)
     met = keyed.withColumn("long", long).withColumn("short", short).where("long > 1 or (long = 1 and short > 0)")
-    rests = met.groupBy("h").agg(F.collect_set(F.struct("key", "role", F.col("short").cast("boolean").alias("short"))).alias("rests"))
-    joined = lines.join(rests, "h", "left")
-    return joined.select("h", "at", "rests", F.when(F.col("rests").isNotNull(), F.col("line")).alias("line"))
+    rest = F.struct("key", role.alias("role"), (F.col("short") > 0).alias("short"))
+    rests = met.groupBy((F.col("hr").bitwiseAND(F.lit(~(2 * BLOCKS - 1)))).alias("h")).agg(F.collect_set(rest).alias("rests"))
+    return firsts.select("h", "at").join(rests, "h").select("at", "rests")
+
+
+def with_texts(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """at, rests, line: the texts of the lines asked for (at, rests).
+
+    A bitmap of FILTER_BITS bits, at most FILTER_BITS / 64 rows whatever the data, keeps other lines out of the shuffle.
+    """
+    bit = F.pmod(F.xxhash64("at"), F.lit(FILTER_BITS))
+    words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    likely = lines.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word").where(F.expr("bits & shiftleft(1L, cast(bit & 63 as int)) != 0"))
+    return likely.select("at", "line").join(asked, "at").dropDuplicates(["at"])
 
 
 def _variants(line: Column, role: Column, key: Column, short: Column) -> Column:
@@ -90,7 +112,7 @@ def _variants(line: Column, role: Column, key: Column, short: Column) -> Column:
 
 def near_earlier(partnered: DataFrame) -> DataFrame:
     """at: the lines that have an earlier line within one edit."""
-    lines = partnered.where("rests is not null").select("at", "line", "rests")
+    lines = partnered.select("at", "line", "rests")
     v = lines.select("at", "line", F.explode("rests").alias("r")).select("at", F.explode(_variants(F.col("line"), F.col("r.role"), F.col("r.key"), F.col("r.short"))).alias("v")).select("at", "v.vk", "v.side")
     first = lambda side: F.min(F.when(F.col("side") == side, F.col("at"))).alias(f"first{side}")
     keys = v.groupBy("vk").agg(first(0), first(1), first(2))
@@ -103,8 +125,11 @@ def near_earlier(partnered: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """id, doc, kept: the places of the eligible lines that stay, by document; documents without any are missing."""
-    partnered = stored(with_partners(distinct_lines(docs, id_col, text_col, min_chars)), "line-dedup")
-    stay = partnered.select("at").join(near_earlier(partnered), "at", "left_anti")
+    lines = eligible_lines(docs, id_col, text_col, min_chars)
+    firsts = stored(distinct_lines(lines), "line-dedup-firsts")
+    asked = stored(partners(firsts), "line-dedup-asked")
+    partnered = stored(with_texts(lines, asked), "line-dedup-texts")
+    stay = firsts.select("at").join(near_earlier(partnered), "at", "left_anti")
     return stay.groupBy(F.col("at.id").alias("id"), F.col("at.doc").alias("doc")).agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
