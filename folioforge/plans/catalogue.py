@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import metadata, text, urls
 from folioforge.operators import collections, fulltext, identity, ingest, library, sections
 from folioforge.plans import views
-from folioforge.sources import exports, html
+from folioforge.sources import exports, html, sites
 
 QUERIES, ORACLE_SQL = {}, {}
 C, W = "WITH " + views.CAPTURES_SQL, "WITH " + views.WORKS_SQL
@@ -274,3 +274,14 @@ def ingest_payloads(spark: SparkSession, d: str) -> DataFrame:
     raw = ingest.validated(pages.select(value.alias("value"), F.lit("2024-01-01").alias("captured_at"), F.col("page_id").alias("seq")))
     good = ingest.parsed(raw.where("error_code is null")).select("seq", "url_canon", "url_hash", "title", "doi", "site", "capture_quality", "used_for_index", "content_text", F.lit(None).cast("string").alias("error_code"))
     return good.unionByName(raw.where("error_code is not null").select("seq", "error_code"), allowMissingColumns=True)
+
+
+@query()
+def parse_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Pages set into two publishers' layouts, and left alone: the layout's sections or the general parser's text."""
+    pages = views.table(spark, d, "pages")
+    set_in = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<article><section class="article-section__content"><h2>1. Methods</h2>'), "html", F.lit("</section></article>")))
+    set_in = set_in.when(F.col("page_id") % 3 == 2, F.concat(F.lit('<article><div id="body"><h2>Results</h2>'), "html", F.lit("</div></article>"))).otherwise(F.col("html"))
+    url = F.when(F.col("page_id") % 3 == 1, "https://onlinelibrary.wiley.com/a").when(F.col("page_id") % 3 == 2, "https://www.sciencedirect.com/a").otherwise(F.col("url"))
+    parsed = sites.parse_articles(pages.select("page_id", url.alias("url"), set_in.alias("html")), "page_id", "url", "html")
+    return parsed.select("id", "parser", F.size("sections").alias("sections"), "article_text", "references_text", F.round("confidence", 6).alias("confidence"), "capture_quality")
