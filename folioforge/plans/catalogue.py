@@ -285,3 +285,22 @@ def parse_articles(spark: SparkSession, d: str) -> DataFrame:
     url = F.when(F.col("page_id") % 3 == 1, "https://onlinelibrary.wiley.com/a").when(F.col("page_id") % 3 == 2, "https://www.sciencedirect.com/a").otherwise(F.col("url"))
     parsed = sites.parse_articles(pages.select("page_id", url.alias("url"), set_in.alias("html")), "page_id", "url", "html")
     return parsed.select("id", "parser", F.size("sections").alias("sections"), "article_text", "references_text", F.round("confidence", 6).alias("confidence"), "capture_quality")
+
+
+@query(W + """, m AS (SELECT id, CASE WHEN abstract <> '' THEN '# ' || id ELSE '' END AS md FROM works), f AS (SELECT min(id) AS first FROM m WHERE md <> '')
+SELECT '# All' || chr(10) || chr(10) || '_Items: ' || count(*) || '_' || chr(10) AS value FROM m
+UNION ALL SELECT CASE WHEN id = first THEN chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || md || chr(10) FROM m, f WHERE md <> ''""")
+def export_master_markdown(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d).withColumn("paper_md", F.when(F.col("abstract") != "", F.concat(F.lit("# "), "id", F.lit("\n"))))
+    return exports.master_markdown(w, "All", ["id"]).select("value")
+
+
+@query(W + """SELECT id, '{"container_title":' || to_json(container_title) || ',"doi":' || to_json(doi) || ',"id":' || to_json(id) || ',"sections":[{"kind":"other","text":' || to_json(lower(url)) || '}],"title":' || to_json(url) || ',"url":' || to_json(url) || ',"year":' || coalesce(year::VARCHAR, 'null') || '}' AS item FROM works""")
+def export_sections_json(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d).withColumn("sections", F.array(F.struct(F.lit("other").alias("kind"), F.lower("url").alias("text")))).withColumn("title", F.col("url"))
+    return w.select("id", exports.sections_json().alias("item"))
+
+
+@query(C + "SELECT id, url FROM captures WHERE id IN (SELECT capture_id FROM items WHERE collection_id = 2)")
+def export_scope(spark: SparkSession, d: str) -> DataFrame:
+    return exports.scope(views.captures(spark, d), views.items(spark, d), collection=2).select("id", "url")

@@ -68,8 +68,8 @@ def paper_sections(sections: Column) -> Column:
     return F.filter(clean, lambda s: ~s["kind"].isin(*NOT_PAPER) & (s["text"] != ""))
 
 
-def paper_markdown(references: Column) -> Column:
-    """A capture's Markdown from its columns and `sections` (title, kind, text)."""
+def paper_markdown(references: Column, sections: Column | None = None) -> Column:
+    """A capture's Markdown from its columns and its sections (title, kind, text)."""
     title = collapse(text(F.col("title")))
     bits = _some([
         F.when(text(F.col("doi")) != "", F.concat(F.lit("DOI: `"), F.col("doi"), F.lit("`"))),
@@ -77,7 +77,7 @@ def paper_markdown(references: Column) -> Column:
         F.when(F.col("year").isNotNull() & (F.col("year") != 0), F.col("year").cast("string")),
         F.when(text(F.col("url")) != "", strip(F.col("url"))),
     ])
-    full = F.filter(F.transform(F.col("sections"), lambda s: F.struct(F.coalesce(F.nullif(strip(text(s["title"])), F.lit("")), F.lit("Section")).alias("title"), strip(text(s["kind"])).alias("kind"), strip(text(s["text"])).alias("text"))), lambda s: s["text"] != "")
+    full = F.filter(F.transform(F.col("sections") if sections is None else sections, lambda s: F.struct(F.coalesce(F.nullif(strip(text(s["title"])), F.lit("")), F.lit("Section")).alias("title"), strip(text(s["kind"])).alias("kind"), strip(text(s["text"])).alias("text"))), lambda s: s["text"] != "")
     blocks = F.transform(full, lambda s: F.concat(F.when((s["title"] == "Body") & (s["kind"] == "other"), F.lit("")).otherwise(F.concat(F.lit("## "), F.regexp_replace(s["title"], r"[\r\n]", " "), F.lit("\n"))), s["text"]))
     refs = strip(text(references))
     parts = F.concat(F.array(F.concat(F.lit("# "), F.when(title == "", "Untitled").otherwise(title))), F.when(F.size(bits) > 0, F.array(F.concat(F.lit("**"), F.array_join(bits, " · "), F.lit("**")))).otherwise(F.array().cast("array<string>")), blocks, F.when(refs != "", F.array(F.concat(F.lit("## References\n"), refs))).otherwise(F.array().cast("array<string>")))
@@ -91,7 +91,44 @@ def paper_json() -> Column:
 
 
 def slug(value: str, most: int = 80) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", (value or "").strip().lower()).strip("-")[:most].strip("-") or "export"
+    return re.sub(r"[^a-z0-9]+", "-", (value or "").strip().lower()).strip("-")[:most] or "export"
+
+
+def file_name(extension: str, base: str = "library", capture_id: str | None = None, collection: str | int | None = None, suffix: str | None = None, selected: bool = False) -> str:
+    """base, then what was exported, joined by underscores."""
+    what = slug(capture_id)[:12] if capture_id else slug(collection) if isinstance(collection, str) and collection else f"col{collection}" if collection else None
+    return "_".join(x for x in (base, what, slug(suffix) if suffix else None, "selected" if selected else None) if x) + f".{extension}"
+
+
+def scope(captures: DataFrame, items: DataFrame, capture_id: str | None = None, collection: int = 0) -> DataFrame:
+    """What an export covers: one capture (nothing if there is none), else a collection, else all."""
+    if capture_id and capture_id.strip():
+        return captures.where(F.col("id") == capture_id.strip())
+    if collection > 0:
+        return captures.join(items.where(F.col("collection_id") == collection).select(F.col("capture_id").alias("id")), "id", "left_semi")
+    return captures
+
+
+def best_markdown(stored: Column, article_text: Column, references_text: Column) -> Column:
+    """The stored Markdown, else one made of the article's text as a single body."""
+    body = strip(text(article_text))
+    sections = F.when(body != "", F.array(F.struct(F.lit("Body").alias("title"), F.lit("other").alias("kind"), body.alias("text")))).otherwise(F.array().cast("array<struct<title:string,kind:string,text:string>>"))
+    return F.when(strip(text(stored)) != "", F.concat(F.regexp_replace(stored, r"\s+\z", ""), F.lit("\n"))).otherwise(paper_markdown(references_text, sections))
+
+
+def master_markdown(captures: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """pos (array), value: the parts of one Markdown file in order of pos: a header that counts all captures, then each `paper_md` with text."""
+    key = F.array(*[F.col(c).cast("string") for c in order])
+    blobs = captures.select(key.alias("pos"), strip(text(F.col("paper_md"))).alias("md")).where("md != ''")
+    first = blobs.agg(F.min("pos").alias("first"))
+    parts = blobs.crossJoin(F.broadcast(first)).select("pos", F.concat(F.when(F.col("pos") == F.col("first"), F.lit("\n")).otherwise(F.lit("\n\n---\n\n")), "md", F.lit("\n")).alias("value"))
+    header = captures.agg(F.count(F.lit(1)).alias("n")).select(F.array().cast("array<string>").alias("pos"), F.concat(F.lit(f"# {title}\n\n_Items: "), "n", F.lit("_\n")).alias("value"))
+    return header.unionByName(parts)
+
+
+def sections_json() -> Column:
+    """One capture of the sections export: keys in order of name, nulls kept."""
+    return F.to_json(F.struct("container_title", "doi", "id", "sections", "title", "url", "year"), {"ignoreNullFields": "false"})
 
 
 def write_lines(entries: DataFrame, column: str, order: list, path: str, separator: str = "\n") -> None:
