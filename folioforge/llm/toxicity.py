@@ -2,7 +2,7 @@
 
 P(grade <= k) = sigmoid(theta_k - w * x): one weight a word, shared by all thresholds theta_1 <= theta_2 <= ... The
 prediction is the expected severity, the sum over k of P(grade >= k). Features say which words (runs of letters, lower
-case) a text holds; those are used whose presence goes with toxic labels, or against them, beyond chance.
+case) and beginnings of words a text holds; those are used whose presence goes with toxic labels, or against them, beyond chance.
 
 Labels say toxic or not; a toxic document's grade grows with the number of different toxic words in it (STEPS), so
 severity means how much of a document's wording is of that kind.
@@ -45,11 +45,16 @@ RIDGE = 0.05
 #: Different toxic words from which a toxic document's grade is 2, and 3.
 STEPS = (3, 6)
 
+#: Letters of a word's beginning that are a feature of their own.
+BEGINNING = 4
+
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def words_of(text: str) -> set[str]:
-    return set(_words(text.lower()))
+def features_of(text: str) -> set[str]:
+    """The different words, and their beginnings with an asterisk, which know forms of a word that training has not seen."""
+    words = set(_words(text.lower()))
+    return words | {w[:BEGINNING] + "*" for w in words if len(w) >= BEGINNING}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -61,10 +66,10 @@ class OrdinalModel:
     weights: dict[str, float]
     thetas: list[float]
 
-    def at_least(self, words: set[str]) -> list[float]:
+    def at_least(self, features: set[str]) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
         get = self.weights.get
-        x = sum([w for t in words if (w := get(t))])
+        x = sum([w for t in features if (w := get(t))])
         return [float(_sigmoid(np.float64(x - t))) for t in self.thetas]
 
 
@@ -103,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(words_of(t.as_py())) for t in batch.column(1)]
+            found = [sorted(features_of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
 
     texts = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
@@ -118,14 +123,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = each.where(F.col("n") >= max(LEAST_DOCS, LEAST_PART * n)).withColumn("z", z).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "word").limit(FEATURES)
     chosen_words = best.collect()
     vocabulary = [r["word"] for r in chosen_words]
-    against = {r["word"] for r in chosen_words if r["t"] < r["n"] * p}
+    graded_by = {r["word"] for r in chosen_words if r["t"] > r["n"] * p and not r["word"].endswith("*")}
     if not vocabulary:
         return OrdinalModel({}, [])
     number = {w: i for i, w in enumerate(vocabulary)}
     used = spark.createDataFrame([(vocabulary,)], "vocabulary array<string>")  # one row of at most FEATURES words
     kept = bags.crossJoin(F.broadcast(used)).select("toxic", F.array_intersect("words", "vocabulary").alias("words")).collect()  # at most `sample` rows of known words
     kept.sort(key=lambda r: (r["toxic"], r["words"]))
-    grade = np.array([1 + sum(len(set(r["words"]) - against) >= s for s in STEPS) if r["toxic"] else 0 for r in kept])
+    grade = np.array([1 + sum(len(graded_by.intersection(r["words"])) >= s for s in STEPS) if r["toxic"] else 0 for r in kept])
     weights, thetas = fit([[number[w] for w in r["words"]] for r in kept], grade, len(vocabulary))
     return OrdinalModel(dict(zip(vocabulary, weights.tolist(), strict=True)), thetas.tolist())
 
@@ -137,7 +142,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         for batch in batches:
             severity, chance, grade = [], [], []
             for cell in batch.column(0):
-                above = model.at_least(words_of(cell.as_py()))
+                above = model.at_least(features_of(cell.as_py()))
                 each = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
                 severity.append(float(sum(above)))
                 chance.append(above[0] if above else 0.0)
