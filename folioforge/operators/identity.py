@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.cluster import checkpoints
+
 FOLDED = "capture_id string, doi string, url_hash string, first_seq long, last_seq long, arrivals long, merged long"
 
 
@@ -24,6 +26,7 @@ def latest_per_url(log: DataFrame) -> DataFrame:
 
 def components(log: DataFrame, most_rounds: int = 50) -> DataFrame:
     """log with `component`: the same for rows that share a URL hash or a DOI, directly or through others."""
+    checkpoints(log.sparkSession)
     links = log.where("doi != ''").select("url_hash", "doi").distinct()
     labels = links.select("url_hash", F.col("url_hash").alias("label")).distinct().checkpoint()
     for _ in range(most_rounds):
