@@ -212,7 +212,20 @@ def heading_classify(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("line", text.heading_kind(c).alias("kind"), text.heading_number(c).alias("number"), text.heading_title(c).alias("title"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, string_split('Keywords: a, b' || chr(10) || text || chr(10) || array_to_string(['2. Methods', 'We did', 'et', 'this.', 'Funding', ''], chr(10)), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, i AS pos, trim(regexp_replace(a[i], '\s+', ' ', 'g')) AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM t)),
+o AS (SELECT *, s <> '' AND coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY pos), '') <> '' AND (length(s) <= 3 OR (length(s) <= 6 AND s LIKE '%.')) AS orphan FROM l),
+g AS (SELECT *, sum((NOT orphan)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM o),
+m AS (SELECT doc_id, min(pos) AS pos, string_agg(s, ' ' ORDER BY pos) AS s FROM g GROUP BY doc_id, island),
+n AS (SELECT *, nullif(regexp_extract(s, '^(\d+(?:\.\d+)*)\s*[.)]\s+.', 1), '') AS num, regexp_replace(s, '^\d+(?:\.\d+)*\s*[.)]\s+(.)', '\1') AS title, regexp_matches(s, '(?i)^keywords?\s*:\s*.') AS kw FROM m WHERE s <> ''),
+h AS (SELECT *, length(s) BETWEEN 3 AND 220 AND NOT regexp_matches(s, '[.?!]$') AND (kw OR (NOT s LIKE '%:' AND regexp_matches(title, '^\p{L}[\p{L}\p{M}\p{N}_ \-–—,:;()''’/]{2,160}$') AND len(string_split(title, ' ')) <= 16
+  AND NOT regexp_matches(lower(substr(title, 1, 15)), '^(this |we |in this |however |therefore )'))) AS heading FROM n),
+k AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM h),
+b AS (SELECT doc_id, sec, max(s) FILTER (WHERE heading) AS head, max(title) FILTER (WHERE heading) AS title, max(num) FILTER (WHERE heading) AS num, coalesce(bool_or(kw) FILTER (WHERE heading), false) AS kw,
+  string_agg(CASE WHEN NOT heading THEN s WHEN kw THEN 'Keywords: ' || regexp_extract(s, '(?i)^keywords?\s*:\s*(.+)$', 1) END, chr(10) ORDER BY pos) AS text FROM k GROUP BY doc_id, sec)
+SELECT doc_id, printf('s%02d', row_number() OVER (PARTITION BY doc_id ORDER BY sec)) AS section_id, CASE WHEN head IS NULL THEN 'Body' WHEN kw THEN 'Keywords' ELSE title END AS title,
+  CASE WHEN head IS NULL THEN 'other' WHEN kw THEN 'keywords' WHEN regexp_matches(title, '(?i)^(methods?|methodology)$') THEN 'methods' WHEN regexp_matches(title, '(?i)^funding$') THEN 'funding' ELSE 'other' END AS kind,
+  CASE WHEN NOT kw THEN num END AS number, text FROM b WHERE text IS NOT NULL""")
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
     marked = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Keywords: a, b\n"), "text", F.lit("\n2. Methods\nWe did\net\nthis.\nFunding\n")).alias("t"))
     found = sections.split_sections(marked, "doc_id", "t")
