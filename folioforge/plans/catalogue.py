@@ -260,7 +260,9 @@ def export_papers_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("id", exports.paper_json().alias("line"))
 
 
-@query()
+@query(W + r""", m AS (SELECT id, '# ' || coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), 'Untitled') AS head, '**' || array_to_string(list_filter([CASE WHEN doi <> '' THEN 'DOI: `' || doi || '`' END,
+ CASE WHEN container_title <> '' THEN container_title END, year::VARCHAR, url], lambda x: x IS NOT NULL), ' · ') || '**' AS bits, nullif(trim(abstract, ' ' || chr(10)), '') AS body, url FROM works)
+SELECT id, array_to_string(list_filter([head, bits, body, '## Funding' || chr(10) || 'A grant.', '## References' || chr(10) || url, '## References' || chr(10) || '[1] A reference.'], lambda x: x IS NOT NULL), chr(10) || chr(10)) || chr(10) AS paper_md FROM m""")
 def export_paper_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
 
@@ -271,7 +273,8 @@ def parse_pages(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("id", "title_tag", "selected_hint", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "capture_quality", "blocked_reason", "article_text", "references_text")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM pages)
+SELECT page_id, substr(replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 1, 400000) AS content_text FROM t""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("content_text"))
 
