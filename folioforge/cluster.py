@@ -22,10 +22,3 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(archive)
     context._folioforge_shipped = True
-
-
-def checkpoints(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the one that the session names, or where it names none a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.cluster import checkpoints
+from folioforge.operators import graph
 
 FOLDED = "capture_id string, doi string, url_hash string, first_seq long, last_seq long, arrivals long, merged long"
 
@@ -24,21 +24,11 @@ def latest_per_url(log: DataFrame) -> DataFrame:
     return latest.where("n = 1").drop("n")
 
 
-def components(log: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(log: DataFrame) -> DataFrame:
     """log with `component`: the same for rows that share a URL hash or a DOI, directly or through others."""
-    checkpoints(log.sparkSession)
-    links = log.where("doi != ''").select("url_hash", "doi").distinct()
-    labels = links.select("url_hash", F.col("url_hash").alias("label")).distinct().checkpoint()
-    for _ in range(most_rounds):
-        by_doi = links.join(labels, "url_hash").groupBy("doi").agg(F.min("label").alias("label"))
-        new = links.join(by_doi, "doi").groupBy("url_hash").agg(F.min("label").alias("label"))
-        # The label's own label, so that chains shorten by half each round.
-        new = new.join(labels.select(F.col("url_hash").alias("label"), F.col("label").alias("further")), "label", "left").select("url_hash", F.least("label", "further").alias("label")).checkpoint()
-        changed = not new.join(labels, ["url_hash", "label"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
-            break
-    return log.join(labels, "url_hash", "left").withColumn("component", F.coalesce("label", "url_hash")).drop("label")
+    url = F.concat(F.lit("u"), "url_hash")
+    found = graph.components(log.where("doi != ''").select(url.alias("a"), F.concat(F.lit("d"), "doi").alias("b")))
+    return log.withColumn("node", url).join(found, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("node", "root")
 
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
