@@ -2,8 +2,9 @@
 
 Each live capture owns one (doi, url_hash) pair, which every arrival that hits it overwrites. An arrival with a DOI hits
 that DOI's owner, and another owner of its URL hash is merged into it; else it hits its URL hash's owner; else it is new.
-Rows can only meet within a connected component of DOIs and URL hashes, so components are found by joins and each is
-folded in order by itself. A log without DOIs needs no fold: the latest row of each URL hash is the answer.
+So a capture stays as an arrival left it until the next arrival at its DOI or its URL hash: windows by each of them tell
+which arrival takes it over, and connected components of these links are the captures. fold() says the same in one piece.
+A log without DOIs needs no links: the latest row of each URL hash is the answer. (captured_at, seq) tells arrivals apart.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import graph
 
-FOLDED = "capture_id string, doi string, url_hash string, first_seq long, last_seq long, arrivals long, merged long"
-
 
 def latest_per_url(log: DataFrame) -> DataFrame:
     """The latest row of each url_hash with its first captured_at as created_at. log: url_hash, captured_at, seq, ..."""
@@ -24,15 +23,8 @@ def latest_per_url(log: DataFrame) -> DataFrame:
     return latest.where("n = 1").drop("n")
 
 
-def components(log: DataFrame) -> DataFrame:
-    """log with `component`: the same for rows that share a URL hash or a DOI, directly or through others."""
-    url = F.concat(F.lit("u"), "url_hash")
-    found = graph.components(log.where("doi != ''").select(url.alias("a"), F.concat(F.lit("d"), "doi").alias("b")))
-    return log.withColumn("node", url).join(found, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("node", "root")
-
-
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The live captures of one component after its rows in (captured_at, seq) order."""
+    """The live captures of a log after its rows in (captured_at, seq) order, all in one place: what resolve() must equal."""
     live, by_doi, by_url = {}, {}, {}
     for r in rows.sort_values(["captured_at", "seq"]).itertuples():
         owner, other = by_doi.get(r.doi) if r.doi else None, by_url.get(r.url_hash)
@@ -56,9 +48,45 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(live.values()), columns=["capture_id", "doi", "url_hash", "first_seq", "last_seq", "arrivals", "merged"])
 
 
+def runs(log: DataFrame) -> DataFrame:
+    """first, last, url_hash, doi, arrivals, next, merges: arrivals at one URL hash, each taking over the capture of the one before.
+
+    `next` is the first arrival of the run that takes the capture over, null if it lives on; `merges` tells that it is merged there.
+    An arrival leaves a capture with its own DOI and URL hash, which the next arrival at either of them takes over.
+    """
+    at, doi = F.struct("captured_at", "seq").alias("at"), F.coalesce("doi", F.lit(""))
+    by_url, by_doi = Window.partitionBy("url_hash").orderBy("at"), Window.partitionBy("doi").orderBy("at")
+    rows = log.select("url_hash", "doi", at).withColumn("next_url", F.lead("at").over(by_url))
+    no_doi = rows.where(doi == "").withColumn("next_doi", F.lit(None).cast(rows.schema["at"].dataType)).withColumn("owned", F.lit(False))
+    before = F.lag(F.struct("at", "next_url")).over(by_doi)
+    # The DOI's last arrival still owns it unless its URL hash had another arrival since.
+    owned = before.isNotNull() & (before["next_url"].isNull() | (before["next_url"] >= F.col("at")))
+    rows = no_doi.unionByName(rows.where(doi != "").withColumn("next_doi", F.lead("at").over(by_doi)).withColumn("owned", owned))
+    rows = rows.withColumn("next", F.least("next_url", "next_doi")).withColumn("by_url", F.coalesce(F.col("next") == F.col("next_url"), F.lit(False))).withColumn("by_doi", F.coalesce(F.col("next") == F.col("next_doi"), F.lit(False)))
+    # A capture reached by its URL hash alone is merged if the DOI has an owner.
+    rows = rows.withColumn("merges", F.col("by_url") & ~F.col("by_doi") & F.coalesce(F.lead("owned").over(by_url), F.lit(False)))
+    goes_on = (F.col("by_url") & ~F.col("merges")).cast("int")
+    rows = rows.withColumn("starts", 1 - F.coalesce(F.lag(goes_on).over(by_url), F.lit(0))).withColumn("run", F.sum("starts").over(by_url))
+    end = F.max_by(F.struct("doi", "next", "merges"), "at").alias("end")
+    return rows.groupBy("url_hash", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("arrivals"), end).select("first", "last", "url_hash", "end.doi", "arrivals", "end.next", "end.merges")
+
+
 def resolve(log: DataFrame) -> DataFrame:
     """capture_id, doi, url_hash, first_seq, last_seq, arrivals, merged: one row per live capture. log: url_hash, doi, captured_at, seq."""
-    return components(log.select("url_hash", "doi", "captured_at", "seq")).groupBy("component").applyInPandas(fold, FOLDED)
+    found = graph.stored(runs(log), "identity-runs")
+    links = found.where("next is not null").select(F.col("first").alias("a"), F.col("next").alias("b"), "merges")
+    chains = graph.components(links.where("not merges").select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("chain"))
+    trees = graph.components(links.select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("tree"))
+    rows = found.join(chains, "first", "left").join(trees, "first", "left").withColumn("chain", F.coalesce("chain", "first")).withColumn("tree", F.coalesce("tree", "first"))
+    begun, ended = F.min_by("url_hash", "first").alias("begun"), F.max_by(F.struct("url_hash", "doi"), "last").alias("ended")
+    captures = rows.groupBy("tree", "chain").agg(begun, ended, F.max("last").alias("last"), F.sum("arrivals").alias("arrivals"))
+    # The last arrival of all that flowed together is at the capture that lives on.
+    live = captures.groupBy("tree").agg(F.max_by(F.struct("chain", "begun", "ended", "last", "arrivals"), "last").alias("c"), (F.count(F.lit(1)) - 1).alias("merged"))
+    seq = F.col("c.chain.seq")
+    return live.select(
+        F.concat(F.substring("c.begun", 1, 16), F.lit("-"), seq.cast("string")).alias("capture_id"), F.col("c.ended.doi").alias("doi"), F.col("c.ended.url_hash").alias("url_hash"),
+        seq.cast("long").alias("first_seq"), F.col("c.last.seq").cast("long").alias("last_seq"), F.col("c.arrivals").alias("arrivals"), "merged",
+    )
 
 
 def latest_artifacts(log: DataFrame, key: str, columns: list[str]) -> DataFrame:

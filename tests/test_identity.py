@@ -21,3 +21,15 @@ def chain(n):
 def test_a_long_chain_is_one_component(spark):
     log = chain(300)
     pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(log)).toPandas()), ordered(identity.fold(log)), check_dtype=False)
+
+
+def test_every_mix_of_arrivals_equals_the_fold_without_python_tasks(spark):
+    rng = random.Random(3)
+    rows = []
+    for group in range(60):
+        urls, dois = rng.randint(1, 7), rng.randint(1, 7)
+        rows += [(f"{group:020d}u{rng.randrange(urls)}", f"10.{group}/{rng.randrange(dois)}" if rng.random() < 0.6 else "", str(rng.randrange(9))) for _ in range(rng.randint(1, 50))]
+    log = pd.DataFrame([(*r, i) for i, r in enumerate(rows)], columns=["url_hash", "doi", "captured_at", "seq"])
+    found = identity.resolve(spark.createDataFrame(log))
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+    pd.testing.assert_frame_equal(ordered(found.toPandas()), ordered(identity.fold(log)), check_dtype=False)
