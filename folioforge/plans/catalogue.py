@@ -72,6 +72,19 @@ def fts_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return built.groupBy(F.col("capture_id").alias("id")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
+@query(C + """, known AS (SELECT id, title FROM captures UNION ALL SELECT capture_id, '' FROM texts WHERE capture_id NOT IN (SELECT id FROM captures)),
+tok AS (SELECT id, 'title' AS field, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM known
+UNION ALL SELECT capture_id, 'content_text', unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) FROM texts)
+SELECT id, count(DISTINCT t) FILTER (WHERE field = 'title') AS title_tokens, count(DISTINCT t) FILTER (WHERE field = 'content_text') AS text_tokens FROM tok WHERE t <> '' GROUP BY id""")
+def fts_rebuild_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The rebuild with all texts; documents without a page are captures without a title."""
+    texts, pages = views.texts(spark, d), views.captures(spark, d).select("id", "title")
+    bare = texts.select(F.col("capture_id").alias("id"), F.lit("").alias("title")).join(pages, "id", "left_anti")
+    built = fulltext.postings(pages.unionByName(bare), texts)
+    of = lambda field: F.count(F.when(F.col("field") == field, 1))
+    return built.groupBy(F.col("capture_id").alias("id")).agg(of("title").alias("title_tokens"), of("content_text").alias("text_tokens"))
+
+
 @query("""SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 > 0) AS captures, (SELECT count(*) FROM labels) AS indexed,
 (SELECT count(*) FROM documents WHERE doc_id % 10 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
 (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 > 0)) AS extra, false AS ok""")
