@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,8 +186,8 @@ def meta_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W + """SELECT id, array_to_string(authors, ', ') AS authors_str, CASE len(authors) WHEN 0 THEN '' WHEN 1 THEN 'Lee' WHEN 2 THEN 'Lee & Roe' ELSE 'Lee et al.' END AS authors_short,
 CASE WHEN length(trim(abstract, ' \n')) <= 220 THEN trim(abstract, ' \n') ELSE rtrim(substr(trim(abstract, ' \n'), 1, 219), ' \n') || '…' END AS abstract_snip FROM works""".replace("' \\n'", "' ' || chr(10)"))
-def citation_fields(spark: SparkSession, d: str) -> DataFrame:
-    w = views.works(spark, d)
+def citation_fields(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    w = views.works(spark, d, whole)
     return w.select("id", F.array_join("authors", ", ").alias("authors_str"), metadata.authors_short(F.col("authors")).alias("authors_short"), metadata.snippet(F.col("abstract")).alias("abstract_snip"))
 
 
@@ -251,33 +253,33 @@ SELECT id, '@' || CASE WHEN container_title <> '' THEN 'article' ELSE 'misc' END
  '  title = {' || t || '}', CASE WHEN len(authors) > 0 THEN '  author = {' || array_to_string(authors, ' and ') || '}' END, CASE WHEN container_title <> '' THEN '  journal = {' || container_title || '}' END,
  '  year = {' || year || '}', CASE WHEN doi <> '' THEN '  doi = {' || doi || '}' END, '  url = {' || url || '}', CASE WHEN a <> '' THEN '  abstract = {' || a || '}' END,
  CASE WHEN len(keywords) > 0 THEN '  keywords = {' || array_to_string(keywords, ', ') || '}' END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}' AS entry FROM e""")
-def export_bibtex(spark: SparkSession, d: str) -> DataFrame:
-    return views.works(spark, d).select("id", exports.bibtex_entry().alias("entry"))
+def export_bibtex(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return views.works(spark, d, whole).select("id", exports.bibtex_entry().alias("entry"))
 
 
 @query(W + r"""SELECT id, array_to_string(list_concat(list_concat(list_concat(list_filter(['TY  - ' || CASE WHEN container_title <> '' THEN 'JOUR' ELSE 'GEN' END, CASE WHEN title <> '' THEN 'TI  - ' || trim(title, ' ' || chr(10)) END], lambda x: x IS NOT NULL),
  list_transform(authors, lambda a: 'AU  - ' || a)), list_filter([CASE WHEN container_title <> '' THEN 'JO  - ' || container_title END, 'PY  - ' || year, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'UR  - ' || url,
  CASE WHEN trim(regexp_replace(abstract, '\s+', ' ', 'g')) <> '' THEN 'AB  - ' || trim(regexp_replace(abstract, '\s+', ' ', 'g')) END], lambda x: x IS NOT NULL)), list_concat(list_transform(keywords, lambda k: 'KW  - ' || k), ['ER  -'])), chr(10)) AS entry FROM works""")
-def export_ris(spark: SparkSession, d: str) -> DataFrame:
-    return views.works(spark, d).select("id", exports.ris_entry().alias("entry"))
+def export_ris(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return views.works(spark, d, whole).select("id", exports.ris_entry().alias("entry"))
 
 
-def _papers(spark: SparkSession, d: str) -> DataFrame:
+def _papers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     section = lambda i, kind, title, body: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), body.alias("text"))
     s = F.array(section("s01", "other", "Body", F.col("abstract")), section("s02", "funding", "Funding", F.lit("A grant.")), section("s03", "references", "References", F.col("url")))
-    return views.works(spark, d).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
+    return views.works(spark, d, whole).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
 
 
 @query()
-def export_papers_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    return _papers(spark, d).select("id", exports.paper_json().alias("line"))
+def export_papers_jsonl(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _papers(spark, d, whole).select("id", exports.paper_json().alias("line"))
 
 
 @query(W + r""", m AS (SELECT id, '# ' || coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), 'Untitled') AS head, '**' || array_to_string(list_filter([CASE WHEN doi <> '' THEN 'DOI: `' || doi || '`' END,
  CASE WHEN container_title <> '' THEN container_title END, year::VARCHAR, url], lambda x: x IS NOT NULL), ' · ') || '**' AS bits, nullif(trim(abstract, ' ' || chr(10)), '') AS body, url FROM works)
 SELECT id, array_to_string(list_filter([head, bits, body, '## Funding' || chr(10) || 'A grant.', '## References' || chr(10) || url, '## References' || chr(10) || '[1] A reference.'], lambda x: x IS NOT NULL), chr(10) || chr(10)) || chr(10) AS paper_md FROM m""")
-def export_paper_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return _papers(spark, d).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
+def export_paper_markdown(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return _papers(spark, d, whole).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
 
 
 @query()
@@ -333,3 +335,25 @@ def export_sections_json(spark: SparkSession, d: str) -> DataFrame:
 @query(C + "SELECT id, url FROM captures WHERE id IN (SELECT capture_id FROM items WHERE collection_id = 2)")
 def export_scope(spark: SparkSession, d: str) -> DataFrame:
     return exports.scope(views.captures(spark, d), views.items(spark, d), collection=2).select("id", "url")
+
+
+_WHOLE = "WITH " + views.WHOLE_WORKS_SQL
+# The same with whole texts as abstracts and section bodies.
+for _f in (citation_fields, export_bibtex, export_ris, export_papers_jsonl, export_paper_markdown):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
+    if _f.__name__ in ORACLE_SQL:
+        ORACLE_SQL[f"{_f.__name__}_whole"] = ORACLE_SQL[_f.__name__].replace(W, _WHOLE)
+
+
+@query(_WHOLE + """, m AS (SELECT id, CASE WHEN abstract <> '' THEN '# ' || id || chr(10) || chr(10) || abstract || '.' ELSE '' END AS md FROM works), f AS (SELECT min(id) AS first FROM m WHERE md <> '')
+SELECT '# All' || chr(10) || chr(10) || '_Items: ' || count(*) || '_' || chr(10) AS value FROM m
+UNION ALL SELECT CASE WHEN id = first THEN chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || md || chr(10) FROM m, f WHERE md <> ''""")
+def export_master_markdown_whole(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d, whole=True).withColumn("paper_md", F.when(F.col("abstract") != "", F.concat(F.lit("# "), "id", F.lit("\n\n"), "abstract", F.lit(".\n"))))
+    return exports.master_markdown(w, "All", ["id"]).select("value")
+
+
+@query(_WHOLE + """SELECT id, '{"container_title":' || to_json(container_title) || ',"doi":' || to_json(doi) || ',"id":' || to_json(id) || ',"sections":[{"kind":"other","text":' || to_json(abstract) || '}],"title":' || to_json(title) || ',"url":' || to_json(url) || ',"year":' || coalesce(year::VARCHAR, 'null') || '}' AS item FROM works""")
+def export_sections_json_whole(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d, whole=True).withColumn("sections", F.array(F.struct(F.lit("other").alias("kind"), F.col("abstract").alias("text"))))
+    return w.select("id", exports.sections_json().alias("item"))

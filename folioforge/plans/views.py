@@ -36,8 +36,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("collection_id"), F.col("doc_id").cast("string").alias("capture_id"))
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bibliographic rows made of documents: every field is blank in some of them."""
+def works(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Bibliographic rows made of documents: every field is blank in some of them. The abstract is the text, or its beginning unless `whole`."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
@@ -49,7 +49,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("Journal of "), F.col("source"))).alias("container_title"),
         F.when(i % 6 == 0, F.array().cast("array<string>")).when(i % 6 == 1, F.array(F.lit("Ann Lee"))).when(i % 6 == 2, F.array(F.lit("Ann Lee"), F.lit("Bo Roe"))).otherwise(F.array(F.lit("Ann Lee"), F.lit("Bo Roe"), F.lit("Cy Poe"))).alias("authors"),
         F.when(i % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("lang"), F.col("source"))).alias("keywords"),
-        F.when(i % 9 == 0, "").otherwise(F.substring("text", 1, 300)).alias("abstract"),
+        F.when(i % 9 == 0, "").otherwise(F.col("text") if whole else F.substring("text", 1, 300)).alias("abstract"),
     )
 
 
@@ -73,3 +73,5 @@ works AS (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'T
   CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 6 = 1 THEN ['Ann Lee'] WHEN doc_id % 6 = 2 THEN ['Ann Lee', 'Bo Roe'] ELSE ['Ann Lee', 'Bo Roe', 'Cy Poe'] END::VARCHAR[] AS authors,
   CASE WHEN doc_id % 8 = 0 THEN [] ELSE [lang, source] END::VARCHAR[] AS keywords, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 300) END AS abstract FROM documents)
 """
+
+WHOLE_WORKS_SQL = WORKS_SQL.replace("substr(text, 1, 300)", "text")
