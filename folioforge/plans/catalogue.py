@@ -95,6 +95,14 @@ def fts_verify(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.verify(docs, views.table(spark, d, "labels").select(F.col("doc_id").alias("capture_id")))
 
 
+@query("""SELECT *, missing = 0 AND extra = 0 AS ok FROM (SELECT (SELECT count(*) FROM documents) AS captures, (SELECT count(*) FROM labels) AS indexed,
+(SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS extra)""")
+def fts_verify_all(spark: SparkSession, d: str) -> DataFrame:
+    """The verification of all documents against labels."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return fulltext.verify(docs, views.table(spark, d, "labels").select(F.col("doc_id").alias("capture_id")))
+
+
 @query(C + "SELECT c.id, c.name, count(i.capture_id) AS count FROM collections c LEFT JOIN items i ON i.collection_id = c.id GROUP BY c.id, c.name")
 def collections_with_counts(spark: SparkSession, d: str) -> DataFrame:
     return collections.with_counts(views.collections(spark, d), views.items(spark, d))
