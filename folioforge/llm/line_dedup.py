@@ -13,8 +13,9 @@ candidate is verified with levenshtein() on the whole lines.
 
 A line is dropped if it occurred before, or if an earlier different line is within one edit. Lines come in the order of
 document identifier, then hash of the document, then place. Blank lines and lines of under `min_chars` characters
-always stay, since they say nothing about copying. A line is what "\n" separates. Equal lines
-are found by 125 bits of hash, near ones verified character by character.
+always stay; lines of under `near_chars` characters go only as exact repeats, since one edit makes another word of them.
+op9_line_dedup keeps every line of under MIN_CHARS; op9_line_dedup_all_lines and the pipeline drop exact repeats of any
+length. A line is what "\n" separates. Equal lines are found by 125 bits of hash, near ones verified character by character.
 
 Defined results: null texts count as empty (one blank line). Null identifiers come first. Rows equal in identifier and
 text are one document with one result, given for each of them. Lines of any length are compared whole. An empty table
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import stored, table, whole
 
-#: Lines of fewer characters always stay.
+#: Lines of fewer characters are near no other, and stay by default.
 MIN_CHARS = 16
 #: What a line that is not blank holds.
 SOMETHING = r"[^\x20\x09-\x0D]"
@@ -61,11 +62,12 @@ def eligible_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     return rows.where(_eligible(F.col("line"), min_chars)).select(F.struct("id", "doc", "pos").alias("at"), "line")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h, at, keys: each different line's hash, first occurrence and rests. Lines are told apart by 125 bits of hash, so texts don't move."""
+def distinct_lines(lines: DataFrame, near_chars: int = MIN_CHARS) -> DataFrame:
+    """h, at, keys: each different line's hash, first occurrence and rests (none under near_chars characters). Lines are told apart by 125 bits of hash, so texts don't move."""
     low = 2 * BLOCKS - 1
     h = F.xxhash64("line").bitwiseAND(F.lit(~low)).alias("h")  # room for a role in its last bits
-    first = F.min(F.struct("at", _rests(F.col("line")).alias("keys"))).alias("first")
+    keys = F.when(F.char_length("line") >= near_chars, _rests(F.col("line")))
+    first = F.min(F.struct("at", keys.alias("keys"))).alias("first")
     return lines.groupBy(h, F.xxhash64(F.lit(1), F.col("line")).alias("h2")).agg(first).select("h", "first.at", "first.keys")
 
 
@@ -123,10 +125,10 @@ def near_earlier(partnered: DataFrame) -> DataFrame:
     return verified.select("at").distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
     """id, doc, kept: the places of the eligible lines that stay, by document; documents without any are missing."""
     lines = eligible_lines(docs, id_col, text_col, min_chars)
-    firsts = stored(distinct_lines(lines), "line-dedup-firsts")
+    firsts = stored(distinct_lines(lines, near_chars), "line-dedup-firsts")
     asked = stored(partners(firsts), "line-dedup-asked")
     partnered = stored(with_texts(lines, asked), "line-dedup-texts")
     stay = firsts.select("at").join(near_earlier(partnered), "at", "left_anti")
@@ -139,21 +141,21 @@ def _places(lines: Column, kept: Column, min_chars: int) -> Column:
     return F.array_sort(F.concat(F.coalesce(kept, F.array().cast("array<int>")), free))
 
 
-def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
     """id, n_lines, n_kept, kept (places from 0 that stay): one row per document."""
     text = whole(docs[text_col])
     lines = F.split(text, "\n", -1)
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col], text).alias("doc"), F.size(lines).alias("n_lines"), _places(lines, F.lit(None).cast("array<int>"), min_chars).alias("free"))
-    found = kept_lines(docs, id_col, text_col, min_chars).withColumnRenamed("id", "kept_id").withColumnRenamed("doc", "kept_doc")
+    found = kept_lines(docs, id_col, text_col, min_chars, near_chars).withColumnRenamed("id", "kept_id").withColumnRenamed("doc", "kept_doc")
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("doc") == F.col("kept_doc")), "left")
     joined = joined.withColumn("kept", F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), "free")))
     return joined.select("id", "n_lines", F.size("kept").alias("n_kept"), "kept")
 
 
-def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that stays; documents that lose their last line which is not blank are gone."""
     text = whole(docs[text_col])
-    found = kept_lines(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
+    found = kept_lines(docs, id_col, text_col, min_chars, near_chars).select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
     joined = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[id_col], text) == F.col("__doc")), "left")
     held = F.array(F.struct(F.split(text, "\n", -1).alias("x"), F.col("__kept").alias("k")))
     built = F.transform(held, lambda s: F.array_join(F.transform(_places(s["x"], s["k"], min_chars), lambda i: s["x"][i]), "\n"))[0]
@@ -161,11 +163,19 @@ def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col("__text").alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_decisions(table(spark, sf_dir, "documents"))
+def _listed(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(dedup_decisions(table(spark, sf_dir, "documents")))
+
+
+def op9_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact repeats of lines of any length go too."""
+    return _listed(dedup_decisions(table(spark, sf_dir, "documents"), min_chars=1))
+
+
 SQL = r"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM x)),
@@ -183,3 +193,5 @@ s AS (SELECT e.doc_id, e.pos, NOT ok OR (f.line IS NOT NULL AND g.line IS NULL)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE stays) AS n_kept, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (WHERE stays), '') AS kept_lines
 FROM s GROUP BY doc_id
 """
+
+SQL_ALL_LINES = SQL.replace("length(line) >= 16 AND ", "").replace("f a JOIN f b", "fn a JOIN fn b").replace("\np AS (", "\nfn AS (SELECT * FROM f WHERE n >= 16),\np AS (")

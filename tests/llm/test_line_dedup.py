@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+
+import corpus_pipeline
 from folioforge.llm import line_dedup
 from tests.llm.fixtures import docs, edge_docs, empty_docs
 
@@ -62,3 +65,21 @@ def test_text_and_edges(spark):
     assert [k[1] for k in kept] == [1, 2, 3, 4, 6, 8, 0]  # 5 and 7 hold nothing but what came before
     assert line_dedup.dedup_text(edge).columns == edge.columns
     assert line_dedup.dedup_text(empty_docs(spark)).count() == 0 and line_dedup.dedup_decisions(empty_docs(spark)).count() == 0
+
+
+def test_exact_repeats_of_short_lines_go(spark):
+    given = docs(spark, ["yes\n\nno", "yes\nnot\n", "a line that is long enough to count", "a line that is long enough to count!\nno", "fifteen charact", "fifteen charact1"])
+    got = {r.id: r.kept for r in line_dedup.dedup_decisions(given, min_chars=1).collect()}
+    assert got == {0: [0, 1, 2], 1: [1, 2], 2: [0], 3: [], 4: [0], 5: [0]}
+
+
+def test_pipeline_keeps_no_short_repeat(spark):
+    given = docs(spark, ["yes\nno", "yes\nnot"])
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, given, "").collect()} == {0: ("yes\nno", 6), 1: ("not", 3)}
+
+
+def test_all_lines_equal_their_sql(spark):
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    got = [tuple(r) for r in line_dedup.op9_line_dedup_all_lines(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(duckdb.sql(line_dedup.SQL_ALL_LINES).fetchall())
+    assert sum(r[2] for r in got) < sum(r[2] for r in duckdb.sql(line_dedup.SQL).fetchall())
