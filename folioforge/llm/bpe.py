@@ -18,6 +18,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -30,8 +31,9 @@ from folioforge.llm.common import table, whole
 LEAF = 8
 #: Bytes up to which merging scans all neighbours instead of keeping a heap.
 SHORT = 96
-#: Encoded pieces that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Encoded pieces, pairs and leaves that a task remembers, each; beyond it that memory starts anew. At 65,536 of at most
+#: 64 bytes each they stay below about 60 MB.
+REMEMBERED = 65_536
 #: Tokens of a leaf of the decoding tree.
 DECODE_LEAF = 4096
 
@@ -100,9 +102,11 @@ class Encoder:
     def pair(self, a: bytes, b: bytes) -> tuple[bytes, ...]:
         """The encoding of two neighbours; (a, b) if they stay as they are."""
         if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[a, b] = tuple(merged(a + b, self.ranks))
+            found = tuple(merged(a + b, self.ranks))
+            if len(a) + len(b) <= 64:
+                if len(self.pairs) >= REMEMBERED:
+                    self.pairs.clear()
+                self.pairs[a, b] = found
         return found
 
     def join(self, a: tuple[bytes, ...], b: tuple[bytes, ...]) -> tuple[bytes, ...]:
@@ -154,15 +158,26 @@ class Encoder:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+    def forget(self) -> None:
+        """Drop what is remembered; the ranks stay."""
+        for memory in (self.pairs, self.leaves, self.known):
+            memory.clear()
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder_for(ranks_path: str, pattern: str) -> Encoder:
-    """This process's encoder: Spark reuses its Python workers, so what one task remembers serves the next."""
+@contextmanager
+def encoder_for(ranks_path: str, pattern: str) -> Iterator[Encoder]:
+    """This process's encoder. Spark reuses its Python workers: the ranks serve the next task, what a task remembers goes with it."""
     key = (ranks_path, pattern)
     if key not in _encoders:
+        _encoders.clear()  # one table of ranks a worker
         _encoders[key] = Encoder(load_ranks(ranks_path), pattern)
-    return _encoders[key]
+    try:
+        yield _encoders[key]
+    finally:
+        _encoders[key].forget()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -172,22 +187,22 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(ranks_path, pattern)
-        for batch in batches:
-            n, first, second = [], [], []
-            for cell in batch.column(1):
-                ids = encoder.encode(cell.as_py())
-                n.append(len(ids))
+        with encoder_for(ranks_path, pattern) as encoder:
+            for batch in batches:
+                n, first, second = [], [], []
+                for cell in batch.column(1):
+                    ids = encoder.encode(cell.as_py())
+                    n.append(len(ids))
+                    if digests:
+                        first.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                        second.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                    else:
+                        first.append([int(i) for i in ids])
+                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32()))]
+                names = ["id", "n_tokens", "ids_sha256" if digests else "ids"]
                 if digests:
-                    first.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    second.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                else:
-                    first.append([int(i) for i in ids])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32()))]
-            names = ["id", "n_tokens", "ids_sha256" if digests else "ids"]
-            if digests:
-                columns, names = [*columns, pa.array(second, pa.string())], [*names, "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns, names = [*columns, pa.array(second, pa.string())], [*names, "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"))
@@ -197,10 +212,10 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "id", id
     """id, data (binary): the bytes of each row's ids. Null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(ranks_path, r"\X")
-        for batch in batches:
-            data = [encoder.decode([str(i) for i in cell.as_py() or []]) for cell in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])
+        with encoder_for(ranks_path, r"\X") as encoder:
+            for batch in batches:
+                data = [encoder.decode([str(i) for i in cell.as_py() or []]) for cell in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, data binary")

@@ -13,14 +13,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only where all of Spark runs in one process may the session name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="folioforge-"))
     return found.rstrip("/")
 
 
+#: Folders of local sessions that name none.
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -32,12 +37,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -54,3 +53,22 @@ def word_count(text: Column) -> Column:
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows; reads no more than one row beyond that."""
     return df.limit(most + 1).count() <= most
+
+
+def bits_for(count: int, most: int) -> int:
+    """Bits of a bitmap for so many values, a power of two: 16 a value, but at most `most`."""
+    return min(most, 1 << max(16, (16 * count - 1).bit_length() if count else 0))
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """word, mask: a bitmap of the hashes (longs) in a column, 64 bits a row, so at most bits / 64 rows whatever the data."""
+    bit = hashes.select(F.pmod(F.col(column), F.lit(bits)).alias("bit"))
+    return bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+
+
+def maybe_held(rows: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
+    """The rows whose hash (a long) may be in a bitmap: all that are, and few others. The bitmap is broadcast: at most bits / 64 rows of two longs."""
+    bit = F.pmod(F.col(column), F.lit(bits))
+    probed = rows.withColumn("_word", F.shiftright(bit, 6)).withColumn("_place", bit.bitwiseAND(F.lit(63)).cast("int"))
+    probed = probed.join(F.broadcast(words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))), "_word")
+    return probed.where(F.expr("_mask & shiftleft(1L, _place) != 0")).select(*rows.columns)

@@ -4,8 +4,10 @@ P(grade <= k) = sigmoid(theta_k - w * x): one weight a word, shared by all thres
 prediction is the expected severity, the sum over k of P(grade >= k). Features say which words (runs of letters, lower
 case) and beginnings of words a text holds; those are used whose presence goes with toxic labels, or against them, beyond chance.
 
-Labels say toxic or not; a toxic document's grade grows with the number of different toxic words in it (STEPS), so
-severity means how much of a document's wording is of that kind.
+Labels say toxic or not. A toxic document's grade (1 to GRADES) comes from outside its own evidence: the sample is cut into
+FOLDS by hash, each fold is judged by a model of toxic or not fitted on the other folds, and the toxic documents are cut at
+equal shares of those out-of-fold scores. So severity means how surely documents of a kind are told from clean ones by
+what others teach.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE, the smallest hashes of their identifiers); counting
 and choosing words are Spark aggregations over that sample, and at most FEATURES weights reach the executors. Every
@@ -42,9 +44,8 @@ LEAST_DOCS, LEAST_PART = 3, 0.0005
 REJECT = 0.5
 #: Weight of the squared weights in the loss of the whole sample.
 RIDGE = 0.05
-#: Different toxic words from which a toxic document's grade is 2, and 3.
-STEPS = (3, 6)
-
+#: Grades of toxic documents, cut at equal shares of their out-of-fold scores, and the folds for these.
+GRADES, FOLDS = 3, 3
 #: Letters of a word's beginning that are a feature of their own.
 BEGINNING = 4
 
@@ -101,19 +102,35 @@ def fit(rows: list[list[int]], grades: np.ndarray, features: int, steps: int = 6
     return p[:features], np.cumsum(np.concatenate([p[features : features + 1], np.exp(p[features + 1 :])]))
 
 
+def graded(rows: list[list[int]], toxic: np.ndarray, fold: np.ndarray, features: int) -> np.ndarray:
+    """Grades from 0: toxic rows at equal shares of the scores that models of the other folds give them. Without toxic and other rows outside every fold, all toxic rows have grade 1."""
+    scores = np.zeros(len(rows))
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(set(toxic[rest].tolist())) < 2:
+            return toxic.copy()
+        w, _ = fit([rows[i] for i in rest], toxic[rest], features, steps=300)
+        scores[own] = [w[rows[i]].sum() for i in own]
+    order = scores[toxic == 1]
+    cuts = np.quantile(order, np.arange(1, GRADES) / GRADES)
+    grade = toxic.copy()
+    grade[toxic == 1] += np.searchsorted(cuts, order, side="left")
+    return np.searchsorted(np.unique(grade), grade)  # grades that nothing has are left out
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel:
     """labels: id, toxic (0 or 1). Fits on the labelled documents of the sample."""
-    spark = docs.sparkSession
     chosen = labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = stored(chosen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
+            found = [sorted(features_of(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["toxic", "fold", "words"])
 
     texts = docs.select(docs[id_col].alias("id"), whole(docs[text_col]).alias("text"))
-    labelled = texts.join(F.broadcast(stored(chosen, "toxicity-sample")), "id").select("toxic", "text")  # at most `sample` rows
-    bags = stored(labelled.mapInArrow(run, "toxic int, words array<string>"), "toxicity-bags")
+    labelled = texts.join(F.broadcast(chosen), "id").select("toxic", "fold", "text")  # at most `sample` rows
+    bags = stored(labelled.mapInArrow(bag, "toxic int, fold int, words array<string>"), "toxicity-bags")
     n, toxic = bags.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     if not n or not toxic or toxic == n:
         return OrdinalModel({}, [])
@@ -121,17 +138,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     each = bags.select(F.explode("words").alias("word"), (F.col("toxic") > 0).cast("long").alias("toxic")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     z = F.abs(F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
     best = each.where(F.col("n") >= max(LEAST_DOCS, LEAST_PART * n)).withColumn("z", z).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "word").limit(FEATURES)
-    chosen_words = best.collect()
-    vocabulary = [r["word"] for r in chosen_words]
-    graded_by = {r["word"] for r in chosen_words if r["t"] > r["n"] * p and not r["word"].endswith("*")}
+    vocabulary = [r["word"] for r in best.collect()]
     if not vocabulary:
         return OrdinalModel({}, [])
     number = {w: i for i, w in enumerate(vocabulary)}
-    used = spark.createDataFrame([(vocabulary,)], "vocabulary array<string>")  # one row of at most FEATURES words
-    kept = bags.crossJoin(F.broadcast(used)).select("toxic", F.array_intersect("words", "vocabulary").alias("words")).collect()  # at most `sample` rows of known words
-    kept.sort(key=lambda r: (r["toxic"], r["words"]))
-    grade = np.array([1 + sum(len(graded_by.intersection(r["words"])) >= s for s in STEPS) if r["toxic"] else 0 for r in kept])
-    weights, thetas = fit([[number[w] for w in r["words"]] for r in kept], grade, len(vocabulary))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[number[w] for w in words.as_py() if w in number] for words in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "fold", "found"])
+
+    kept = sorted((r["toxic"], r["fold"], sorted(r["found"])) for r in bags.mapInArrow(numbered, "toxic int, fold int, found array<int>").collect())  # at most `sample` rows of known words
+    rows, is_toxic, fold = [r[2] for r in kept], np.array([int(r[0] > 0) for r in kept]), np.array([r[1] for r in kept])
+    weights, thetas = fit(rows, graded(rows, is_toxic, fold, len(vocabulary)), len(vocabulary))
     return OrdinalModel(dict(zip(vocabulary, weights.tolist(), strict=True)), thetas.tolist())
 
 
@@ -155,6 +174,18 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"{kept}, severity double, chance double, grade int")
 
 
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose chance of any severity stays below REJECT, unchanged. Rows cross to Python once, whatever their columns are named."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            above = (model.at_least(features_of(cell.as_py() or "")) for cell in batch.column(at))
+            yield batch.filter(pa.array([not a or a[0] < REJECT for a in above], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxic_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
 

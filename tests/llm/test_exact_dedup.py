@@ -36,12 +36,34 @@ def test_texts_that_share_a_digest_are_told_apart(spark, monkeypatch):
         assert got(exact_dedup.exact_dedup(given)) == brute(given.collect(), max)
 
 
-def test_runs_are_sorted_and_flushes_add_up(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
-    rows = spark.range(100).select("id", F.unhex(F.sha2((F.col("id") % 7).cast("string"), 256)).alias("digest"))
-    index.flush(rows)
-    index.flush(rows.withColumn("id", F.col("id") + 1000))
-    for part in (tmp_path / "index" / "runs").glob("*.parquet"):
+def entries(index):
+    return sorted((bytes(r.digest), r.keep, r.n) for r in index.compact().collect())
+
+
+def test_batches_equal_one_and_older_runs_are_looked_up(spark, tmp_path):
+    digest = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    rows = spark.range(400).select("id", digest(F.col("id") % 150).alias("digest"))
+    once = exact_dedup.DigestIndex(spark, str(tmp_path / "once"))
+    all_hits = {bytes(r.digest) for r in once.flush(rows).collect()}
+    index, hits = exact_dedup.DigestIndex(spark, str(tmp_path / "index")), set()
+    for k in range(5):
+        hits |= {bytes(r.digest) for r in index.flush(rows.where(F.col("id").between(80 * k, 80 * k + 79))).collect()}
+    assert index.flush(rows.limit(0)).count() == 0
+    assert [len(level) for level in index.levels] == [1, 0, 1]  # four runs are one two levels up
+    assert hits == all_hits
+    for part in (tmp_path / "index").rglob("entries/*.parquet"):
         digests = [bytes(r.digest) for r in spark.read.parquet(str(part)).collect()]
         assert digests == sorted(digests)
-    assert sorted((r.keep, r.n) for r in index.compact().collect()) == sorted([(1000 + max(i for i in range(100) if i % 7 == k), 2 * sum(i % 7 == k for i in range(100))) for k in range(7)])
+    run = index.runs()[0]
+    probe = spark.range(1000, 2000).select(digest(F.col("id")).alias("digest"))
+    likely = exact_dedup.maybe_held(exact_dedup.hashed(probe), "h", run.words, run.bits).count()
+    assert likely < 100 and run.holds(probe.unionByName(run.entries.select("digest").limit(7))).count() == 7
+    assert entries(index) == entries(once)
+
+
+def test_memtables_make_no_difference_and_the_query_is_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{d}/documents.parquet")
+    want = brute(given.collect(), max)
+    assert got(exact_dedup.exact_dedup(given, memtables=1)) == got(exact_dedup.exact_dedup(given, memtables=7)) == want
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.op10_exact_dedup(spark, d).collect()) == want
