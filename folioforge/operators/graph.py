@@ -5,20 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that name none.
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only where all of Spark runs in one process may the session name none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="folioforge-"))
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the folder that driver and executors share and read back: lineage ends there."""
-    conf = df.sparkSession.conf
-    if not conf.get("spark.checkpoint.dir", None):
-        conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folioforge-"))
-    path = f"{conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df written as Parquet to the shared folder and read back: lineage ends there, and executors may be lost."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of the edges (a, b) with the smallest node that it reaches. There is no bound on the rounds."""
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
@@ -30,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "components")
+        edges, old = stored(small, "components"), edges
+        dropped(old)
         now = state(edges)
         if now == before:
             break
