@@ -12,10 +12,13 @@ So a key needs no pairs among its lines, only a join with the earliest line on t
 candidate is verified with levenshtein() on the whole lines.
 
 A line is dropped if it occurred before, or if an earlier different line is within one edit. Lines come in the order of
-document identifier, then hash of the document, then place. Blank lines and lines of under `min_chars` characters
-always stay; lines of under `near_chars` characters go only as exact repeats, since one edit makes another word of them.
-op9_line_dedup keeps every line of under MIN_CHARS; op9_line_dedup_all_lines and the pipeline drop exact repeats of any
-length. A line is what "\n" separates. Equal lines are found by 125 bits of hash, near ones verified character by character.
+document identifier, then hash of the document, then place. Blank lines always stay; so do lines of under `min_chars`
+characters where a caller asks for that. Lines of under `near_chars` characters go only as exact repeats, since one edit
+makes another word of them. A line is what "\n" separates. Equal lines are found by 125 bits of hash, keys by 128, near lines
+are verified character by character.
+
+A rest or variant may be that of any part of all lines: each is folded to counts or first lines before the shuffle, and
+what needs its lines again is a join, which adaptive execution splits where a key is skewed.
 
 Defined results: null texts count as empty (one blank line). Null identifiers come first. Rows equal in identifier and
 text are one document with one result, given for each of them. Lines of any length are compared whole. An empty table
@@ -27,16 +30,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import stored, table, whole
+from folioforge.llm.common import bitmap, bits_for, maybe_held, stored, table, whole
 
-#: Lines of fewer characters are near no other, and stay by default.
-MIN_CHARS = 16
+#: Lines of fewer characters are near no other.
+NEAR_CHARS = 16
 #: What a line that is not blank holds.
 SOMETHING = r"[^\x20\x09-\x0D]"
 #: Blocks of a line; one edit falls into one of them.
 BLOCKS = 4
-#: Bits of the filter that finds the lines whose texts are needed.
-FILTER_BITS = 1 << 23
+#: Bits, at most, of the bitmaps that keep most lines and rests where they are: 16 MB. They have 16 bits a value; from 8 million
+#: values on they let more through, and past some 100 million all lines move once.
+FILTER_BITS = 1 << 27
 
 
 def _eligible(line: Column, min_chars: int) -> Column:
@@ -62,13 +66,15 @@ def eligible_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     return rows.where(_eligible(F.col("line"), min_chars)).select(F.struct("id", "doc", "pos").alias("at"), "line")
 
 
-def distinct_lines(lines: DataFrame, near_chars: int = MIN_CHARS) -> DataFrame:
-    """h, at, keys: each different line's hash, first occurrence and rests (none under near_chars characters). Lines are told apart by 125 bits of hash, so texts don't move."""
+def distinct_lines(lines: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """h, at, copies, keys: each different line's hash, first occurrence, occurrences (0 under near_chars characters) and rests (none under near_chars). Lines are told apart by 125 bits of hash, so texts don't move."""
     low = 2 * BLOCKS - 1
     h = F.xxhash64("line").bitwiseAND(F.lit(~low)).alias("h")  # room for a role in its last bits
-    keys = F.when(F.char_length("line") >= near_chars, _rests(F.col("line")))
-    first = F.min(F.struct("at", keys.alias("keys"))).alias("first")
-    return lines.groupBy(h, F.xxhash64(F.lit(1), F.col("line")).alias("h2")).agg(first).select("h", "first.at", "first.keys")
+    keys = F.when(F.char_length("line") >= near_chars, _rests(F.col("line"))).alias("keys")
+    hashed = lines.select("at", h, F.xxhash64(F.lit(1), F.col("line")).alias("h2"), keys)
+    # Rests that are used twice are computed once and ahead of the aggregation, which then sorts them and not the lines.
+    first, copies = F.min(F.struct("at", "keys")).alias("first"), F.count("keys").alias("copies")
+    return hashed.groupBy("h", "h2").agg(first, copies).select("h", "first.at", "copies", "first.keys")
 
 
 def partners(firsts: DataFrame) -> DataFrame:
@@ -76,22 +82,21 @@ def partners(firsts: DataFrame) -> DataFrame:
     low = F.lit(2 * BLOCKS - 1)
     keyed = firsts.select("h", F.posexplode("keys").alias("role", "key")).select("key", F.col("h").bitwiseOR(F.col("role").cast("long")).alias("hr"))
     role = F.col("hr").bitwiseAND(low.cast("long")).cast("int")
-    same = Window.partitionBy("key")
-    long, short = F.sum((role < BLOCKS).cast("int")).over(same), F.sum((role >= BLOCKS).cast("int")).over(same)
-    met = keyed.withColumn("long", long).withColumn("short", short).where("long > 1 or (long = 1 and short > 0)")
-    rest = F.struct("key", role.alias("role"), (F.col("short") > 0).alias("short"))
-    rests = met.groupBy((F.col("hr").bitwiseAND(F.lit(~(2 * BLOCKS - 1)))).alias("h")).agg(F.collect_set(rest).alias("rests"))
+    is_long = (role < BLOCKS).cast("long")
+    counts = keyed.groupBy("key").agg(F.sum(is_long).alias("long"), F.sum(1 - is_long).alias("short"))
+    met = stored(counts.where("long > 1 or (long = 1 and short > 0)").select("key", (F.col("short") > 0).alias("short")), "line-dedup-met")
+    bits = bits_for(met.count(), FILTER_BITS)
+    likely = maybe_held(keyed, "key", bitmap(met, "key", bits), bits).join(met, "key")
+    rest = F.struct("key", role.alias("role"), "short")
+    rests = likely.groupBy((F.col("hr").bitwiseAND(F.lit(~(2 * BLOCKS - 1)))).alias("h")).agg(F.collect_set(rest).alias("rests"))
     return firsts.select("h", "at").join(rests, "h").select("at", "rests")
 
 
 def with_texts(lines: DataFrame, asked: DataFrame) -> DataFrame:
-    """at, rests, line: the texts of the lines asked for (at, rests).
-
-    A bitmap of FILTER_BITS bits, at most FILTER_BITS / 64 rows whatever the data, keeps other lines out of the shuffle.
-    """
-    bit = F.pmod(F.xxhash64("at"), F.lit(FILTER_BITS))
-    words = asked.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    likely = lines.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word").where(F.expr("bits & shiftleft(1L, cast(bit & 63 as int)) != 0"))
+    """at, rests, line: the texts of the lines asked for (at, rests). A bitmap keeps other lines out of the shuffle."""
+    bits = bits_for(asked.count(), FILTER_BITS)
+    words = bitmap(asked.select(F.xxhash64("at").alias("h")), "h", bits)
+    likely = maybe_held(lines.withColumn("h", F.xxhash64("at")), "h", words, bits)
     return likely.select("at", "line").join(asked, "at").dropDuplicates(["at"])
 
 
@@ -115,17 +120,17 @@ def _variants(line: Column, role: Column, key: Column, short: Column) -> Column:
 def near_earlier(partnered: DataFrame) -> DataFrame:
     """at: the lines that have an earlier line within one edit."""
     lines = partnered.select("at", "line", "rests")
-    v = lines.select("at", "line", F.explode("rests").alias("r")).select("at", F.explode(_variants(F.col("line"), F.col("r.role"), F.col("r.key"), F.col("r.short"))).alias("v")).select("at", "v.vk", "v.side")
+    v = lines.select("at", "line", F.explode("rests").alias("r")).select("at", "r.key", F.explode(_variants(F.col("line"), F.col("r.role"), F.col("r.key"), F.col("r.short"))).alias("v")).select("at", "key", "v.vk", "v.side")
     first = lambda side: F.min(F.when(F.col("side") == side, F.col("at"))).alias(f"first{side}")
-    keys = v.groupBy("vk").agg(first(0), first(1), first(2))
+    keys = v.groupBy("key", "vk").agg(first(0), first(1), first(2))
     other = F.when(F.col("side") == 0, F.col("first0")).when(F.col("side") == 1, F.col("first2")).otherwise(F.col("first1"))
-    pairs = v.join(keys, "vk").select("at", other.alias("earlier")).where("earlier < at").distinct()
+    pairs = v.join(keys, ["key", "vk"]).select("at", other.alias("earlier")).where("earlier < at").distinct()
     texts = lines.select(F.col("at").alias("earlier"), F.col("line").alias("other"))
     verified = pairs.join(lines.select("at", "line"), "at").join(texts, "earlier").where(F.levenshtein("line", "other", 1) >= 0)
     return verified.select("at").distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """id, doc, kept: the places of the eligible lines that stay, by document; documents without any are missing."""
     lines = eligible_lines(docs, id_col, text_col, min_chars)
     firsts = stored(distinct_lines(lines, near_chars), "line-dedup-firsts")
@@ -141,7 +146,7 @@ def _places(lines: Column, kept: Column, min_chars: int) -> Column:
     return F.array_sort(F.concat(F.coalesce(kept, F.array().cast("array<int>")), free))
 
 
-def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """id, n_lines, n_kept, kept (places from 0 that stay): one row per document."""
     text = whole(docs[text_col])
     lines = F.split(text, "\n", -1)
@@ -152,7 +157,7 @@ def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("id", "n_lines", F.size("kept").alias("n_kept"), "kept")
 
 
-def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with the text that stays; documents that lose their last line which is not blank are gone."""
     text = whole(docs[text_col])
     found = kept_lines(docs, id_col, text_col, min_chars, near_chars).select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
@@ -163,35 +168,26 @@ def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col("__text").alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
-def _listed(found: DataFrame) -> DataFrame:
-    return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
-
-
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(dedup_decisions(table(spark, sf_dir, "documents")))
-
-
-def op9_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repeats of lines of any length go too."""
-    return _listed(dedup_decisions(table(spark, sf_dir, "documents"), min_chars=1))
+    found = dedup_decisions(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 
 SQL = r"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT doc_id, i - 1 AS pos, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM x)),
-e AS (SELECT *, length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]') AS ok FROM l),
+e AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS ok FROM l),
 f AS (SELECT line, doc_id, pos, length(line) AS n FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM e WHERE ok) WHERE k = 1),
-p AS (SELECT a.line AS a, b.line AS b FROM f a JOIN f b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
-      UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n AND right(a.line, a.n // 2) = right(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
-      UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n - 1 AND left(a.line, (a.n - 1) // 2) = left(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
-      UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n - 1 AND right(a.line, (a.n - 1) // 2) = right(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
-      UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, (b.n - 1) // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
-      UNION ALL SELECT a.line, b.line FROM f a JOIN f b ON b.n = a.n + 1 AND right(a.line, a.n // 2) = right(b.line, (b.n - 1) // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)),
+fn AS (SELECT * FROM f WHERE n >= 16),
+p AS (SELECT a.line AS a, b.line AS b FROM fn a JOIN fn b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
+      UNION ALL SELECT a.line, b.line FROM fn a JOIN fn b ON b.n = a.n AND right(a.line, a.n // 2) = right(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
+      UNION ALL SELECT a.line, b.line FROM fn a JOIN fn b ON b.n = a.n - 1 AND left(a.line, (a.n - 1) // 2) = left(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
+      UNION ALL SELECT a.line, b.line FROM fn a JOIN fn b ON b.n = a.n - 1 AND right(a.line, (a.n - 1) // 2) = right(b.line, b.n // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
+      UNION ALL SELECT a.line, b.line FROM fn a JOIN fn b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, (b.n - 1) // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)
+      UNION ALL SELECT a.line, b.line FROM fn a JOIN fn b ON b.n = a.n + 1 AND right(a.line, a.n // 2) = right(b.line, (b.n - 1) // 2) WHERE (b.doc_id, b.pos) < (a.doc_id, a.pos)),
 g AS (SELECT DISTINCT a AS line FROM p WHERE levenshtein(a, b) <= 1),
 s AS (SELECT e.doc_id, e.pos, NOT ok OR (f.line IS NOT NULL AND g.line IS NULL) AS stays
       FROM e LEFT JOIN f ON e.ok AND e.line = f.line AND e.doc_id = f.doc_id AND e.pos = f.pos LEFT JOIN g ON e.ok AND e.line = g.line)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE stays) AS n_kept, coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (WHERE stays), '') AS kept_lines
 FROM s GROUP BY doc_id
 """
-
-SQL_ALL_LINES = SQL.replace("length(line) >= 16 AND ", "").replace("f a JOIN f b", "fn a JOIN fn b").replace("\np AS (", "\nfn AS (SELECT * FROM f WHERE n >= 16),\np AS (")

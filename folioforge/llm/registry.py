@@ -15,7 +15,6 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
-    "op9_line_dedup_all_lines": line_dedup.op9_line_dedup_all_lines,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
@@ -25,6 +24,5 @@ ORACLE_SQL = {
     "op4_mixing": mixing.SQL,
     "op6_mtree": mtree.SQL,
     "op9_line_dedup": line_dedup.SQL,
-    "op9_line_dedup_all_lines": line_dedup.SQL_ALL_LINES,
     "op10_exact_dedup": exact_dedup.SQL,
 }
