@@ -6,10 +6,12 @@ at most l * b / (b + 1) bits, for every l: the first not at all, the first two i
 candidates are looked up by the first segment and the second one without one of its three parts (one bit can spoil
 only one part); the longer chains prune them, and then the full Hamming distance decides.
 
-A bucket of many different fingerprints is not paired up. Its members are linked through the points between them
-instead: two fingerprints are within b bits exactly if some point is within b // 2 bits of one and the rest of b bits
+A bucket of many different fingerprints is not paired up. It is split by the bits outside its key, cut into b + 1 parts of
+which a pair shares one. Where that leaves a crowd, which only fingerprints close to each other make, the members are linked
+through the points between them instead: two fingerprints are within b bits exactly if some point is within b // 2 bits of one and the rest of b bits
 of the other, so everything near a point is linked to one fingerprint there, which loses no connection. Links then
-become components by alternating large-star and small-star steps on stored tables.
+become components by alternating large-star and small-star steps on stored tables. Joins on a fingerprint that many
+documents have, or on a node of many links, rely on adaptive execution to split the skewed side.
 
 Defined results: null texts count as empty; a text without words has fingerprint 0 and is linked like any other. Shorter
 texts than a shingle are one shingle. Null identifiers lose against others as a component's name. Repeated rows share
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import stored, table, whole
+from folioforge.operators.graph import components
 
 #: Fingerprints in a bucket that are still compared in pairs.
 CROWD = 24
@@ -72,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Ring:
-    """The masks of b + 1 segments: keys[k] for lookup, chains[l][k] for the first l + 1 segments from a key's start."""
+    """The masks of b + 1 segments: keys[k] for lookup, chains[l][k] for the first l + 1 segments from a key's start, rests[p][k] for part p of what is outside the key."""
 
     def __init__(self, bits: int):
         m = bits + 1
@@ -87,6 +90,12 @@ class Ring:
                 self.keys.append(signed(segments[i] | segments[j] & ~ones(part[p], part[p + 1])))
                 for length in range(m):
                     self.chains[length].append(signed(sum(segments[(i + x) % m] for x in range(length + 1))))
+        self.rests = []
+        for p in range(m):
+            self.rests.append([])
+            for key in self.keys:
+                free = [i for i in range(64) if not key >> i & 1]
+                self.rests[p].append(signed(sum(1 << i for i in free[len(free) * p // m : len(free) * (p + 1) // m])))
         self.budgets = [(length + 1) * bits // m for length in range(m)]
 
     def passes(self, x: Column, k: Column) -> Column:
@@ -104,49 +113,43 @@ def balls(fp: Column, radius: int) -> Column:
     return F.transform(F.array(*[F.lit(signed(x)) for x in flips]), lambda x: fp.bitwiseXOR(x))
 
 
+def _shared(keyed: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, fp, n: the fingerprints that share a key with another, and how many do. keyed: keys, fp."""
+    sizes = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored(keyed.join(sizes, keys), name)
+
+
+def _pairs(few: DataFrame, keys: list[str], ring: Ring) -> DataFrame:
+    """a, b: pairs within a key whose chains keep their budgets."""
+    a, b = few.select(*keys, F.col("fp").alias("a")), few.select(*keys, F.col("fp").alias("b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    return a.join(b, keys).where((F.col("a") < F.col("b")) & ring.passes(x, F.col("k"))).select("a", "b")
+
+
 def links(distinct: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
     """a, b: links whose components are those of all pairs of different fingerprints within `bits` bits. distinct: fp."""
     if not 1 <= bits <= 3:
         raise ValueError("bits must be 1 to 3")
-    ring = Ring(bits)
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(ring.keys)])
+    ring, fp = Ring(bits), F.col("fp")
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), fp.bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(ring.keys)])
     keyed = distinct.select("fp", F.explode(keys).alias("key")).select("key.k", "key.v", "fp")
-    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, ["k", "v"]), "simhash-shared")
-    few = shared.where(F.col("n") <= crowd)
-    a, b = few.select("k", "v", F.col("fp").alias("a")), few.select("k", "v", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, ["k", "v"]).where((F.col("a") < F.col("b")) & ring.passes(x, F.col("k"))).select("a", "b")
-    many = shared.where(F.col("n") > crowd).select("fp").distinct()
-    near = many.select("fp", F.explode(balls(F.col("fp"), bits // 2)).alias("point"))
+    shared = _shared(keyed, ["k", "v"], "simhash-shared")
+    # A crowd that only shares a key parts by its other bits; one that stays a crowd is close together.
+    parts = F.array(*[F.struct(F.lit(p).alias("p"), fp.bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("k") + 1)).alias("w")) for p, masks in enumerate(ring.rests)])
+    split = shared.where(F.col("n") > crowd).select("k", "v", "fp", F.explode(parts).alias("part")).select("k", "v", "part.p", "part.w", "fp")
+    narrow = _shared(split, ["k", "v", "p", "w"], "simhash-narrow")
+    pairs = _pairs(shared.where(F.col("n") <= crowd), ["k", "v"], ring).unionByName(_pairs(narrow.where(F.col("n") <= crowd), ["k", "v", "p", "w"], ring))
+    many = narrow.where(F.col("n") > crowd).select("fp").distinct()
+    near = many.select("fp", F.explode(balls(fp, bits // 2)).alias("point"))
     hubs = near.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n"))
     if bits % 2:
-        far = many.select("fp", F.explode(balls(F.col("fp"), bits // 2 + 1)).alias("point"))
+        far = many.select("fp", F.explode(balls(fp, bits // 2 + 1)).alias("point"))
     else:
         far, hubs = near, hubs.where("n > 1")
     stars = far.join(hubs, "point").where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: every node of the edges (a, b) with the smallest node that it reaches."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-    before = state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "components")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2, crowd: int = CROWD) -> DataFrame:
     """One row per document: id, fp, component_id (the smallest identifier that links reach)."""
     marked = stored(fingerprints(docs, id_col, text_col, words), "simhash-fp")

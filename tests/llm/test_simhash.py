@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioforge.llm import simhash
+from folioforge.operators.graph import components
 from tests.llm.fixtures import edge_docs, empty_docs, words
 
 
@@ -62,7 +63,7 @@ def test_components_equal_brute_force(spark, bits, crowd):
     signed = [simhash.signed(x) for x in fps]
     df = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
     nodes = df.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = simhash.components(simhash.links(nodes.select("fp"), bits, crowd))
+    roots = components(simhash.links(nodes.select("fp"), bits, crowd))
     root_of = {r.node: r.root for r in roots.collect()}
     first = {r.fp: r["first"] for r in nodes.collect()}
     least = {}
@@ -72,6 +73,20 @@ def test_components_equal_brute_force(spark, bits, crowd):
     assert [least[root_of.get(x, x)] for x in signed] == groups(fps, bits)
 
 
+@pytest.mark.parametrize("bits", [2, 3])
+def test_a_crowded_key_is_split_by_its_other_bits(spark, bits):
+    rng = random.Random(bits)
+    ring = simhash.Ring(bits)
+    key = ring.keys[4] & (2**64 - 1)
+    fixed = rng.getrandbits(64) & key
+    fps = [fixed | rng.getrandbits(64) & ~key for _ in range(200)]  # all share a key, few are close
+    fps += [x ^ 1 << next(i for i in range(64) if not key >> i & 1) for x in fps[:40]]
+    df = spark.createDataFrame([(simhash.signed(x),) for x in dict.fromkeys(fps)], "fp long")
+    found = simhash.links(df, bits)
+    want = {tuple(sorted((simhash.signed(x), simhash.signed(y)))) for i, x in enumerate(fps) for y in fps[:i] if 0 < (x ^ y).bit_count() <= bits}
+    assert {(r.a, r.b) for r in found.collect()} == want  # pairs, not points
+
+
 def test_query_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
