@@ -9,7 +9,8 @@ the source's blocks, over and over while the target asks for more; the slot in w
 Defined results: null texts have size 0 and take part with 0 words. A null source is a source of its own, the last.
 Sources without words get target 0. Rows that repeat are separate rows of the stream. An empty table gives an empty
 result. Other columns are ignored, whatever their names. Ties of the shuffle hash fall to doc_id, then size; rows equal
-in both are interchangeable, so reruns agree.
+in both are interchangeable, so reruns agree. Windows over sources see one row a source, in one task: meant for up to some
+million sources.
 """
 
 from __future__ import annotations
@@ -113,13 +114,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .agg(F.sum((F.col("words") == F.col("length")).cast("long")).alias("plays"), F.max(F.when(F.col("words") < F.col("length"), F.col("words"))).alias("cut"))
     )
     k = F.lit(block_words)
-    cover = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("lo") / k), F.floor((F.col("lo") + F.col("size") - 1) / k)))
-    parts = laid.withColumn("block", F.explode_outer(cover)).join(plays, ["sid", "block"], "left")
+    cover = F.sequence(F.floor(F.col("lo") / k), F.floor((F.col("lo") + F.col("size") - 1) / k))
+    # Blocks grow with the corpus, which the optimiser can't see: without the hint it would broadcast them.
+    parts = laid.where("size > 0").withColumn("block", F.explode(cover)).join(plays.hint("merge"), ["sid", "block"], "left")
     begin, stop, base = F.greatest("lo", F.col("block") * k), F.least(F.col("lo") + F.col("size"), (F.col("block") + 1) * k), F.col("block") * k
     piece = F.coalesce(F.col("plays") * (stop - begin), F.lit(0)) + F.coalesce(F.greatest(F.least(stop, base + F.coalesce("cut", F.lit(0))) - begin, F.lit(0)), F.lit(0))
-    words = F.when(F.col("block").isNull(), 0).otherwise(piece)
-    # A start is one document's alone unless documents of no words share it; those are told apart by their ids.
-    taken = parts.groupBy("sid", "id", "size", "lo", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("row")).agg(F.sum(words).cast("long").alias("taken"))
+    # Where a document of some words starts, no other one does.
+    taken = parts.groupBy("sid", "id", "size", "lo").agg(F.sum(piece).cast("long").alias("taken")).select("sid", "id", "size", "taken")
+    taken = taken.unionByName(laid.where("size = 0").select("sid", "id", "size", F.lit(0).cast("long").alias("taken")))
     return taken.join(sources, "sid").select("id", "source", "size", "source_size", "target", "taken")
 
 
