@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 from folioforge.llm import sharding
 from tests.llm.fixtures import docs, edge_docs, empty_docs, words
@@ -45,6 +46,33 @@ def test_a_third_of_all_rows_in_one_group_is_dealt_out(spark):
     assert max(load.values()) - min(load.values()) <= 0.03 * sum(load.values()) / 8
 
 
+def test_a_group_that_fits_a_shard_stays_whole(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 30) for _ in range(2000)] + [words(rng, 30)] * 250 + [words(rng, 30)] * 190
+    rows = sharding.shard(docs(spark, texts), 8).collect()
+    load, of = Counter(), defaultdict(set)
+    for r in rows:
+        load[r.shard] += r.size
+        of[texts[r.id]].add(r.shard)
+    assert max(load.values()) <= 1.01 * sum(load.values()) / 8 and all(len(s) == 1 for s in of.values()) and not any(r.split for r in rows)
+
+
+def test_one_more_shard_moves_little(spark):
+    rng = random.Random(5)
+    given = docs(spark, [words(rng, rng.randint(5, 60)) for _ in range(4000)])
+    a, b = ({r.id: (r.shard, r.size) for r in sharding.shard(given, n).collect()} for n in (8, 9))
+    moved = sum(size for i, (s, size) in a.items() if b[i][0] != s) / sum(size for _, size in a.values())
+    assert moved < 0.6  # dealing anew by hash modulo would move 8 of 9
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{d}/documents.parquet").collect()
+    rows = sharding.op3_sharding(spark, d).collect()
+    laws([SimpleNamespace(id=r.doc_id, size=r.size, crc=r.text_crc32, shard=r.shard, slot=r.slot) for r in rows], source, 8)
+    assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+
+
 def test_reruns_agree_and_edges(spark):
     given = edge_docs(spark)
     a, b = (sorted(map(str, sharding.shard(given, 8).collect())) for _ in range(2))
