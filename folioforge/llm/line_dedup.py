@@ -159,13 +159,15 @@ def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, near_chars: int = NEAR_CHARS) -> DataFrame:
     """docs with the text that stays; documents that lose their last line which is not blank are gone."""
-    text = whole(docs[text_col])
-    found = kept_lines(docs, id_col, text_col, min_chars, near_chars).select(F.col("id").alias("__id"), F.col("doc").alias("__doc"), F.col("kept").alias("__kept"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[id_col], text) == F.col("__doc")), "left")
-    held = F.array(F.struct(F.split(text, "\n", -1).alias("x"), F.col("__kept").alias("k")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so no name of theirs can clash
+    of = F.col("row").getField
+    text = whole(of(text_col))
+    found = kept_lines(docs, id_col, text_col, min_chars, near_chars)
+    joined = rows.join(found, of(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(of(id_col), text) == F.col("doc")), "left")
+    held = F.array(F.struct(F.split(text, "\n", -1).alias("x"), F.col("kept").alias("k")))
     built = F.transform(held, lambda s: F.array_join(F.transform(_places(s["x"], s["k"], min_chars), lambda i: s["x"][i]), "\n"))[0]
-    out = joined.withColumn("__text", F.when(docs[text_col].isNotNull(), built)).where(~text.rlike(SOMETHING) | F.col("__text").rlike(SOMETHING))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    out = joined.select("row", F.when(of(text_col).isNotNull(), built).alias("left")).where(~text.rlike(SOMETHING) | F.col("left").rlike(SOMETHING))
+    return out.select(*[F.col("left").alias(c) if c == text_col else of(c).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 import hashlib
+import re
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
 from folioforge.llm import bpe, mixing, simhash, toxicity
 from folioforge.llm.common import table
+from tests.llm.fixtures import edge_docs, empty_docs
 
 D = "/root/testdata/sf0.001"
 
@@ -24,7 +27,7 @@ def test_stages(spark, tmp_path):
     a, b = by["toxicity"]
     assert {(r.doc_id, r.text) for r in b} <= {(r.doc_id, r.text) for r in a} and 0.5 * len(a) < len(b) < len(a)
     a, b = by["lines"]
-    lines = [x for r in b for x in r.text.split("\n") if len(x) >= 16]
+    lines = [x for r in b for x in r.text.split("\n") if x.strip(" \t\n\v\f\r")]
     assert len(lines) == len(set(lines)) and all(r.n_chars == len(r.text) for r in b)
     a, b = by["near_duplicates"]
     fps = {r.doc_id: simhash.fingerprint(r.text, corpus_pipeline.SHINGLE_WORDS) & (2**64 - 1) for r in a}
@@ -45,3 +48,43 @@ def test_stages(spark, tmp_path):
     ids = sorted((r.doc_id, hashlib.sha256(",".join(map(str, enc.encode_ordinary(r.text))).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in a)
     assert ids == sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in b)
     assert toxicity.REJECT == 0.5
+
+
+CLASHING = ("id", "stays", "stays_", "taken", "piece", "place", "row", "size", "shares", "mixed_size", "h", "fp", "component_id", "__text", "_word", "kept", "at")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+@pytest.mark.parametrize("rows", ["edge", "empty"])
+def test_stages_bear_edges_and_clashing_names(spark, name, stage, rows):
+    docs = edge_docs(spark) if rows == "edge" else empty_docs(spark)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars", *[(docs["doc_id"] * 7).cast("string").alias(c) for c in CLASHING])
+    given, out = docs.collect(), stage(spark, docs, D).collect()
+    if rows == "empty":
+        assert out == []
+    if name == "tokens":
+        assert len(out) == len(given) and sorted(r.n_tokens for r in out)[:3] == [0, 0, 1][: len(out)]
+        return
+    assert stage(spark, docs, D).columns == docs.columns
+    assert all(r[c] == (None if r.doc_id is None else str(7 * r.doc_id)) for r in out for c in CLASHING)
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out)
+    ids = [i for none, i in ids if not none] + [None] * sum(none for none, _ in ids)
+    if rows == "edge":
+        if name == "toxicity":
+            assert len(out) == len(given)  # nothing toxic here, and nothing else goes
+        if name == "lines":
+            assert ids == [1, 2, 3, 4, 6, 8, None] and {r.text for r in out if r.doc_id == 1} == {None}
+        if name == "near_duplicates":
+            assert ids == [1, 4, 6, 8, None]
+        if name == "mix":
+            words = {r.source: 0 for r in given}
+            for r in out:
+                words[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+            assert words == want and {1, 2, 3} <= set(ids)
+
+
+def test_rows_that_repeat_share_what_the_mix_takes(spark):
+    docs = spark.createDataFrame([(1, "one two three four", "en", "a", 18)] * 5 + [(2, "w " * 40, "en", "b", 80)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, docs, D).collect()
+    words = sum(len(r.text.split()) for r in out if r.doc_id == 1)
+    assert words == sum(r.taken for r in mixing.mix(docs).where("id = 1").collect())
