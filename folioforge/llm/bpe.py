@@ -31,9 +31,9 @@ from folioforge.llm.common import table, whole
 LEAF = 8
 #: Bytes up to which merging scans all neighbours instead of keeping a heap.
 SHORT = 96
-#: Encoded pieces, pairs and leaves that a task remembers, each; beyond it that memory starts anew. At 65,536 of at most
-#: 64 bytes each they stay below about 60 MB.
-REMEMBERED = 65_536
+#: Encoded pieces, pairs and leaves that a task remembers, each, in two generations of which the older one goes when the
+#: younger one is full. At 131,072 of at most 64 bytes each they took 65 MB.
+REMEMBERED = 131_072
 #: Tokens of a leaf of the decoding tree.
 DECODE_LEAF = 4096
 
@@ -88,25 +88,41 @@ def merged(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
+class Memory:
+    """What was found for recent keys: what is asked for again moves to the younger generation and so stays."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def find(self, key):
+        if (found := self.young.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, found) -> None:
+        if 2 * len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        self.young[key] = found
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class Encoder:
     """Encodes and decodes with given ranks. What it remembers (pieces, leaves, pairs) only saves time."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.pairs: dict[tuple[bytes, bytes], tuple[bytes, ...]] = {}
-        self.leaves: dict[bytes, tuple[bytes, ...]] = {}
-        self.known: dict[str, str] = {}
+        self.pairs, self.leaves, self.known = Memory(), Memory(), Memory()
         self.id_of = {token: str(rank) for token, rank in ranks.items()}
         self.bytes_of = {i: token for token, i in self.id_of.items()}
 
     def pair(self, a: bytes, b: bytes) -> tuple[bytes, ...]:
         """The encoding of two neighbours; (a, b) if they stay as they are."""
-        if (found := self.pairs.get((a, b))) is None:
+        if (found := self.pairs.find((a, b))) is None:
             found = tuple(merged(a + b, self.ranks))
             if len(a) + len(b) <= 64:
-                if len(self.pairs) >= REMEMBERED:
-                    self.pairs.clear()
-                self.pairs[a, b] = found
+                self.pairs.keep((a, b), found)
         return found
 
     def join(self, a: tuple[bytes, ...], b: tuple[bytes, ...]) -> tuple[bytes, ...]:
@@ -128,10 +144,9 @@ class Encoder:
         if len(data) > LEAF:
             half = len(data) + 1 >> 1
             return self.join(self.tree(data[:half]), self.tree(data[half:]))
-        if (found := self.leaves.get(data)) is None:
-            if len(self.leaves) >= REMEMBERED:
-                self.leaves.clear()
-            found = self.leaves[data] = tuple(merged(data, self.ranks))
+        if (found := self.leaves.find(data)) is None:
+            found = tuple(merged(data, self.ranks))
+            self.leaves.keep(data, found)
         return found
 
     def piece(self, text: str) -> str:
@@ -140,14 +155,12 @@ class Encoder:
         # a piece that is a token stays whole
         out = self.id_of.get(data) or ",".join([self.id_of[t] for t in self.tree(data)])
         if len(data) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[text] = out
+            self.known.keep(text, out)
         return out
 
     def encode(self, text: str) -> list[str]:
         """The ids of a whole text. Pieces concatenate: nothing merges across them."""
-        known, piece = self.known.get, self.piece
+        known, piece = self.known.find, self.piece
         ids = ",".join([known(p) or piece(p) for p in self.split(text)])
         return ids.split(",") if ids else []
 

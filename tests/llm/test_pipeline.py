@@ -62,7 +62,7 @@ def test_stages_bear_edges_and_clashing_names(spark, name, stage, rows):
     if rows == "empty":
         assert out == []
     if name == "tokens":
-        assert len(out) == len(given) and sorted(r.n_tokens for r in out)[:3] == [0, 0, 1][: len(out)]
+        assert len(out) == len(given) and [r.n_tokens for r in out if r.doc_id in (1, 2)] == [0, 0][: len(out)]
         return
     assert stage(spark, docs, D).columns == docs.columns
     assert all(r[c] == (None if r.doc_id is None else str(7 * r.doc_id)) for r in out for c in CLASHING)
