@@ -9,8 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Unicode white space for Java's regular expressions, with the four separators that (?U)\s leaves out.
-WS = r"[\s\x1c-\x1f]"
+#: All characters that count as white space, and their class for Java's regular expressions, which has a faster test for
+#: a plain class than for \\s with Unicode rules.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+WS = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,16 +22,16 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Stripped, with runs of white space as one space."""
-    return strip(F.regexp_replace(c, rf"(?U){WS}+", " "))
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "), F.lit(" "))
 
 
 def nonempty(c: Column) -> Column:
@@ -65,13 +67,18 @@ def _unaccented(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else x.lower() if x.isascii() else fold(x))
 
 
+def _beyond_ascii(c: Column, change, plain: Column) -> Column:
+    """change(c) for texts with characters beyond ASCII, which alone go to Python; `plain` for the others."""
+    return F.coalesce(F.pandas_udf(change, StringType())(F.when(F.octet_length(c) > F.char_length(c), c)), plain)
+
+
 def nfkc(c: Column) -> Column:
-    return F.pandas_udf(_nfkc, StringType())(c)
+    return _beyond_ascii(c, _nfkc, c)
 
 
 def unaccented(c: Column) -> Column:
     """Case folded and without combining marks, for index tokens."""
-    return F.pandas_udf(_unaccented, StringType())(c)
+    return _beyond_ascii(c, _unaccented, F.lower(c))
 
 
 def safe_int(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioforge.functions.strings import WS, collapse, nfkc, strip, text
+from folioforge.functions.strings import WS, collapse, nfkc, rstrip, strip, text
 
 #: Lines of page furniture, in lower case.
 UI_LINES = (
@@ -16,8 +16,12 @@ UI_LINES = (
 #: Longest line that can be page furniture.
 UI_LINE_CHARS = 80
 
-#: Kinds of headings with the patterns that a whole heading must match, in the order in which they are tried.
+#: A line of keywords, a numbered heading, what a heading may consist of, and how sentences start that are none.
 KEYWORDS_LINE = r"(?iU)^\s*keywords?\s*:\s*(.+)\s*$"
+NUMBERED = r"(?U)^\s*(?:(\d+(?:\.\d+)*)\s*[.)]\s+)?(.+?)\s*$"
+HEADING_LINE = r"(?U)^\s*([^\W\d_][\w \-–—,:;()'’/]{2,160})\s*$"
+SENTENCE_STARTS = r"^(this |we |in this |however |therefore )"
+#: Kinds of headings with the patterns that a whole heading must match, in the order in which they are tried.
 HEADING_KINDS = (
     ("results_discussion", r"results?\s*(and|&)\s*discussion|discussion\s*(and|&)\s*results?"),
     ("abstract", r"abstract"),
@@ -33,9 +37,6 @@ HEADING_KINDS = (
     ("conflicts", r"conflicts? of interest|competing interests?"),
     ("author_contributions", r"author contributions?"),
 )
-NUMBERED = r"(?U)^\s*(?:(\d+(?:\.\d+)*)\s*[.)]\s+)?(.+?)\s*$"
-HEADING_LINE = r"(?U)^\s*([^\W\d_][\w \-–—,:;()'’/]{2,160})\s*$"
-SENTENCE_STARTS = r"^(this |we |in this |however |therefore )"
 
 
 def plain_whitespace(c: Column, normalize=nfkc) -> Column:
@@ -43,27 +44,30 @@ def plain_whitespace(c: Column, normalize=nfkc) -> Column:
     s = normalize(text(c))
     s = F.translate(F.translate(s, "\u00a0", " "), "\u00ad\u200b\u200c\u200d\ufeff", "")
     s = F.regexp_replace(s, r"\r\n?", "\n")
-    s = F.regexp_replace(s, rf"(?U)[{WS[1:-1]}&&[^\n]]+(?=\n|\z)", "")
+    s = F.regexp_replace(s, rf"[{WS[1:-1]}&&[^\n]]++(?=\n|\z)", "")
     s = F.regexp_replace(s, r"[ \t\f\x0B]+", " ")
     return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 
+#: A hyphen that wraps a word over a line end: behind two letters, or behind one that the match before has joined to others.
+_WRAP = r"(?:(?<=[A-Za-z]{2})|(?<=(?!\A)\G[A-Za-z]))-\n(?:[ \t]*\n)?(?=[A-Za-z])"
+
+
 def joined_words(c: Column) -> Column:
-    """Words that a hyphen wraps over a line end become whole; each pass can make room for the next."""
-    passes = F.sequence(F.lit(0), F.regexp_count(c, F.lit("-\n")))
-    return F.aggregate(passes, c, lambda s, _: F.regexp_replace(s, r"([A-Za-z]{2,})-\n(?:[ \t]*\n)?([A-Za-z])", "$1$2"))
+    """Words that a hyphen wraps over a line end become whole, in one pass."""
+    return F.regexp_replace(c, _WRAP, "")
 
 
 def without_ui_lines(c: Column) -> Column:
     """Without short lines that are page furniture or start with it."""
     phrases = "^(" + "|".join(UI_LINES) + ")( .*)?$"
-    kept = F.filter(F.split(c, "\n", -1), lambda x: ~((F.length(strip(x)) <= UI_LINE_CHARS) & F.lower(collapse(x)).rlike(phrases)))
-    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, rf"(?U){WS}+\z", "")), "\n"))
+    kept = F.filter(F.split(c, "\n", -1), lambda x: ~((F.length(x) <= 4 * UI_LINE_CHARS) & (F.length(strip(x)) <= UI_LINE_CHARS) & F.lower(collapse(x)).rlike(phrases)))
+    return strip(F.array_join(F.transform(kept, rstrip), "\n"))
 
 
 def standard_text(c: Column, normalize=nfkc) -> Column:
-    """`normalize` is the Unicode normalisation; pass the identity where text is known to be NFKC."""
-    return plain_whitespace(without_ui_lines(joined_words(plain_whitespace(c, normalize))), normalize)
+    """`normalize` is the Unicode normalisation; pass the identity where text is known to be NFKC. What it has made stays so: joining words and dropping lines bring no letters and marks together."""
+    return plain_whitespace(without_ui_lines(joined_words(plain_whitespace(c, normalize))), lambda x: x)
 
 
 def heading_number(line: Column) -> Column:
@@ -90,17 +94,25 @@ def heading_kinds(kind: Column) -> Column:
     return F.when(kind == "results_discussion", F.array(F.lit("results"), F.lit("discussion"))).otherwise(F.array(kind))
 
 
+#: Characters that a heading has, at least and at most.
+HEADING_CHARS = (3, 220)
+
+
 def is_heading(line: Column) -> Column:
-    """Whether a line reads like a heading."""
+    """Whether a line reads like a heading. Only lines of the right length are looked at closely."""
     bad_end = r"(?U)[.?!]\s*$"
-    s = strip(text(line))
 
     def reads_so(h: Column) -> Column:
         s, title = h["line"], h["title"]
         base = F.substring(s, F.lit(1), F.length(s) - 1)
         label = s.endswith(":") & (collapse(base) != "") & (heading_kind(base) == "other")
-        shape = ~title.rlike(bad_end) & title.rlike(HEADING_LINE) & (F.size(F.split(title, rf"(?U){WS}+")) <= 16) & ~F.lower(F.substring(title, 1, 15)).rlike(SENTENCE_STARTS)
-        return F.length(s).between(3, 220) & ~s.rlike(bad_end) & (s.rlike(KEYWORDS_LINE) | (shape & ~label))
+        shape = ~title.rlike(bad_end) & title.rlike(HEADING_LINE) & (F.size(F.split(title, f"{WS}+")) <= 16) & ~F.lower(F.substring(title, 1, 15)).rlike(SENTENCE_STARTS)
+        return s.rlike(KEYWORDS_LINE) | (shape & ~label)
+
+    def may_be(h: Column) -> Column:
+        s = h["line"]
+        title = F.when(heading_number(s).isNotNull(), heading_title(s)).otherwise(collapse(s))
+        close = F.transform(F.array(F.struct(s.alias("line"), title.alias("title"))), reads_so)[0]
+        return F.when(F.length(s).between(*HEADING_CHARS) & ~F.rtrim(s).rlike(r"[.?!]$"), close).otherwise(False)
 
-    title = F.when(heading_number(s).isNotNull(), heading_title(s)).otherwise(collapse(s))
-    return F.transform(F.array(F.struct(s.alias("line"), title.alias("title"))), reads_so)[0]
+    return F.transform(F.array(F.struct(strip(text(line)).alias("line"))), may_be)[0]

@@ -223,8 +223,7 @@ def text_standardize(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, count(*) FILTER (WHERE length(s) BETWEEN 3 AND 220 AND NOT regexp_matches(s, '[.?!]$') AND NOT s LIKE '%:' AND regexp_matches(s, '^\p{L}[\p{L}\p{M}\p{N}_ \-–—,:;()''’/]{2,160}$')
  AND len(string_split(s, ' ')) <= 16 AND NOT regexp_matches(lower(substr(s, 1, 15)), '^(this |we |in this |however |therefore )')) AS headings FROM n GROUP BY doc_id""")
 def heading_count(spark: SparkSession, d: str) -> DataFrame:
-    lines = sections.lines_of(views.table(spark, d, "documents"), "doc_id", "text")
-    return lines.groupBy(F.col("id").alias("doc_id")).agg(F.sum(text.is_heading(F.col("line")).cast("long")).alias("headings"))
+    return views.table(spark, d, "documents").select("doc_id", sections.headings_in(F.col("text")).alias("headings"))
 
 
 @query("""SELECT * FROM (VALUES ('1. Introduction', 'introduction', '1', 'Introduction'), ('3.2 Methods', 'other', NULL, '3.2 Methods'), ('2) RESULTS and discussion', 'results_discussion', '2', 'RESULTS and discussion'),
