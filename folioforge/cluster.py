@@ -1,4 +1,4 @@
-"""Putting this package on the executors' Python path."""
+"""Putting this package on the executors' Python path, and small inputs on all cores."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,9 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(archive)
     context._folioforge_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt to all cores where its files give fewer partitions than there are cores: a small table whose rows take long."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

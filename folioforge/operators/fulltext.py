@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def postings(captures: DataFrame, texts: DataFrame, fold=unaccented) -> DataFram
     return title.unionByName(body)
 
 
+def matching(captures: DataFrame, texts: DataFrame, terms: list[str], fold=unaccented) -> DataFrame:
+    """capture_id: captures of which every term starts some token of title or text, found without an index. One bit a term and row moves, never a text."""
+
+    def bit(ts: Column, i: int) -> Column:
+        return F.when(F.exists(ts, lambda t: t.startswith(terms[i])), F.lit(1 << i)).otherwise(F.lit(0))
+
+    def bits(c: Column) -> Column:
+        # The array binds the tokens, which each term looks at.
+        return F.transform(F.array(tokens(c, fold)), lambda ts: reduce(Column.bitwiseOR, [bit(ts, i) for i in range(len(terms))]))[0]
+
+    known = captures.select(F.col("id").alias("capture_id"), bits(F.col("title")).alias("terms"), F.lit(True).alias("known"))
+    found = texts.select("capture_id", bits(F.col("content_text")).alias("terms"), F.lit(False).alias("known")).where("terms > 0")
+    both = known.unionByName(found).groupBy("capture_id").agg(F.bit_or("terms").alias("terms"), F.bool_or("known").alias("known"))
+    return both.where(F.col("known") & (F.col("terms") == (1 << len(terms)) - 1)).select("capture_id")
+
+
 def write_postings(index: DataFrame, path: str) -> None:
     """Sorted by token within files, so that a prefix reads few row groups."""
     index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.cluster import spread
 from folioforge.functions import metadata, text, urls
-from folioforge.operators import collections, fulltext, identity, ingest, library, sections
+from folioforge.operators import collections, fulltext, graph, identity, ingest, library, sections
 from folioforge.plans import views
 from folioforge.sources import exports, html, sites
 
@@ -59,40 +60,45 @@ def library_collection_filter(spark: SparkSession, d: str) -> DataFrame:
     return library.search(views.captures(spark, d), "e_E", items=views.items(spark, d), collection=3).select("id", "title")
 
 
-@query(C + """, tok AS (SELECT capture_id, unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) AS t FROM texts)
-SELECT capture_id FROM tok GROUP BY capture_id HAVING bool_or(t LIKE 'tha%') AND bool_or(t LIKE 'on%')""")
+_INDEX = C + """, known AS (SELECT id, title FROM captures UNION ALL SELECT capture_id, '' FROM texts WHERE capture_id NOT IN (SELECT id FROM captures)),
+tok AS (SELECT id, 'title' AS field, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM known
+UNION ALL SELECT capture_id, 'content_text', unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) FROM texts) """
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return fulltext.postings(views.indexed_captures(spark, d), spread(views.texts(spark, d)))
+
+
+@query(_INDEX + "SELECT id AS capture_id FROM tok GROUP BY id HAVING bool_or(t LIKE 'tha%') AND bool_or(t LIKE 'on%')")
 def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
-    none = views.captures(spark, d).limit(0)
-    ids = views.texts(spark, d).select(F.col("capture_id").alias("id"), F.lit("").alias("title"))
-    return library.matching_ids(fulltext.postings(none.select("id", "title").unionByName(ids), views.texts(spark, d)), library.query_terms("Tha, ON"))
+    """Without an index: titles and texts are searched as they are."""
+    return fulltext.matching(views.indexed_captures(spark, d), spread(views.texts(spark, d)), library.query_terms("Tha, ON"))
 
 
-@query(C + """, tok AS (SELECT id, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM captures)
-SELECT id, count(DISTINCT t) AS tokens FROM tok WHERE t <> '' GROUP BY id""")
-def fts_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    built = fulltext.postings(views.captures(spark, d), views.texts(spark, d).limit(0))
-    return built.groupBy(F.col("capture_id").alias("id")).agg(F.count(F.lit(1)).alias("tokens"))
+@query(_INDEX + "SELECT id AS capture_id FROM tok GROUP BY id HAVING bool_or(t LIKE 'tha%') AND bool_or(t LIKE 'on%')")
+def fts_prefix_and_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """By the stored index, whose files are sorted by token."""
+    path = f"{graph.shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    fulltext.write_postings(_index(spark, d), path)
+    return library.matching_ids(spark.read.parquet(path), library.query_terms("Tha, ON"))
 
 
-@query(C + """, known AS (SELECT id, title FROM captures UNION ALL SELECT capture_id, '' FROM texts WHERE capture_id NOT IN (SELECT id FROM captures)),
-tok AS (SELECT id, 'title' AS field, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM known
-UNION ALL SELECT capture_id, 'content_text', unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) FROM texts)
-SELECT id, count(DISTINCT t) FILTER (WHERE field = 'title') AS title_tokens, count(DISTINCT t) FILTER (WHERE field = 'content_text') AS text_tokens FROM tok WHERE t <> '' GROUP BY id""")
-def fts_rebuild_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The rebuild with all texts; documents without a page are captures without a title."""
-    texts, pages = views.texts(spark, d), views.captures(spark, d).select("id", "title")
-    bare = texts.select(F.col("capture_id").alias("id"), F.lit("").alias("title")).join(pages, "id", "left_anti")
-    built = fulltext.postings(pages.unionByName(bare), texts)
+@query(_INDEX + "SELECT id, count(DISTINCT t) FILTER (WHERE field = 'title') AS title_tokens, count(DISTINCT t) FILTER (WHERE field = 'content_text') AS text_tokens FROM tok WHERE t <> '' GROUP BY id")
+def fts_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """The index rebuilt from all titles and texts, counted by capture."""
     of = lambda field: F.count(F.when(F.col("field") == field, 1))
-    return built.groupBy(F.col("capture_id").alias("id")).agg(of("title").alias("title_tokens"), of("content_text").alias("text_tokens"))
+    return _index(spark, d).groupBy(F.col("capture_id").alias("id")).agg(of("title").alias("title_tokens"), of("content_text").alias("text_tokens"))
 
 
-@query("""SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 > 0) AS captures, (SELECT count(*) FROM labels) AS indexed,
-(SELECT count(*) FROM documents WHERE doc_id % 10 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
-(SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 > 0)) AS extra, false AS ok""")
+@query(C + """, tok AS (SELECT DISTINCT id FROM (SELECT id, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+')) AS t FROM captures) WHERE t <> ''),
+doc AS (SELECT DISTINCT capture_id AS id FROM (SELECT capture_id, unnest(regexp_split_to_array(strip_accents(lower(content_text)), '[^\\p{L}\\p{N}]+')) AS t FROM texts) WHERE t <> ''),
+n AS (SELECT (SELECT count(*) FROM captures) AS captures, (SELECT count(*) FROM doc) AS indexed, (SELECT count(*) FROM captures WHERE id NOT IN (SELECT id FROM doc)) AS missing, (SELECT count(*) FROM doc WHERE id NOT IN (SELECT id FROM captures)) AS extra)
+SELECT *, missing = 0 AND extra = 0 AS ok FROM n""")
 def fts_verify(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.table(spark, d, "documents").where("doc_id % 10 > 0").select(F.col("doc_id").alias("id"))
-    return fulltext.verify(docs, views.table(spark, d, "labels").select(F.col("doc_id").alias("capture_id")))
+    """The captures of pages against an index of all documents, as it would be after a feed was loaded and its pages changed."""
+    texts = spread(views.texts(spark, d))
+    index = fulltext.postings(texts.select(F.col("capture_id").alias("id"), F.lit("").alias("title")), texts)
+    return fulltext.verify(views.captures(spark, d), index.select("capture_id").distinct())
 
 
 @query("""SELECT *, missing = 0 AND extra = 0 AS ok FROM (SELECT (SELECT count(*) FROM documents) AS captures, (SELECT count(*) FROM labels) AS indexed,
@@ -194,8 +200,8 @@ def meta_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query(W + """SELECT id, array_to_string(authors, ', ') AS authors_str, CASE len(authors) WHEN 0 THEN '' WHEN 1 THEN 'Lee' WHEN 2 THEN 'Lee & Roe' ELSE 'Lee et al.' END AS authors_short,
 CASE WHEN length(trim(abstract, ' \n')) <= 220 THEN trim(abstract, ' \n') ELSE rtrim(substr(trim(abstract, ' \n'), 1, 219), ' \n') || '…' END AS abstract_snip FROM works""".replace("' \\n'", "' ' || chr(10)"))
-def citation_fields(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    w = views.works(spark, d, whole)
+def citation_fields(spark: SparkSession, d: str) -> DataFrame:
+    w = views.works(spark, d)
     return w.select("id", F.array_join("authors", ", ").alias("authors_str"), metadata.authors_short(F.col("authors")).alias("authors_short"), metadata.snippet(F.col("abstract")).alias("abstract_snip"))
 
 
@@ -215,7 +221,7 @@ _MESSY = "\nDownload PDF\nLong inter-\nnational ab-\ncd-\nef  word\t\tx \r\n\n\n
 @query(r"""WITH m AS (SELECT doc_id, text || chr(10) || 'Long international abcdef word x' || chr(10) || chr(10) || 'End.' AS t FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS clean FROM m""")
 def text_standardize(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.table(spark, d, "documents")
+    docs = views.spread_table(spark, d, "documents")
     return docs.select("doc_id", text.standard_text(F.concat("text", F.lit(_MESSY))).alias("clean"))
 
 
@@ -223,7 +229,7 @@ def text_standardize(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, count(*) FILTER (WHERE length(s) BETWEEN 3 AND 220 AND NOT regexp_matches(s, '[.?!]$') AND NOT s LIKE '%:' AND regexp_matches(s, '^\p{L}[\p{L}\p{M}\p{N}_ \-–—,:;()''’/]{2,160}$')
  AND len(string_split(s, ' ')) <= 16 AND NOT regexp_matches(lower(substr(s, 1, 15)), '^(this |we |in this |however |therefore )')) AS headings FROM n GROUP BY doc_id""")
 def heading_count(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "documents").select("doc_id", sections.headings_in(F.col("text")).alias("headings"))
+    return views.spread_table(spark, d, "documents").select("doc_id", sections.headings_in(F.col("text")).alias("headings"))
 
 
 @query("""SELECT * FROM (VALUES ('1. Introduction', 'introduction', '1', 'Introduction'), ('3.2 Methods', 'other', NULL, '3.2 Methods'), ('2) RESULTS and discussion', 'results_discussion', '2', 'RESULTS and discussion'),
@@ -249,7 +255,7 @@ SELECT doc_id, printf('s%02d', row_number() OVER (PARTITION BY doc_id ORDER BY s
   CASE WHEN head IS NULL THEN 'other' WHEN kw THEN 'keywords' WHEN regexp_matches(title, '(?i)^(methods?|methodology)$') THEN 'methods' WHEN regexp_matches(title, '(?i)^funding$') THEN 'funding' ELSE 'other' END AS kind,
   CASE WHEN NOT kw THEN num END AS number, text FROM b WHERE text IS NOT NULL""")
 def split_sections(spark: SparkSession, d: str) -> DataFrame:
-    marked = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Keywords: a, b\n"), "text", F.lit("\n2. Methods\nWe did\net\nthis.\nFunding\n")).alias("t"))
+    marked = views.spread_table(spark, d, "documents").select("doc_id", F.concat(F.lit("Keywords: a, b\n"), "text", F.lit("\n2. Methods\nWe did\net\nthis.\nFunding\n")).alias("t"))
     found = sections.split_sections(marked, "doc_id", "t")
     return found.select(F.col("id").alias("doc_id"), "section_id", "title", "kind", "number", "text")
 
@@ -260,45 +266,45 @@ SELECT id, '@' || CASE WHEN container_title <> '' THEN 'article' ELSE 'misc' END
  '  title = {' || t || '}', CASE WHEN len(authors) > 0 THEN '  author = {' || array_to_string(authors, ' and ') || '}' END, CASE WHEN container_title <> '' THEN '  journal = {' || container_title || '}' END,
  '  year = {' || year || '}', CASE WHEN doi <> '' THEN '  doi = {' || doi || '}' END, '  url = {' || url || '}', CASE WHEN a <> '' THEN '  abstract = {' || a || '}' END,
  CASE WHEN len(keywords) > 0 THEN '  keywords = {' || array_to_string(keywords, ', ') || '}' END], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}' AS entry FROM e""")
-def export_bibtex(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return views.works(spark, d, whole).select("id", exports.bibtex_entry().alias("entry"))
+def export_bibtex(spark: SparkSession, d: str) -> DataFrame:
+    return views.works(spark, d).select("id", exports.bibtex_entry().alias("entry"))
 
 
 @query(W + r"""SELECT id, array_to_string(list_concat(list_concat(list_concat(list_filter(['TY  - ' || CASE WHEN container_title <> '' THEN 'JOUR' ELSE 'GEN' END, CASE WHEN title <> '' THEN 'TI  - ' || trim(title, ' ' || chr(10)) END], lambda x: x IS NOT NULL),
  list_transform(authors, lambda a: 'AU  - ' || a)), list_filter([CASE WHEN container_title <> '' THEN 'JO  - ' || container_title END, 'PY  - ' || year, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'UR  - ' || url,
  CASE WHEN trim(regexp_replace(abstract, '\s+', ' ', 'g')) <> '' THEN 'AB  - ' || trim(regexp_replace(abstract, '\s+', ' ', 'g')) END], lambda x: x IS NOT NULL)), list_concat(list_transform(keywords, lambda k: 'KW  - ' || k), ['ER  -'])), chr(10)) AS entry FROM works""")
-def export_ris(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return views.works(spark, d, whole).select("id", exports.ris_entry().alias("entry"))
+def export_ris(spark: SparkSession, d: str) -> DataFrame:
+    return views.works(spark, d).select("id", exports.ris_entry().alias("entry"))
 
 
-def _papers(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _papers(spark: SparkSession, d: str) -> DataFrame:
     section = lambda i, kind, title, body: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), body.alias("text"))
     s = F.array(section("s01", "other", "Body", F.col("abstract")), section("s02", "funding", "Funding", F.lit("A grant.")), section("s03", "references", "References", F.col("url")))
-    return views.works(spark, d, whole).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
+    return views.works(spark, d).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
 
 
 @query()
-def export_papers_jsonl(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _papers(spark, d, whole).select("id", exports.paper_json().alias("line"))
+def export_papers_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return _papers(spark, d).select("id", exports.paper_json().alias("line"))
 
 
 @query(W + r""", m AS (SELECT id, '# ' || coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), 'Untitled') AS head, '**' || array_to_string(list_filter([CASE WHEN doi <> '' THEN 'DOI: `' || doi || '`' END,
  CASE WHEN container_title <> '' THEN container_title END, year::VARCHAR, url], lambda x: x IS NOT NULL), ' · ') || '**' AS bits, nullif(trim(abstract, ' ' || chr(10)), '') AS body, url FROM works)
 SELECT id, array_to_string(list_filter([head, bits, body, '## Funding' || chr(10) || 'A grant.', '## References' || chr(10) || url, '## References' || chr(10) || '[1] A reference.'], lambda x: x IS NOT NULL), chr(10) || chr(10)) || chr(10) AS paper_md FROM m""")
-def export_paper_markdown(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _papers(spark, d, whole).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
+def export_paper_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _papers(spark, d).select("id", exports.paper_markdown(F.lit("[1] A reference.")).alias("paper_md"))
 
 
 @query()
 def parse_pages(spark: SparkSession, d: str) -> DataFrame:
-    parsed = html.parse_pages(views.table(spark, d, "pages"), "page_id", "html")
+    parsed = html.parse_pages(views.spread_table(spark, d, "pages"), "page_id", "html")
     return parsed.select("id", "title_tag", "selected_hint", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "capture_quality", "blocked_reason", "article_text", "references_text")
 
 
 @query(r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM pages)
 SELECT page_id, substr(replace(replace(replace(replace(replace(replace(s, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 1, 400000) AS content_text FROM t""")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return views.table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("content_text"))
+    return views.spread_table(spark, d, "pages").select("page_id", html.page_text(F.col("html")).alias("content_text"))
 
 
 
@@ -306,7 +312,7 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ingest_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Payloads made of pages, some of them broken, through validation, metadata and parsing."""
-    pages = views.table(spark, d, "pages")
+    pages = views.spread_table(spark, d, "pages")
     payload = F.to_json(F.struct(F.col("url").alias("source_url"), F.col("html").alias("dom_html"), F.struct(F.create_map(F.lit("citation_doi"), F.concat(F.lit("10.5555/"), "page_id")).alias("meta")).alias("extraction")))
     value = F.when(F.col("page_id") % 50 == 0, "[1]").when(F.col("page_id") % 50 == 1, '{"source_url": " "}').otherwise(payload)
     raw = ingest.validated(pages.select(value.alias("value"), F.lit("2024-01-01").alias("captured_at"), F.col("page_id").alias("seq")))
@@ -317,7 +323,7 @@ def ingest_payloads(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def parse_articles(spark: SparkSession, d: str) -> DataFrame:
     """Pages set into two publishers' layouts, and left alone: the layout's sections or the general parser's text."""
-    pages = views.table(spark, d, "pages")
+    pages = views.spread_table(spark, d, "pages")
     set_in = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<article><section class="article-section__content"><h2>1. Methods</h2>'), "html", F.lit("</section></article>")))
     set_in = set_in.when(F.col("page_id") % 3 == 2, F.concat(F.lit('<article><div id="body"><h2>Results</h2>'), "html", F.lit("</div></article>"))).otherwise(F.col("html"))
     url = F.when(F.col("page_id") % 3 == 1, "https://onlinelibrary.wiley.com/a").when(F.col("page_id") % 3 == 2, "https://www.sciencedirect.com/a").otherwise(F.col("url"))
@@ -325,42 +331,20 @@ def parse_articles(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("id", "parser", F.size("sections").alias("sections"), "article_text", "references_text", F.round("confidence", 6).alias("confidence"), "capture_quality")
 
 
-@query(W + """, m AS (SELECT id, CASE WHEN abstract <> '' THEN '# ' || id ELSE '' END AS md FROM works), f AS (SELECT min(id) AS first FROM m WHERE md <> '')
+@query(W + """, m AS (SELECT id, CASE WHEN abstract <> '' THEN '# ' || id || chr(10) || chr(10) || abstract || '.' ELSE '' END AS md FROM works), f AS (SELECT min(id) AS first FROM m WHERE md <> '')
 SELECT '# All' || chr(10) || chr(10) || '_Items: ' || count(*) || '_' || chr(10) AS value FROM m
 UNION ALL SELECT CASE WHEN id = first THEN chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || md || chr(10) FROM m, f WHERE md <> ''""")
 def export_master_markdown(spark: SparkSession, d: str) -> DataFrame:
-    w = views.works(spark, d).withColumn("paper_md", F.when(F.col("abstract") != "", F.concat(F.lit("# "), "id", F.lit("\n"))))
+    w = views.works(spark, d).withColumn("paper_md", F.when(F.col("abstract") != "", F.concat(F.lit("# "), "id", F.lit("\n\n"), "abstract", F.lit(".\n"))))
     return exports.master_markdown(w, "All", ["id"]).select("value")
 
 
-@query(W + """SELECT id, '{"container_title":' || to_json(container_title) || ',"doi":' || to_json(doi) || ',"id":' || to_json(id) || ',"sections":[{"kind":"other","text":' || to_json(lower(url)) || '}],"title":' || to_json(url) || ',"url":' || to_json(url) || ',"year":' || coalesce(year::VARCHAR, 'null') || '}' AS item FROM works""")
+@query(W + """SELECT id, '{"container_title":' || to_json(container_title) || ',"doi":' || to_json(doi) || ',"id":' || to_json(id) || ',"sections":[{"kind":"other","text":' || to_json(abstract) || '}],"title":' || to_json(title) || ',"url":' || to_json(url) || ',"year":' || coalesce(year::VARCHAR, 'null') || '}' AS item FROM works""")
 def export_sections_json(spark: SparkSession, d: str) -> DataFrame:
-    w = views.works(spark, d).withColumn("sections", F.array(F.struct(F.lit("other").alias("kind"), F.lower("url").alias("text")))).withColumn("title", F.col("url"))
+    w = views.works(spark, d).withColumn("sections", F.array(F.struct(F.lit("other").alias("kind"), F.col("abstract").alias("text"))))
     return w.select("id", exports.sections_json().alias("item"))
 
 
 @query(C + "SELECT id, url FROM captures WHERE id IN (SELECT capture_id FROM items WHERE collection_id = 2)")
 def export_scope(spark: SparkSession, d: str) -> DataFrame:
     return exports.scope(views.captures(spark, d), views.items(spark, d), collection=2).select("id", "url")
-
-
-_WHOLE = "WITH " + views.WHOLE_WORKS_SQL
-# The same with whole texts as abstracts and section bodies.
-for _f in (citation_fields, export_bibtex, export_ris, export_papers_jsonl, export_paper_markdown):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, whole=True)
-    if _f.__name__ in ORACLE_SQL:
-        ORACLE_SQL[f"{_f.__name__}_whole"] = ORACLE_SQL[_f.__name__].replace(W, _WHOLE)
-
-
-@query(_WHOLE + """, m AS (SELECT id, CASE WHEN abstract <> '' THEN '# ' || id || chr(10) || chr(10) || abstract || '.' ELSE '' END AS md FROM works), f AS (SELECT min(id) AS first FROM m WHERE md <> '')
-SELECT '# All' || chr(10) || chr(10) || '_Items: ' || count(*) || '_' || chr(10) AS value FROM m
-UNION ALL SELECT CASE WHEN id = first THEN chr(10) ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || md || chr(10) FROM m, f WHERE md <> ''""")
-def export_master_markdown_whole(spark: SparkSession, d: str) -> DataFrame:
-    w = views.works(spark, d, whole=True).withColumn("paper_md", F.when(F.col("abstract") != "", F.concat(F.lit("# "), "id", F.lit("\n\n"), "abstract", F.lit(".\n"))))
-    return exports.master_markdown(w, "All", ["id"]).select("value")
-
-
-@query(_WHOLE + """SELECT id, '{"container_title":' || to_json(container_title) || ',"doi":' || to_json(doi) || ',"id":' || to_json(id) || ',"sections":[{"kind":"other","text":' || to_json(abstract) || '}],"title":' || to_json(title) || ',"url":' || to_json(url) || ',"year":' || coalesce(year::VARCHAR, 'null') || '}' AS item FROM works""")
-def export_sections_json_whole(spark: SparkSession, d: str) -> DataFrame:
-    w = views.works(spark, d, whole=True).withColumn("sections", F.array(F.struct(F.lit("other").alias("kind"), F.col("abstract").alias("text"))))
-    return w.select("id", exports.sections_json().alias("item"))

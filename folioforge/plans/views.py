@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.cluster import spread
 from folioforge.functions import urls
 
 
@@ -12,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for queries that work long on each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, url, url_canon, title, doi, updated_at."""
     pages = table(spark, sf_dir, "pages")
@@ -26,6 +32,12 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("capture_id"), F.col("text").alias("content_text"))
 
 
+def indexed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title: the captures of pages, and documents without a page as captures without a title."""
+    pages = captures(spark, sf_dir).select("id", "title")
+    return pages.unionByName(texts(spark, sf_dir).select(F.col("capture_id").alias("id"), F.lit("").alias("title")).join(pages, "id", "left_anti"))
+
+
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, name: the sources, numbered by the digits in their names."""
     return table(spark, sf_dir, "documents").select("source").distinct().select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("id"), F.col("source").alias("name"))
@@ -36,9 +48,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("collection_id"), F.col("doc_id").cast("string").alias("capture_id"))
 
 
-def works(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Bibliographic rows made of documents: every field is blank in some of them. The abstract is the text, or its beginning unless `whole`."""
-    d = table(spark, sf_dir, "documents")
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bibliographic rows made of documents: every field is blank in some of them. The abstract is the whole text."""
+    d = spread_table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
         i.cast("string").alias("id"),
@@ -49,7 +61,7 @@ def works(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("Journal of "), F.col("source"))).alias("container_title"),
         F.when(i % 6 == 0, F.array().cast("array<string>")).when(i % 6 == 1, F.array(F.lit("Ann Lee"))).when(i % 6 == 2, F.array(F.lit("Ann Lee"), F.lit("Bo Roe"))).otherwise(F.array(F.lit("Ann Lee"), F.lit("Bo Roe"), F.lit("Cy Poe"))).alias("authors"),
         F.when(i % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("lang"), F.col("source"))).alias("keywords"),
-        F.when(i % 9 == 0, "").otherwise(F.col("text") if whole else F.substring("text", 1, 300)).alias("abstract"),
+        F.when(i % 9 == 0, "").otherwise(F.col("text")).alias("abstract"),
     )
 
 
@@ -71,7 +83,5 @@ works AS (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'T
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE '10.' || (doc_id + 1000) || '/x' END AS doi, 'https://example.org/' || doc_id AS url,
   CASE WHEN doc_id % 5 <> 0 THEN 1990 + doc_id % 35 END AS year, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'Journal of ' || source END AS container_title,
   CASE WHEN doc_id % 6 = 0 THEN [] WHEN doc_id % 6 = 1 THEN ['Ann Lee'] WHEN doc_id % 6 = 2 THEN ['Ann Lee', 'Bo Roe'] ELSE ['Ann Lee', 'Bo Roe', 'Cy Poe'] END::VARCHAR[] AS authors,
-  CASE WHEN doc_id % 8 = 0 THEN [] ELSE [lang, source] END::VARCHAR[] AS keywords, CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 300) END AS abstract FROM documents)
+  CASE WHEN doc_id % 8 = 0 THEN [] ELSE [lang, source] END::VARCHAR[] AS keywords, CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS abstract FROM documents)
 """
-
-WHOLE_WORKS_SQL = WORKS_SQL.replace("substr(text, 1, 300)", "text")
