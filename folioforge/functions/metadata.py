@@ -95,6 +95,43 @@ def merged_meta(head: Column, client: Column) -> Column:
     return F.map_from_entries(last(F.concat(clean(head), clean(client))))
 
 
+#: Keys of a person's record, in the order in which they are tried, and years that a registry's date may have.
+FAMILY_KEYS, GIVEN_KEYS = ("family", "last", "last_name"), ("given", "first", "first_name")
+REGISTRY_YEARS = (1500, 2200)
+
+
+def person_name(record: Column) -> Column:
+    """A display name from a name or a person's JSON record: given and family name, else the family name or the name."""
+    of = lambda keys: strip(F.coalesce(*[F.nullif(F.get_json_object(record, f"$.{k}"), F.lit("")) for k in keys], F.lit("")))
+    family, given, name = of(FAMILY_KEYS), of(GIVEN_KEYS), of(("name",))
+    full = F.when((given != "") & (family != ""), F.concat(given, F.lit(" "), family)).when(family != "", family).otherwise(name)
+    return F.when(strip(text(record)).startswith("{"), full).otherwise(strip(text(record)))
+
+
+def registry_record(message: Column) -> Column:
+    """title, container_title, published_date_raw, year, authors from a DOI registry's message (JSON)."""
+    many = lambda path: F.get_json_object(message, f"$.{path}[0]")
+    one = lambda path: F.get_json_object(message, f"$.{path}")
+    title = lambda path: strip(F.coalesce(many(path), F.when(~one(path).startswith("["), one(path)), F.lit("")))
+    part = lambda i: F.get_json_object(message, f"$.issued.date-parts[0][{i}]").try_cast("int")
+    year = F.when(part(0).between(*REGISTRY_YEARS), part(0))
+    month, day = F.when(part(1).between(1, 12), part(1)), F.when(part(2).between(1, 31), part(2))
+    date = F.when(year.isNull(), "").when(month.isNull(), year.cast("string")).when(day.isNull(), F.format_string("%04d-%02d", year, month)).otherwise(F.format_string("%04d-%02d-%02d", year, month, day))
+    people = F.from_json(one("author"), "array<string>")
+    names = F.filter(F.transform(F.coalesce(people, F.array().cast("array<string>")), person_name), lambda x: x != "")
+    return F.struct(title("title").alias("title"), title("container-title").alias("container_title"), date.alias("published_date_raw"), year.alias("year"), names.alias("authors"))
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def lengths(**texts: Column) -> Column:
+    """A struct of the lengths of some texts in characters, null as 0."""
+    return F.struct(*[F.length(text(c)).alias(f"{name}_chars") for name, c in texts.items()])
+
+
 def last_name(name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(strip(name), rf"(?U){WS}+"), -1), "^,+|,+$", "")
 

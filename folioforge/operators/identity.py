@@ -18,9 +18,10 @@ from folioforge.operators import graph
 
 def latest_per_url(log: DataFrame) -> DataFrame:
     """The latest row of each url_hash with its first captured_at as created_at. log: url_hash, captured_at, seq, ..."""
-    by_url = Window.partitionBy("url_hash")
-    latest = log.withColumn("created_at", F.min("captured_at").over(by_url)).withColumn("n", F.row_number().over(by_url.orderBy(F.desc("captured_at"), F.desc("seq"))))
-    return latest.where("n = 1").drop("n")
+    row = F.struct(*[F.col(c) for c in log.columns])
+    # Aggregates, so that a URL with many captures folds before it moves.
+    latest = log.groupBy("url_hash").agg(F.max_by(row, F.struct("captured_at", "seq")).alias("row"), F.min("captured_at").alias("created_at"))
+    return latest.select("row.*", "created_at")
 
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +57,7 @@ def runs(log: DataFrame) -> DataFrame:
     """
     at, doi = F.struct("captured_at", "seq").alias("at"), F.coalesce("doi", F.lit(""))
     by_url, by_doi = Window.partitionBy("url_hash").orderBy("at"), Window.partitionBy("doi").orderBy("at")
-    rows = log.select("url_hash", "doi", at).withColumn("next_url", F.lead("at").over(by_url))
+    rows = log.select(F.coalesce("url_hash", F.lit("")).alias("url_hash"), "doi", at).withColumn("next_url", F.lead("at").over(by_url))
     no_doi = rows.where(doi == "").withColumn("next_doi", F.lit(None).cast(rows.schema["at"].dataType)).withColumn("owned", F.lit(False))
     before = F.lag(F.struct("at", "next_url")).over(by_doi)
     # The DOI's last arrival still owns it unless its URL hash had another arrival since.
@@ -71,15 +72,20 @@ def runs(log: DataFrame) -> DataFrame:
     return rows.groupBy("url_hash", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("arrivals"), end).select("first", "last", "url_hash", "end.doi", "arrivals", "end.next", "end.merges")
 
 
-def resolve(log: DataFrame) -> DataFrame:
-    """capture_id, doi, url_hash, first_seq, last_seq, arrivals, merged: one row per live capture. log: url_hash, doi, captured_at, seq."""
+def flows(log: DataFrame) -> DataFrame:
+    """tree, chain, begun, ended, last, arrivals: one row a capture that ever was. `chain` is its first arrival; captures that flowed together share a tree."""
     found = graph.stored(runs(log), "identity-runs")
     links = found.where("next is not null").select(F.col("first").alias("a"), F.col("next").alias("b"), "merges")
     chains = graph.components(links.where("not merges").select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("chain"))
     trees = graph.components(links.select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("tree"))
     rows = found.join(chains, "first", "left").join(trees, "first", "left").withColumn("chain", F.coalesce("chain", "first")).withColumn("tree", F.coalesce("tree", "first"))
     begun, ended = F.min_by("url_hash", "first").alias("begun"), F.max_by(F.struct("url_hash", "doi"), "last").alias("ended")
-    captures = rows.groupBy("tree", "chain").agg(begun, ended, F.max("last").alias("last"), F.sum("arrivals").alias("arrivals"))
+    return rows.groupBy("tree", "chain").agg(begun, ended, F.max("last").alias("last"), F.sum("arrivals").alias("arrivals"))
+
+
+def resolve(log: DataFrame) -> DataFrame:
+    """capture_id, doi, url_hash, first_seq, last_seq, arrivals, merged: one row per live capture. log: url_hash (null as empty), doi, captured_at, seq."""
+    captures = flows(log)
     # The last arrival of all that flowed together is at the capture that lives on.
     live = captures.groupBy("tree").agg(F.max_by(F.struct("chain", "begun", "ended", "last", "arrivals"), "last").alias("c"), (F.count(F.lit(1)) - 1).alias("merged"))
     seq = F.col("c.chain.seq")

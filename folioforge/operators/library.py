@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.strings import like_any_case
@@ -63,6 +63,15 @@ def page(found: DataFrame, number: int = 1, size: int | None = None) -> DataFram
     return found.orderBy(F.desc("updated_at"), "id").offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_and_more(found: DataFrame, number: int = 1, size: int | None = None) -> DataFrame:
+    """A page with `has_more`: whether the next one has rows. One row more than the page is read, no count."""
+    size = page_size(size)
+    order = Window.partitionBy().orderBy(F.desc("updated_at"), "id")
+    rows = found.orderBy(F.desc("updated_at"), "id").offset((max(1, number) - 1) * size).limit(size + 1)  # at most MOST_PAGE_SIZE + 1 rows
+    numbered = rows.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size).withColumn("n", F.row_number().over(order))
+    return numbered.where(F.col("n") <= size).drop("n")
+
+
 def count_of(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total"))
 
@@ -70,7 +79,3 @@ def count_of(found: DataFrame) -> DataFrame:
 def with_known_ids(captures: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (pos, id) that exist, in their order and as often as given."""
     return ids.join(captures.select("id"), "id", "left_semi").orderBy("pos")
-
-
-def present(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)

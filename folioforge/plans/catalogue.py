@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from folioforge.cluster import spread
 from folioforge.functions import metadata, text, urls
-from folioforge.operators import collections, fulltext, graph, identity, ingest, library, sections
+from folioforge.operators import changes, collections, fulltext, graph, identity, ingest, library, sections
 from folioforge.plans import views
-from folioforge.sources import exports, html, sites
+from folioforge.sources import bundles, exports, html, sites
 
 QUERIES, ORACLE_SQL = {}, {}
 C, W = "WITH " + views.CAPTURES_SQL, "WITH " + views.WORKS_SQL
@@ -348,3 +348,93 @@ def export_sections_json(spark: SparkSession, d: str) -> DataFrame:
 @query(C + "SELECT id, url FROM captures WHERE id IN (SELECT capture_id FROM items WHERE collection_id = 2)")
 def export_scope(spark: SparkSession, d: str) -> DataFrame:
     return exports.scope(views.captures(spark, d), views.items(spark, d), collection=2).select("id", "url")
+
+
+@query(_FOUND + "SELECT id, title, updated_at, (SELECT count(*) FROM found) > 50 AS has_more FROM found ORDER BY updated_at DESC, id LIMIT 50")
+def library_page_and_more(spark: SparkSession, d: str) -> DataFrame:
+    return library.page_and_more(_found(spark, d), 1).select("id", "title", "updated_at", "has_more")
+
+
+@query(C + "SELECT id, url, updated_at FROM captures ORDER BY updated_at DESC, id")
+def captures_by_recency(spark: SparkSession, d: str) -> DataFrame:
+    return views.captures(spark, d).orderBy(F.desc("updated_at"), "id").select("id", "url", "updated_at")
+
+
+@query("""WITH i AS (SELECT regexp_extract(source, '(\\d+)', 1)::BIGINT AS collection_id, doc_id, lpad(doc_id::VARCHAR, 9, '0') AS added_at, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN doc_id - doc_id % 10 ELSE doc_id END AS keep FROM documents)
+SELECT collection_id, keep::VARCHAR AS capture_id, coalesce(min(added_at) FILTER (WHERE keep = doc_id), min(added_at)) AS added_at FROM i GROUP BY collection_id, keep""".replace("\\\\", "\\"))
+def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents merged into the one of their ten: memberships move once, and the keeper's own stay."""
+    items = views.items(spark, d).withColumn("added_at", F.lpad("capture_id", 9, "0"))
+    n = F.col("doc_id")
+    merges = views.table(spark, d, "labels").select((n - n % 10).cast("string").alias("keep"), n.cast("string").alias("gone"))
+    return changes.merged({"items": items}, merges)["items"]
+
+
+@query(C + """SELECT coalesce(d.doc_id::VARCHAR, c.id) AS id, CASE WHEN d.doc_id IS NULL THEN c.title ELSE d.source END AS title, CASE WHEN c.id IS NULL THEN 'new' ELSE 'old' END AS created_at, CASE WHEN d.doc_id IS NULL THEN 'old' ELSE 'new' END AS updated_at
+FROM captures c FULL JOIN documents d ON d.doc_id::VARCHAR = c.id""")
+def upsert_captures(spark: SparkSession, d: str) -> DataFrame:
+    """Documents put over the captures of pages."""
+    old = views.captures(spark, d).select("id", "title", F.lit("old").alias("created_at"), F.lit("old").alias("updated_at"))
+    new = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.lit("new").alias("created_at"), F.lit("new").alias("updated_at"))
+    return changes.upserted(old, new)
+
+
+@query(C + """SELECT 'captures' AS name, count(*) AS left_over FROM captures WHERE id NOT IN (SELECT doc_id::VARCHAR FROM labels) UNION ALL SELECT 'texts', count(*) FROM texts WHERE capture_id NOT IN (SELECT doc_id::VARCHAR FROM labels)
+UNION ALL SELECT 'items', count(*) FROM items WHERE capture_id NOT IN (SELECT doc_id::VARCHAR FROM labels)""")
+def delete_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    tables = {"captures": views.captures(spark, d), "texts": views.texts(spark, d), "items": views.items(spark, d)}
+    left = changes.deleted(tables, views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("capture_id")))
+    counts = [df.agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(name).alias("name"), "left_over") for name, df in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(C + """, a AS (SELECT id, title, url, id::BIGINT AS i FROM captures)
+SELECT id, CASE WHEN i % 4 = 0 THEN 'Reduced ' || id ELSE title END AS title, CASE WHEN i % 4 = 0 THEN 'https://r.org/' || id ELSE url END AS url, CASE WHEN i % 4 = 0 THEN 2001 WHEN i % 4 = 1 THEN NULL ELSE 1999 END AS year,
+CASE WHEN i % 4 = 0 THEN 'Ann Lee' ELSE '' END AS authors, CASE WHEN i % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence_fulltext, i % 4 = 0 AS parse_ok, CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END AS sections FROM a""")
+def bundle_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Captures with reduced records: whole, with an empty year, broken, and missing."""
+    c = views.captures(spark, d).select("id", "url", "title", "doi", F.lit(1999).alias("year"), F.lit("").alias("container_title"), F.lit("").alias("created_at"), F.lit("").alias("updated_at"))
+    i = F.col("id").cast("long")
+    whole = F.concat(F.lit('{"title": "Reduced '), "id", F.lit('", "source_url": "https://r.org/'), "id", F.lit('", "year": 2001, "authors": [" Ann Lee ", ""], "parse": {"ok": true, "confidence_fulltext": 0.5}}'))
+    reduced = c.where(i % 4 < 3).select(F.col("id").alias("capture_id"), F.lit("reduced.json").alias("name"), F.when(i % 4 == 0, whole).when(i % 4 == 1, '{"year": null}').otherwise("{broken").alias("text"))
+    parts = c.where(i % 4 == 0).select(F.col("id").alias("capture_id"), F.lit("sections.json").alias("name"), F.lit('[{"title": "Body", "kind": "other", "text": "x"}, null]').alias("text"))
+    found = bundles.bundles(c, reduced.unionByName(parts))
+    return found.select("id", "title", "url", "year", F.array_join("authors", ";").alias("authors"), "confidence_fulltext", "parse_ok", F.size("sections").alias("sections"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE 'On ' || lang END AS title, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS container_title,
+CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN '1987' WHEN doc_id % 5 = 2 THEN '1987-03' WHEN doc_id % 5 = 3 THEN '1987-03-09' ELSE '1987' END AS published_date_raw, CASE WHEN doc_id % 5 > 0 THEN 1987 END AS year,
+CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'Ann Lee;Roe;The Group' END AS authors FROM documents""")
+def registry_records(spark: SparkSession, d: str) -> DataFrame:
+    """A registry's messages made of documents."""
+    i = F.col("doc_id")
+    title = F.when(i % 3 == 0, F.concat(F.lit('"title": [" On '), "lang", F.lit('", "x"], '))).when(i % 3 == 1, F.concat(F.lit('"title": "On '), "lang", F.lit('", '))).otherwise('"title": [], ')
+    container = F.when(i % 2 == 0, F.concat(F.lit('"container-title": ["'), "source", F.lit('"], '))).otherwise("")
+    date = F.element_at(F.array(*map(F.lit, ("[[1499]]", "[[1987]]", "[[1987, 3, 40]]", "[[1987, 3, 9]]", "[[1987, 13, 9]]"))), (i % 5 + 1).cast("int"))
+    people = F.when(i % 4 == 3, '"author": "no list"').otherwise('"author": [{"given": "Ann", "family": "Lee"}, {"last": "Roe"}, {"given": "Bo"}, {"name": " The Group "}]')
+    message = F.concat(F.lit("{"), title, container, F.lit('"issued": {"date-parts": '), date, F.lit("}, "), people, F.lit("}"))
+    read = views.table(spark, d, "documents").select("doc_id", metadata.registry_record(message).alias("r"))
+    return read.select("doc_id", "r.title", "r.container_title", "r.published_date_raw", "r.year", F.array_join("r.authors", ";").alias("authors"))
+
+
+@query("SELECT doc_id, length(text) AS article_chars, length(source) AS references_chars, 0 AS html_chars FROM documents")
+def text_lengths(spark: SparkSession, d: str) -> DataFrame:
+    block = metadata.lengths(article=F.col("text"), references=F.col("source"), html=F.lit(None))
+    return views.table(spark, d, "documents").select("doc_id", block.alias("b")).select("doc_id", "b.*")
+
+
+def log_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """An arrival log made of events: a user stands for a URL, and every third event has one of many DOIs."""
+    doi = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.1/"), (F.col("event_id") % 997).cast("string"))).otherwise("")
+    return views.table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("url_hash"), doi.alias("doi"), F.col("ts").cast("string").alias("captured_at"), F.col("event_id").alias("seq"))
+
+
+@query()
+def feed_library(spark: SparkSession, d: str) -> DataFrame:
+    """An empty library after a feed of events: its captures with what is indexed of each."""
+    arrivals = log_of_events(spark, d).withColumn("title", F.col("doi")).withColumn("content_text", F.concat_ws(" ", F.lit("text"), "doi"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    tables = {"captures": empty("id string, url_hash string, doi string, title string, created_at string, updated_at string"), "texts": empty("capture_id string, content_text string"), "items": empty("collection_id long, capture_id string, added_at string"), "postings": empty("capture_id string, field string, token string")}
+    after = changes.fed(tables, arrivals, "now")
+    tokens = after["postings"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("tokens"))
+    return after["captures"].join(tokens.withColumnRenamed("capture_id", "id"), "id", "left").select("id", "url_hash", "doi", "created_at", "tokens")
