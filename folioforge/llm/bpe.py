@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import table, whole
+from folioforge.llm.common import spread_table, whole
 
 #: Bytes of a leaf of the tree, which is merged directly.
 LEAF = 8
@@ -237,6 +237,6 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "id", id
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     done = encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
     return done.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

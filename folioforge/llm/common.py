@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.cluster import spread
 from folioforge.operators.graph import shared_dir, stored  # noqa: F401
 
 #: ASCII white space, the separator between words in every operator here.
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for queries that work long on each row: small ones are dealt to all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def whole(text: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

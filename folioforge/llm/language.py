@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import table, whole
+from folioforge.llm.common import spread_table, whole
 
 #: Length of the vectors.
 DIMENSIONS = 256
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 5 == 0, F.lit(False))
     prototypes = learn(docs.where(~held & docs["text"].isNotNull() & docs["lang"].isNotNull()))
     return identify(docs, prototypes, carry={"held_out": held}).withColumnRenamed("id", "doc_id")

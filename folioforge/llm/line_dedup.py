@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bitmap, bits_for, maybe_held, stored, table, whole
+from folioforge.llm.common import bitmap, bits_for, maybe_held, spread_table, stored, whole
 
 #: Lines of fewer characters are near no other.
 NEAR_CHARS = 16
@@ -171,7 +171,7 @@ def dedup_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_decisions(table(spark, sf_dir, "documents"))
+    found = dedup_decisions(spread_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept_lines"))
 
 

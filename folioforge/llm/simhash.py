@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import stored, table, whole
+from folioforge.llm.common import spread_table, stored, whole
 from folioforge.operators.graph import components
 
 #: Fingerprints in a bucket that are still compared in pairs.
@@ -162,5 +162,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
+    found = near_duplicates(spread_table(spark, sf_dir, "documents"), words=3, bits=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import stored, table, whole
+from folioforge.llm.common import spread_table, stored, table, whole
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -191,6 +191,6 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     found = score(docs, learn(docs, toxic_labels(table(spark, sf_dir, "labels"))))
     return found.select(F.col("id").alias("doc_id"), "severity", "grade", (F.col("chance") >= REJECT).alias("toxic"))
