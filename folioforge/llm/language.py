@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import spread_table, whole
 
 #: Length of the vectors.
-DIMENSIONS = 256
+DIMENSIONS = 1024
 #: Letters of text that are worked on at once, so that memory stays bounded.
 PORTION = 150_000
 #: Rows of the letter table: the code points' remainders, 0 for the blank. Letters beyond the table share rows.

@@ -16,6 +16,15 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_short_texts(spark):
+    """Three words are enough for nine of ten, in documents that training has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    known = language.learn(docs.where("doc_id % 5 > 0").select("text", "lang"))
+    short = docs.where("doc_id % 5 = 0 and size(split(text, ' ')) > 20").select("doc_id", "lang", F.array_join(F.slice(F.split("text", " "), 11, 3), " ").alias("text"))
+    rows = language.identify(short, known, carry={"lang": F.col("lang")}).where("lang_pred != 'und'").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.9 * len(rows)
+
+
 def test_a_bundle_is_the_sum_of_bound_letter_vectors():
     import numpy as np
 
