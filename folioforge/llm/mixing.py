@@ -87,7 +87,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     placed = placed.withColumn("slot", F.expr("shiftrightunsigned(slot, 64 - bits)")).withColumn("part", F.expr("slot >> greatest(bits - 10, 0)"))
     counts = placed.groupBy("sid", "part").agg(F.count(F.lit(1)).alias("here"))
     offsets = counts.withColumn("offset", F.sum("here").over(Window.partitionBy("sid").orderBy("part")) - F.col("here")).drop("here")
-    ranked = placed.withColumn("i", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot"))).join(offsets, ["sid", "part"])
+    ranked = placed.withColumn("i", F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot"))).join(offsets.hint("merge"), ["sid", "part"])  # else the slots might be broadcast
     ranked = ranked.withColumn("rank", F.col("offset") + F.col("i") - 1).where("rank < slots")
     block = F.col("rank") % F.col("blocks")
     length = F.least(k, F.col("source_size") - block * k)
