@@ -417,7 +417,7 @@ def registry_records(spark: SparkSession, d: str) -> DataFrame:
     return read.select("doc_id", "r.title", "r.container_title", "r.published_date_raw", "r.year", F.array_join("r.authors", ";").alias("authors"))
 
 
-@query("SELECT doc_id, length(text) AS article_chars, length(source) AS references_chars, 0 AS html_chars FROM documents")
+@query("SELECT doc_id, length(text)::INTEGER AS article_chars, length(source)::INTEGER AS references_chars, 0::INTEGER AS html_chars FROM documents")
 def text_lengths(spark: SparkSession, d: str) -> DataFrame:
     block = metadata.lengths(article=F.col("text"), references=F.col("source"), html=F.lit(None))
     return views.table(spark, d, "documents").select("doc_id", block.alias("b")).select("doc_id", "b.*")
