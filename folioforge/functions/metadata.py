@@ -16,6 +16,8 @@ KEYWORD_KEYS = ("citation_keywords", "keywords")
 AUTHOR_KEYS = ("citation_author", "citation_authors", "dc.creator", "dcterms.creator")
 ABSTRACT_KEYS = ("citation_abstract", "dcterms.abstract", "dc.description")
 ABSTRACT_CHARS, SNIPPET_CHARS = 20_000, 220
+#: Fixed value: what a DOI looks like.
+DOI = r"""10\.\d{4,9}/[^\s<>"']+"""
 
 
 def value(meta: Column, key: str) -> Column:
@@ -33,7 +35,7 @@ def doi(raw: Column) -> Column:
     s = strip(F.regexp_replace(s, rf"(?i)^{WS}*https?://(?:dx\.)?doi\.org/", ""))
     s = strip(F.regexp_replace(s, rf"(?i)^{WS}*doi{WS}*:{WS}*", ""))
     s = F.regexp_replace(s, r"""^[.,;:)\]}"']+|[.,;:)\]}"']+\z""", "")
-    return F.lower(F.regexp_extract(s, r"""(?U)10\.\d{4,9}/[^\s<>"']+""", 0))
+    return F.lower(F.regexp_extract(s, "(?U)" + DOI, 0))
 
 
 def year(raw: Column) -> Column:

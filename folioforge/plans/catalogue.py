@@ -177,12 +177,22 @@ def latest_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return identity.latest_artifacts(log, "user_id", ["page", "article"])
 
 
-@query()
+#: The fold over events in SQL: what comes next at each arrival's URL or DOI, then the trees of these links walked from their ends.
+_FOLD = """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS k, event_id AS seq, ts, sha256(user_id::VARCHAR) AS u, CASE WHEN event_id % 3 = 0 THEN '10.1/' || event_id % 997 ELSE '' END AS d FROM events),
+a AS (SELECT *, lead(k) OVER (PARTITION BY u ORDER BY k) AS next_u, CASE WHEN d <> '' THEN lead(k) OVER (PARTITION BY d ORDER BY k) END AS next_d FROM e),
+o AS (SELECT *, d <> '' AND lag(k) OVER (PARTITION BY d ORDER BY k) IS NOT NULL AND coalesce(lag(next_u) OVER (PARTITION BY d ORDER BY k) >= k, true) AS owned, least(next_u, next_d) AS next FROM a),
+m AS (SELECT *, coalesce(next = next_u, false) AND NOT coalesce(next = next_d, false) AND coalesce(lead(owned) OVER (PARTITION BY u ORDER BY k), false) AS merges FROM o),
+w AS (SELECT k, k AS root, true AS own, false AS merges FROM m WHERE next IS NULL UNION ALL SELECT m.k, w.root, w.own AND NOT m.merges, m.merges FROM m JOIN w ON m.next = w.k),
+c AS (SELECT root, arg_min(u, e.k) FILTER (WHERE own) AS begun, arg_min(seq, e.k) FILTER (WHERE own) AS first_seq, arg_min(ts, e.k) FILTER (WHERE own) AS first_at, count(*) FILTER (WHERE own) AS arrivals, count(*) FILTER (WHERE merges) AS merged
+  FROM w JOIN e ON e.k = w.k GROUP BY root),
+f AS (SELECT substr(begun, 1, 16) || '-' || first_seq AS id, d, u, first_seq, first_at, seq, arrivals, merged FROM c JOIN e ON e.k = c.root)
+"""
+
+
+@query(_FOLD + "SELECT id AS capture_id, d AS doi, u AS url_hash, first_seq, seq AS last_seq, arrivals, merged FROM f")
 def identity_fold(spark: SparkSession, d: str) -> DataFrame:
     """The fold over events: a user stands for a URL, and every third event has one of many DOIs."""
-    doi = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.1/"), (F.col("event_id") % 997).cast("string"))).otherwise("")
-    log = views.table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("url_hash"), doi.alias("doi"), F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"))
-    return identity.resolve(log)
+    return identity.resolve(log_of_events(spark, d))
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '10.' || (1000 + doc_id) || '/ab.' || doc_id || CASE WHEN doc_id % 4 = 3 THEN ';' ELSE '' END END AS doi,
@@ -283,7 +293,10 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
     return views.works(spark, d).select("*", s.alias("sections"), F.lit("2024-01-01T00:00:00+00:00").alias("captured_at"), F.lit("").alias("published_date_raw"), F.lit("generic").alias("parse_parser"), F.lit(True).alias("parse_ok"), F.lit("ok").alias("capture_quality"), F.lit("").alias("blocked_reason"), F.lit(0.5).alias("confidence_fulltext"), F.lit(True).alias("used_for_index"))
 
 
-@query()
+@query(W + r""", p AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(abstract, '[ \t]+', ' ', 'g'), ' +(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS body FROM works)
+SELECT id, to_json({'id': id, 'captured_at': '2024-01-01T00:00:00+00:00', 'published_date_raw': '', 'title': title, 'doi': doi, 'url': url, 'year': year, 'container_title': container_title, 'authors': authors, 'parse_parser': 'generic',
+ 'parse_ok': true, 'capture_quality': 'ok', 'blocked_reason': '', 'confidence_fulltext': 0.5::DOUBLE, 'used_for_index': true, 'sections': list_filter([{'id': 's01', 'kind': 'other', 'title': 'Body', 'text': body},
+ {'id': 's03', 'kind': 'references', 'title': 'References', 'text': url}], lambda s: s.text <> '')})::VARCHAR AS line FROM p""")
 def export_papers_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return _papers(spark, d).select("id", exports.paper_json().alias("line"))
 
@@ -429,7 +442,7 @@ def log_of_events(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "events").select(F.sha2(F.col("user_id").cast("string"), 256).alias("url_hash"), doi.alias("doi"), F.col("ts").cast("string").alias("captured_at"), F.col("event_id").alias("seq"))
 
 
-@query()
+@query(_FOLD + "SELECT id, u AS url_hash, d AS doi, first_at::VARCHAR AS created_at, CASE WHEN d = '' THEN 1 ELSE 1 + 2 * len(list_distinct(string_split_regex(d, '[^0-9]+'))) END::BIGINT AS tokens FROM f")
 def feed_library(spark: SparkSession, d: str) -> DataFrame:
     """An empty library after a feed of events: its captures with what is indexed of each."""
     arrivals = log_of_events(spark, d).withColumn("title", F.col("doi")).withColumn("content_text", F.concat_ws(" ", F.lit("text"), "doi"))

@@ -24,6 +24,7 @@ NOT_TEXT = {"script", "style", "template"}
 STRIPPED = {"script", "style", "noscript", "iframe", "form", "input", "button", "svg", "canvas", "nav", "header", "footer", "aside"}
 FURNITURE = ("nav", "breadcrumb", "toolbar", "cookie", "consent", "subscribe", "paywall", "header", "footer", "sidebar", "related", "recommend", "advert", "promo")
 FURNITURE_CHARS = 400
+#: Elements and titles of headings, words that sections are named by, and characters of a page's text that are kept.
 HEADINGS = ("h1", "h2", "h3", "h4")
 REFERENCES = r"^\s*(references|bibliography|works cited|literature cited|citations)\s*$"
 SECTION_WORDS = r"(?i)\b(abstract|introduction|methods?|materials?|results?|discussion|conclusion|references)\b"
@@ -37,6 +38,7 @@ WALLS = (
     (r"\bunusual traffic\b|\bare you a robot\b|\bcaptcha\b", "bot_block"),
     (r"\b(accept|reject|manage)\b.*\b(cookie|consent)\b", "cookie_wall"),
 )
+#: Page lengths below which a wall blocks, and below which a page is suspicious.
 BLOCKED_CHARS, SHORT_CHARS = 4000, 800
 
 _references = re.compile(REFERENCES, re.I)
@@ -227,6 +229,7 @@ def wall_reason(document_text: Column) -> Column:
 
 
 def block_score(b: Column) -> Column:
+    # What counts in full at how many characters, paragraphs and headings, and the weights.
     share = lambda c, most: F.least(c.cast("double"), F.lit(float(most))) / most
     links = F.least(b["link_chars"] / F.greatest(b["chars"], F.lit(1)), F.lit(1.0))
     score = share(b["chars"], 6000) * 6.0 + share(b["paragraphs"], 60) * 4.0 + share(b["headings"], 30) * 2.0 - links * 5.0 + F.when(b["lead"].rlike(SECTION_WORDS), 1.5).otherwise(0.0)
@@ -239,6 +242,7 @@ def judged(read: DataFrame) -> DataFrame:
     best = read.withColumn("best", F.array_max(F.filter(scored, lambda x: x["score"] > -1e9))).withColumn("reason", wall_reason(F.col("document_text")))
     long = F.length("document_text")
     quality = F.when(long == 0, "suspicious").when((F.col("reason") != "") & (long < BLOCKED_CHARS), "blocked").when((F.col("reason") != "") | (long < SHORT_CHARS), "suspicious").otherwise("ok")
+    # The steps of confidence.
     raw = F.least(F.lit(1.0), F.coalesce(F.col("best.score"), F.lit(0.0)) / 10) + F.when(F.col("best.b.chars") >= 2500, 0.25).otherwise(0.0) + F.when(F.col("best.b.paragraphs") >= 8, 0.25).otherwise(0.0)
     capped = F.when(quality == "blocked", F.least(raw, F.lit(0.2))).otherwise(raw)
     return best.withColumns({

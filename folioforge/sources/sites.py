@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from folioforge.functions import urls
+from folioforge.functions import metadata, urls
 from folioforge.functions.text import heading_kind, heading_number, heading_title
 from folioforge.sources import html
 from folioforge.sources.html import Node
@@ -30,7 +30,7 @@ BASE_STRIPPED = {"script", "style", "noscript", "iframe", "form", "input", "butt
 STRIPPED = {"oup": BASE_STRIPPED, "wiley": BASE_STRIPPED | {"nav", "header", "aside"}, "pmc": BASE_STRIPPED | {"nav", "header", "aside", "figure", "video", "audio", "source", "track", "picture"}, "sciencedirect": BASE_STRIPPED | {"nav", "header", "aside"}}
 #: Class fragments of blocks that are no content, interface texts, and identifiers and classes of sections to leave out.
 NO_CONTENT = {
-    "oup": ("article-metadata", "kwd-group", "metadata-taggedcollection", "copyright", "license", "toolbar", "downloadimagesppt", "ref-list"),
+    "oup": ("article-metadata", "kwd-group", "metadata-taggedcollection", "copyright", "license", "toolbar", "downloadimagesppt"),
     "wiley": ("article-section__references", "article-section__citedby", "cited-by", "tab__pane"),
 }
 INTERFACE = re.compile(r"^(open in new tab|download slide|download all slides|view large|open in another window)$", re.I)
@@ -40,7 +40,7 @@ CONFIDENCE = {"oup": ((0, 0.6), (2000, 0.75), (6000, 0.9)), "wiley": ((0, 0.6),
 REFERENCE_CHARS = 40
 
 _simple = re.compile(r"^(\w*)((?:[.#][\w-]+)*)(?:\[([\w-]+)=([^\]]*)\])?$")
-_doi = re.compile(r"10\.\d{4,9}/[^\s<>\"']+", re.I)
+_doi = re.compile(metadata.DOI, re.I)
 _references = re.compile(html.REFERENCES, re.I)
 
 
