@@ -4,6 +4,7 @@ Each live capture owns one (doi, url_hash) pair, which every arrival that hits i
 that DOI's owner, and another owner of its URL hash is merged into it; else it hits its URL hash's owner; else it is new.
 So a capture stays as an arrival left it until the next arrival at its DOI or its URL hash: windows by each of them tell
 which arrival takes it over, and connected components of these links are the captures. fold() says the same in one piece.
+Windows go over blocks of the log in order, and what lies at their edges is handed on, so no task holds a URL hash or a DOI.
 A log without DOIs needs no links: the latest row of each URL hash is the answer. (captured_at, seq) tells arrivals apart.
 """
 
@@ -49,6 +50,21 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(live.values()), columns=["capture_id", "doi", "url_hash", "first_seq", "last_seq", "arrivals", "merged"])
 
 
+def _blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows stored in order of key and arrival; `name` numbers the consecutive blocks in which they lie. A key may have many blocks, so that no task holds all of it."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return graph.stored(rows.repartitionByRange(n, key, "at").withColumn(name, F.spark_partition_id()), "identity-blocks")
+
+
+def _beside(rows: DataFrame, key: str, block: str, columns: list[str], ahead: bool) -> DataFrame:
+    """rows with `beside`: those columns of the key's next arrival (of the one before, if not ahead), null if there is none."""
+    shift, edge_of = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    held = F.struct(key, *columns)
+    edges = rows.groupBy(block).agg(edge_of(held, F.struct(key, "at")).alias("edge")).select(block, shift("edge").over(Window.orderBy(block)).alias("edge"))
+    found = rows.withColumn("here", shift(held).over(Window.partitionBy(block, key).orderBy("at"))).join(F.broadcast(edges), block)  # one edge a block
+    return found.withColumn("beside", F.coalesce("here", F.when(F.col("edge")[key] == F.col(key), F.col("edge")))).drop("here", "edge")
+
+
 def runs(log: DataFrame) -> DataFrame:
     """first, last, url_hash, doi, arrivals, next, merges: arrivals at one URL hash, each taking over the capture of the one before.
 
@@ -56,20 +72,32 @@ def runs(log: DataFrame) -> DataFrame:
     An arrival leaves a capture with its own DOI and URL hash, which the next arrival at either of them takes over.
     """
     at, doi = F.struct("captured_at", "seq").alias("at"), F.coalesce("doi", F.lit(""))
-    by_url, by_doi = Window.partitionBy("url_hash").orderBy("at"), Window.partitionBy("doi").orderBy("at")
-    rows = log.select(F.coalesce("url_hash", F.lit("")).alias("url_hash"), "doi", at).withColumn("next_url", F.lead("at").over(by_url))
+    rows = _blocks(log.select(F.coalesce("url_hash", F.lit("")).alias("url_hash"), "doi", at), "url_hash", "block")
+    by_url = lambda df, columns, ahead: _beside(df, "url_hash", "block", columns, ahead)
+    by_doi = lambda df, columns, ahead: _beside(df, "doi", "doi_block", columns, ahead)
+    rows = by_url(rows, ["at"], True).withColumn("next_url", F.col("beside.at")).drop("beside")
     no_doi = rows.where(doi == "").withColumn("next_doi", F.lit(None).cast(rows.schema["at"].dataType)).withColumn("owned", F.lit(False))
-    before = F.lag(F.struct("at", "next_url")).over(by_doi)
+    some_doi = _blocks(rows.where(doi != ""), "doi", "doi_block")
+    some_doi = by_doi(some_doi, ["at"], True).withColumn("next_doi", F.col("beside.at")).drop("beside")
+    before = F.col("beside.next_url")
     # The DOI's last arrival still owns it unless its URL hash had another arrival since.
-    owned = before.isNotNull() & (before["next_url"].isNull() | (before["next_url"] >= F.col("at")))
-    rows = no_doi.unionByName(rows.where(doi != "").withColumn("next_doi", F.lead("at").over(by_doi)).withColumn("owned", owned))
+    owned = F.col("beside").isNotNull() & (before.isNull() | (before >= F.col("at")))
+    some_doi = by_doi(some_doi, ["at", "next_url"], False).withColumn("owned", owned).drop("beside", "doi_block")
+    rows = graph.stored(no_doi.unionByName(some_doi), "identity-next")
     rows = rows.withColumn("next", F.least("next_url", "next_doi")).withColumn("by_url", F.coalesce(F.col("next") == F.col("next_url"), F.lit(False))).withColumn("by_doi", F.coalesce(F.col("next") == F.col("next_doi"), F.lit(False)))
     # A capture reached by its URL hash alone is merged if the DOI has an owner.
-    rows = rows.withColumn("merges", F.col("by_url") & ~F.col("by_doi") & F.coalesce(F.lead("owned").over(by_url), F.lit(False)))
-    goes_on = (F.col("by_url") & ~F.col("merges")).cast("int")
-    rows = rows.withColumn("starts", 1 - F.coalesce(F.lag(goes_on).over(by_url), F.lit(0))).withColumn("run", F.sum("starts").over(by_url))
+    merges = F.col("by_url") & ~F.col("by_doi") & F.coalesce("beside.owned", F.lit(False))
+    rows = by_url(rows, ["owned"], True).withColumn("merges", merges).withColumn("goes_on", F.col("by_url") & ~F.col("merges")).drop("beside")
+    rows = by_url(rows, ["goes_on"], False).withColumn("starts", ~F.coalesce("beside.goes_on", F.lit(False))).drop("beside")
+    # A run is known by its first arrival; where that is in no block of its own, in the last block before that has one.
+    so_far = Window.partitionBy("block", "url_hash").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("here", F.last(F.when(F.col("starts"), F.col("at")), ignorenulls=True).over(so_far))
+    ends = rows.groupBy("block").agg(F.max_by(F.struct("here"), F.struct("url_hash", "at")).alias("end"))
+    carried = ends.select("block", F.last("end.here", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.join(F.broadcast(carried), "block").withColumn("first", F.coalesce("here", "carried"))  # one row a block
     end = F.max_by(F.struct("doi", "next", "merges"), "at").alias("end")
-    return rows.groupBy("url_hash", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("arrivals"), end).select("first", "last", "url_hash", "end.doi", "arrivals", "end.next", "end.merges")
+    found = rows.groupBy("url_hash", "first").agg(F.max("at").alias("last"), F.count(F.lit(1)).alias("arrivals"), end)
+    return found.select("first", "last", "url_hash", "end.doi", "arrivals", "end.next", "end.merges")
 
 
 def flows(log: DataFrame) -> DataFrame:

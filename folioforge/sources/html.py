@@ -127,9 +127,24 @@ def tree(html: str) -> Node:
     return builder.root
 
 
-def is_furniture(node: Node) -> bool:
+def lengths(root: Node) -> dict[int, int]:
+    """The number of characters of each element's text(), by the element's id(), from the leaves up."""
+    held: dict[int, tuple[int, int]] = {}
+    for n in reversed([root, *root.walk()]):
+        chars = pieces = 0
+        for c in n.children:
+            if isinstance(c, str):
+                size = len(c.strip())
+                chars, pieces = chars + size, pieces + (size > 0)
+            elif c.tag not in NOT_TEXT:
+                chars, pieces = chars + held[id(c)][0], pieces + held[id(c)][1]
+        held[id(n)] = chars, pieces
+    return {k: chars + max(0, pieces - 1) for k, (chars, pieces) in held.items()}
+
+
+def is_furniture(node: Node, chars: int) -> bool:
     names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
-    return any(f in names for f in FURNITURE) and len(node.text()) < FURNITURE_CHARS
+    return any(f in names for f in FURNITURE) and chars < FURNITURE_CHARS
 
 
 def block_text(node: Node) -> str:
@@ -156,7 +171,8 @@ def blocks(root: Node) -> list[dict]:
     first = lambda test: next((n for n in nodes if test(n)), None)
     found = [("tag:article", first(lambda n: n.tag == "article")), ("tag:main", first(lambda n: n.tag == "main")), ('attr:role="main"', first(lambda n: n.attrs.get("role") == "main"))]
     found += [(f"id:{i}", first(lambda n, i=i: n.attrs.get("id") == i)) for i in ("maincontent", "content", "main")]
-    sized = [(len(n.text()), -k, n) for k, n in enumerate(nodes) if n.tag in ("div", "section")]
+    size_of = lengths(root)
+    sized = [(size_of[id(n)], -k, n) for k, n in enumerate(nodes) if n.tag in ("div", "section")]
     if sized and (best := max(sized, key=lambda x: x[:2]))[0] > 0:
         found.append(("fallback:largest_block", best[2]))
     out, seen = [], set()
@@ -164,12 +180,14 @@ def blocks(root: Node) -> list[dict]:
         if node is None or id(node) in seen:
             continue
         seen.add(id(node))
-        clean = node.cleaned(lambda n: n.tag in STRIPPED).cleaned(is_furniture)
-        inner, text = list(clean.walk()), clean.text()
+        bare = node.cleaned(lambda n: n.tag in STRIPPED)
+        bare_size = lengths(bare)
+        clean = bare.cleaned(lambda n, size=bare_size: is_furniture(n, size[id(n)]))
+        inner, text, clean_size = list(clean.walk()), clean.text(), lengths(clean)
         body, refs = body_and_references(clean)
         out.append({
             "hint": hint, "chars": len(text), "paragraphs": sum(n.tag == "p" for n in inner), "headings": sum(n.tag in HEADINGS for n in inner),
-            "link_chars": sum(len(n.text()) for n in inner if n.tag == "a"), "lead": text[:20_000], "body": body or clean.text("\n"), "refs": refs,
+            "link_chars": sum(clean_size[id(n)] for n in inner if n.tag == "a"), "lead": text[:20_000], "body": body or clean.text("\n"), "refs": refs,
         })
     return out
 

@@ -1,5 +1,7 @@
 
-from folioforge.sources import sites
+import time
+
+from folioforge.sources import html, sites
 
 LONG = "text that goes on for long enough to count as a paragraph of an article " * 3
 PAGES = [
@@ -24,3 +26,22 @@ def test_layouts(spark):
     assert [[(x.n, x.doi, x.pubmed) for x in r.references or ()] for r in rows] == [[("", "10.1234/abc", "")], [("", "10.5/x", "")], [("1", "10.1234/q", "https://pubmed.ncbi.nlm.nih.gov/7")], [("", "10.1234/z", "")], [], []]
     assert rows[2].references_text == "References\n1. Someone said [DOI:10.1234/q · PubMed:https://pubmed.ncbi.nlm.nih.gov/7]"
     assert rows[0].confidence == 0.6 and rows[2].confidence == 0.65 and rows[4].article_text == "T\nOnly this." and rows[5].article_text == ""
+
+
+def test_lengths_are_those_of_the_texts(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()] + [h for _, _, h in PAGES if h] + ["<p>a<script>b</script><template> c </template><p> \n d<b></b>"]
+    for page in pages:
+        root = html.tree(page)
+        size = html.lengths(root)
+        assert all(size[id(n)] == len(n.text()) for n in (root, *root.walk()))
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(depth):
+        root = html.tree('<div id="nav">' * depth + "x" * 500 + "</div>" * depth)
+        began = time.perf_counter()
+        html.blocks(root)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(6000) < 12 * seconds(1500) + 0.2
