@@ -103,12 +103,14 @@ def runs(log: DataFrame) -> DataFrame:
 def flows(log: DataFrame) -> DataFrame:
     """tree, chain, begun, ended, last, arrivals: one row a capture that ever was. `chain` is its first arrival; captures that flowed together share a tree."""
     found = graph.stored(runs(log), "identity-runs")
-    links = found.where("next is not null").select(F.col("first").alias("a"), F.col("next").alias("b"), "merges")
-    chains = graph.components(links.where("not merges").select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("chain"))
-    trees = graph.components(links.select("a", "b")).select(F.col("node").alias("first"), F.col("root").alias("tree"))
-    rows = found.join(chains, "first", "left").join(trees, "first", "left").withColumn("chain", F.coalesce("chain", "first")).withColumn("tree", F.coalesce("tree", "first"))
+    goes_on = found.where("next is not null and not merges").select(F.col("first").alias("a"), F.col("next").alias("b"))
+    chains = graph.components(goes_on).select(F.col("node").alias("first"), F.col("root").alias("chain"))
+    rows = graph.stored(found.join(chains, "first", "left").withColumn("chain", F.coalesce("chain", "first")), "identity-chains")
+    into = rows.select(F.col("first").alias("next"), F.col("chain").alias("b"))
+    trees = graph.components(rows.where("next is not null and merges").select("next", F.col("chain").alias("a")).join(into, "next").select("a", "b"))
     begun, ended = F.min_by("url_hash", "first").alias("begun"), F.max_by(F.struct("url_hash", "doi"), "last").alias("ended")
-    return rows.groupBy("tree", "chain").agg(begun, ended, F.max("last").alias("last"), F.sum("arrivals").alias("arrivals"))
+    captures = rows.groupBy("chain").agg(begun, ended, F.max("last").alias("last"), F.sum("arrivals").alias("arrivals"))
+    return captures.join(trees.select(F.col("node").alias("chain"), F.col("root").alias("tree")), "chain", "left").withColumn("tree", F.coalesce("tree", "chain"))
 
 
 def resolve(log: DataFrame) -> DataFrame:
