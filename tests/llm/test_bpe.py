@@ -51,3 +51,14 @@ def test_documents(spark, both):
     ids = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN)
     assert sorted(bytes(r.data).decode() for r in bpe.decode_documents(ids, PATH).collect()) == sorted(r.text or "" for r in docs.collect())
     assert bpe.encode_documents(empty_docs(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query(spark, both):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = bpe.op1_bpe(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = both[1].encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
+import duckdb
 from pyspark.sql import functions as F
 
 from folioforge.llm import mixing
@@ -65,3 +67,12 @@ def test_reversed_bits(spark):
     x = [0, 1, 2, 5, 1 << 40, -1, -(1 << 63), 123456789]
     got = spark.createDataFrame([(i,) for i in x], "x long").select("x", mixing.reversed_bits(F.col("x")).alias("r")).collect()
     assert all(f"{r.r & (2**64 - 1):064b}" == f"{r.x & (2**64 - 1):064b}"[::-1] for r in got)
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{d}/documents.parquet").collect()
+    rows, of = mixing.op4_mixing(spark, d).collect(), {r.doc_id: r.source for r in source}
+    held([SimpleNamespace(**r.asDict(), source=of[r.doc_id]) for r in rows], source)
+    want = duckdb.sql(mixing.SQL.replace("FROM documents", f"FROM '{d}/documents.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in rows) == sorted(want)

@@ -35,3 +35,17 @@ def test_edges(spark):
     none = toxicity.learn(docs, graded.limit(0))
     assert none.thetas == [] and {(r.severity, r.grade) for r in toxicity.score(docs, none).collect()} == {(0.0, 0)}
     assert toxicity.score(empty_docs(spark), model).count() == 0
+
+
+def test_query_against_the_model_row_by_row(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.learn(docs, toxicity.toxic_labels(labels))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = toxicity.op5_toxicity(spark, d).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        x = sum(w for t, w in model.weights.items() if t in toxicity.features_of(texts[r.doc_id]))
+        above = [1 / (1 + np.exp(t - x)) for t in model.thetas]
+        each = -np.diff([1.0, *above, 0.0])
+        assert abs(r.severity - sum(above)) < 1e-6 and r.toxic == bool(above and above[0] >= toxicity.REJECT) and each[r.grade] >= each.max() - 1e-9
