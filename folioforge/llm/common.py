@@ -41,6 +41,23 @@ def small_enough(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Keys that more than one in HEAVY rows has, fewer than HEAVY in all, are joined by broadcast.
+HEAVY = 1000
+
+
+def joined_by_weight(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the facts of their keys, null keys included. facts: one row a key; `weight` is how many of the `total` rows have it.
+
+    Heavy keys are broadcast, so no task gathers the rows of one; all others meet by a shuffle. Both are read twice.
+    """
+    named = facts.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in facts.columns if c not in (*on, weight)], F.col(weight).alias("_weight"))
+    heavy, light = named.where(F.col("_weight") * HEAVY > total), named.where(F.col("_weight") * HEAVY <= total)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    keys = F.broadcast(heavy.select(*[f"_{c}" for c in on]))  # fewer than HEAVY rows
+    met = rows.join(F.broadcast(heavy), same).unionByName(rows.join(keys, same, "left_anti").join(light, same))
+    return met.drop("_weight", *[f"_{c}" for c in on])
+
+
 def bits_for(count: int, most: int) -> int:
     """Bits of a bitmap for so many values, a power of two: 16 a value, but at most `most`."""
     return min(most, 1 << max(16, (16 * count - 1).bit_length() if count else 0))

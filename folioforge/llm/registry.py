@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioforge.llm import bpe, exact_dedup, language, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity
+from folioforge.llm import bpe, codes, exact_dedup, language, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_codes": codes.op11_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op6_mtree": mtree.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_codes": codes.SQL,
 }
