@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioforge.llm import bpe, codes, exact_dedup, language, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity
+from folioforge.llm import bpe, codes, exact_dedup, language, leaks, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_codes": codes.op11_codes,
+    "op12_leaks": leaks.op12_leaks,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op9_line_dedup": line_dedup.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
     "op11_codes": codes.SQL,
+    "op12_leaks": leaks.SQL,
 }
