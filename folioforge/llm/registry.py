@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioforge.llm import bpe, codes, exact_dedup, language, leaks, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity
+from folioforge.llm import bpe, codes, exact_dedup, language, leaks, line_dedup, mixing, mtree, secrets, sharding, simhash, toxicity, trie
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_codes": codes.op11_codes,
     "op12_leaks": leaks.op12_leaks,
+    "op13_trie": trie.op13_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.SQL,
     "op11_codes": codes.SQL,
     "op12_leaks": leaks.SQL,
+    "op13_trie": trie.SQL,
 }
