@@ -66,13 +66,13 @@ def _beside(rows: DataFrame, key: str, block: str, columns: list[str], ahead: bo
 
 
 def runs(log: DataFrame) -> DataFrame:
-    """first, last, url_hash, doi, arrivals, next, merges: arrivals at one URL hash, each taking over the capture of the one before.
+    """first, last, url_hash, doi, arrivals, next, merges: arrivals at one URL hash, each taking over the capture of the one before. log: url_hash, doi, at (their order).
 
     `next` is the first arrival of the run that takes the capture over, null if it lives on; `merges` tells that it is merged there.
     An arrival leaves a capture with its own DOI and URL hash, which the next arrival at either of them takes over.
     """
-    at, doi = F.struct("captured_at", "seq").alias("at"), F.coalesce("doi", F.lit(""))
-    rows = _blocks(log.select(F.coalesce("url_hash", F.lit("")).alias("url_hash"), "doi", at), "url_hash", "block")
+    doi = F.coalesce("doi", F.lit(""))
+    rows = _blocks(log.select(F.coalesce("url_hash", F.lit("")).alias("url_hash"), "doi", "at"), "url_hash", "block")
     by_url = lambda df, columns, ahead: _beside(df, "url_hash", "block", columns, ahead)
     by_doi = lambda df, columns, ahead: _beside(df, "doi", "doi_block", columns, ahead)
     rows = by_url(rows, ["at"], True).withColumn("next_url", F.col("beside.at")).drop("beside")
@@ -115,7 +115,7 @@ def flows(log: DataFrame) -> DataFrame:
 
 def resolve(log: DataFrame) -> DataFrame:
     """capture_id, doi, url_hash, first_seq, last_seq, arrivals, merged: one row per live capture. log: url_hash (null as empty), doi, captured_at, seq."""
-    captures = flows(log)
+    captures = flows(log.select("url_hash", "doi", F.struct("captured_at", "seq").alias("at")))
     # The last arrival of all that flowed together is at the capture that lives on.
     live = captures.groupBy("tree").agg(F.max_by(F.struct("chain", "begun", "ended", "last", "arrivals"), "last").alias("c"), (F.count(F.lit(1)) - 1).alias("merged"))
     seq = F.col("c.chain.seq")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -383,6 +384,55 @@ def merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return changes.merged({"items": items}, merges)["items"]
 
 
+def _library_rows(tables: dict[str, DataFrame], **values) -> DataFrame:
+    """name, id, value: the rows of some tables of a library in one."""
+    rows = [tables[name].select(F.lit(name).alias("name"), F.col(changes.KEYS[name]).alias("id"), value.cast("string").alias("value")) for name, value in values.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT doc_id AS gone, doc_id - 1 AS keep FROM labels WHERE doc_id % 7 <> 0), w AS (SELECT gone, keep FROM m UNION ALL SELECT w.gone, m.keep FROM w JOIN m ON w.keep = m.gone),
+f AS (SELECT gone, min(keep) AS keep FROM w GROUP BY gone HAVING min(keep) IN (SELECT doc_id FROM documents)), d AS (SELECT *, doc_id::VARCHAR AS id, regexp_extract(source, '(\\d+)', 1) AS col FROM documents),
+i AS (SELECT col, coalesce(f.keep, doc_id) AS keep, lpad(id, 9, '0') AS added_at, f.keep IS NOT NULL AS moved FROM d LEFT JOIN f ON doc_id = gone), live AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT gone FROM f))
+SELECT 'captures' AS name, id, source AS value FROM live UNION ALL SELECT 'texts', id, length(text)::VARCHAR FROM live UNION ALL SELECT 'postings', id, source FROM live
+UNION ALL SELECT 'items', keep::VARCHAR, col || ' ' || coalesce(min(added_at) FILTER (WHERE NOT moved), min(added_at)) FROM i GROUP BY col, keep""".replace("\\\\", "\\"))
+def merge_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents merged into the one before them, which may be merged itself: all four tables after it."""
+    docs, n = views.table(spark, d, "documents"), F.col("doc_id")
+    tables = {
+        "captures": docs.select(n.cast("string").alias("id"), F.col("source").alias("title")), "texts": views.texts(spark, d), "items": views.items(spark, d).withColumn("added_at", F.lpad("capture_id", 9, "0")),
+        "postings": docs.select(n.cast("string").alias("capture_id"), F.lit("title").alias("field"), F.col("source").alias("token")),
+    }
+    merges = views.table(spark, d, "labels").where(n % 7 != 0).select((n - 1).cast("string").alias("keep"), n.cast("string").alias("gone"))
+    after = changes.merged(tables, merges)
+    return _library_rows(after, captures=F.col("title"), texts=F.length("content_text"), postings=F.col("token"), items=F.concat_ws(" ", "collection_id", "added_at"))
+
+
+@query("""WITH l AS (SELECT DISTINCT doc_id AS i FROM labels), d AS (SELECT doc_id AS i, length(text) AS n, doc_id % 3 = 0 AS comes, doc_id % 2 = 0 OR doc_id % 5 = 0 AS keyed FROM documents),
+a AS (SELECT i, n, CASE WHEN i % 2 = 0 THEN 'c' || i ELSE 'u' || i || '-' || i END AS id, CASE WHEN keyed THEN '10.2/' || i ELSE '' END AS doi, keyed AND i IN (SELECT i FROM l) AS late FROM d WHERE comes),
+r AS (SELECT id, doi, 'late ' || i AS title, n, 'late ' || i AS said FROM a WHERE NOT late UNION ALL SELECT 'c' || i, CASE WHEN i % 4 = 0 THEN '10.1/' || i ELSE '' END, 'base ' || i, 0, 'base ' || i FROM d WHERE i % 2 = 0 AND i NOT IN (SELECT i FROM a WHERE NOT late)
+UNION ALL SELECT 'm' || i, '10.2/' || i, 'other ' || i, 1, CASE WHEN i IN (SELECT i FROM a WHERE late) THEN 'late ' || i ELSE 'other ' || i END FROM l)
+SELECT id, doi, title, n::BIGINT AS chars, array_to_string(list_sort(list_distinct(string_split(said, ' '))), ' ') AS tokens FROM r""")
+def late_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A feed of documents made for a library that another feed, of labelled documents with the same DOIs, has changed meanwhile."""
+    i, docs = F.col("doc_id"), views.table(spark, d, "documents")
+    named = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    row = lambda df, id_, url, doi, title, text: df.select(id_.alias("id"), url.alias("url_hash"), doi.alias("doi"), title.alias("title"), F.lit("0").alias("created_at"), F.lit("0").alias("updated_at"), text.alias("content_text"))
+    base = row(docs.where(i % 2 == 0), named("c", i), named("u", i), F.when(i % 4 == 0, named("10.1/", i)).otherwise(""), named("base ", i), F.lit(""))
+    others = row(views.table(spark, d, "labels").select("doc_id").distinct(), named("m", i), named("v", i), named("10.2/", i), named("other ", i), F.lit("x"))
+    keyed = (i % 2 == 0) | (i % 5 == 0)
+    arrivals = docs.where(i % 3 == 0).select(named("u", i).alias("url_hash"), F.when(keyed, named("10.2/", i)).otherwise("").alias("doi"), F.lit("1").alias("captured_at"), i.alias("seq"), named("late ", i).alias("title"), F.col("text").alias("content_text"))
+
+    def library_of(rows: DataFrame) -> dict[str, DataFrame]:
+        captures, texts = rows.drop("content_text"), rows.select(F.col("id").alias("capture_id"), "content_text")
+        return {"captures": captures, "texts": texts, "items": spark.createDataFrame([], "collection_id long, capture_id string, added_at string"), "postings": fulltext.postings(captures, texts)}
+
+    made = changes.feed(library_of(base), arrivals, "now")
+    after = library_of(base.unionByName(others))
+    after = changes.applied(after, changes.rebased(after, made)[0])
+    said = after["postings"].where("field = 'title'").groupBy(F.col("capture_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("token")), " ").alias("tokens"))
+    return after["captures"].join(after["texts"].withColumnRenamed("capture_id", "id"), "id").join(said, "id").select("id", "doi", "title", F.length("content_text").cast("long").alias("chars"), "tokens")
+
+
 @query(C + """SELECT coalesce(d.doc_id::VARCHAR, c.id) AS id, CASE WHEN d.doc_id IS NULL THEN c.title ELSE d.source END AS title, CASE WHEN c.id IS NULL THEN 'new' ELSE 'old' END AS created_at, CASE WHEN d.doc_id IS NULL THEN 'old' ELSE 'new' END AS updated_at
 FROM captures c FULL JOIN documents d ON d.doc_id::VARCHAR = c.id""")
 def upsert_captures(spark: SparkSession, d: str) -> DataFrame:
