@@ -16,7 +16,8 @@ every tree, and the bounds apply there.
 
 Defined results: vectors that are null, empty or hold a null or a number that is not finite take no part, nor do rows
 without identifier. Vectors meet only vectors of their own length. Ties go to the smaller identifier. Rows that share a
-query's identifier are its own; other repeated rows each count. An empty table gives an empty result. Other columns
+query's identifier are its own; other repeated rows each count. Query rows equal in identifier and vector are one query;
+an identifier with several vectors asks with each, and each has ranks of its own. An empty table gives an empty result. Other columns
 are ignored, whatever their names.
 """
 
@@ -209,19 +210,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
 
     def own(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("query_id", "v", *TREE, "ids", "scores")})
+            return pd.DataFrame({c: [] for c in ("q", "query_id", "v", *TREE, "ids", "scores")})
         dim = int(left["dim"].iloc[0])
         found = Tree(left, dim).search(right["id"].to_numpy(), _matrix(right["v"], dim), np.full(len(right), -np.inf), k)
-        return pd.DataFrame({"query_id": right["id"], "v": right["v"], **{c: right[c] for c in TREE}, "ids": [i for i, _ in found], "scores": [s for _, s in found]})
+        return pd.DataFrame({"q": right["q"], "query_id": right["id"], "v": right["v"], **{c: right[c] for c in TREE}, "ids": [i for i, _ in found], "scores": [s for _, s in found]})
 
     by_tree = lambda df: df.repartition(spread, *TREE).groupBy(*TREE)
-    asks = dealt.where("asks").select("id", "v", *TREE)
-    seeded = by_tree(nodes).cogroup(by_tree(asks)).applyInPandas(own, "query_id long, v binary, dim int, cell int, part int, ids array<long>, scores array<long>")
+    # Rows equal in identifier and vector ask once; `q` numbers the queries, as one identifier may have several vectors.
+    asks = dealt.where("asks").select("id", "v", *TREE).distinct()
+    asks = stored(asks.withColumn("q", F.monotonically_increasing_id()), "mtree-asks")
+    seeded = by_tree(nodes).cogroup(by_tree(asks)).applyInPandas(own, "q long, query_id long, v binary, dim int, cell int, part int, ids array<long>, scores array<long>")
     seeded = stored(seeded, "mtree-seeded")
     asked = seeded.count()
     blocks = max(1, -(-asked // QUERY_ROWS))
     cut = F.when(F.size("ids") >= k, F.element_at("scores", -1).cast("double")).otherwise(F.lit(float("-inf")))
-    queries_left = seeded.select("query_id", "v", "dim", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"), cut.alias("cut"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    queries_left = seeded.select("q", "query_id", "v", "dim", F.col("cell").alias("own_cell"), F.col("part").alias("own_part"), cut.alias("cut"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"))
     roots = nodes.where("parent < 0").select(*TREE, "pivot", "radius")
     routed = stored(_routed(queries_left, roots, trees), "mtree-routed")
     needed = stored(routed.select(*TREE, "block").distinct(), "mtree-needed")
@@ -230,28 +233,29 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     keys = [*TREE, "block"]
 
     def others(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"q": [], "query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             dim = int(left["dim"].iloc[0])
             found = Tree(left, dim).search(right["query_id"].to_numpy(), _matrix(right["v"], dim), right["cut"].to_numpy(), k)
-            for query_id, (ids, scores) in zip(right["query_id"], found, strict=True):
+            for q, query_id, (ids, scores) in zip(right["q"], right["query_id"], found, strict=True):
+                out["q"].append(np.full(len(ids), q))
                 out["query_id"].append(np.full(len(ids), query_id))
                 out["vec_id"].append(ids)
                 out["score"].append(scores)
         return pd.DataFrame({name: np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for name, x in out.items()})
 
     held = nodes.join(needed, TREE).repartition(wide, *keys)
-    found = held.groupBy(*keys).cogroup(routed.repartition(wide, *keys).groupBy(*keys)).applyInPandas(others, "query_id long, vec_id long, score long")
-    first = seeded.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = held.groupBy(*keys).cogroup(routed.repartition(wide, *keys).groupBy(*keys)).applyInPandas(others, "q long, query_id long, vec_id long, score long")
+    first = seeded.select("q", "query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("q", "query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return first.unionByName(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _routed(queries: DataFrame, roots: DataFrame, trees: int) -> DataFrame:
-    """query_id, v, cut, block, dim, cell, part: each query with the trees, but its own, whose root's bound reaches its cut."""
+    """q, query_id, v, cut, block, dim, cell, part: each query with the trees, but its own, whose root's bound reaches its cut."""
     if trees > ROUTED:
         pairs = queries.join(roots.select(*TREE), "dim").where("cell != own_cell or part != own_part")
-        return pairs.select("query_id", "v", "cut", "block", *TREE)
+        return pairs.select("q", "query_id", "v", "cut", "block", *TREE)
     known: dict[int, tuple] = {}
     for r in roots.collect():  # at most ROUTED roots
         known.setdefault(r["dim"], ([], [], [], []))
@@ -270,9 +274,9 @@ def _routed(queries: DataFrame, roots: DataFrame, trees: int) -> DataFrame:
                 own = (cells == group["own_cell"].to_numpy()[:, None]) & (parts == group["own_part"].to_numpy()[:, None])
                 fits = (bound >= group["cut"].to_numpy()[:, None]) & ~own
                 i, to = np.nonzero(fits)
-                yield group[["query_id", "v", "cut", "block", "dim"]].iloc[i].assign(cell=cells[to], part=parts[to])
+                yield group[["q", "query_id", "v", "cut", "block", "dim"]].iloc[i].assign(cell=cells[to], part=parts[to])
 
-    return queries.mapInPandas(run, "query_id long, v binary, cut double, block int, dim int, cell int, part int")
+    return queries.mapInPandas(run, "q long, query_id long, v binary, cut double, block int, dim int, cell int, part int")
 
 
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,8 +286,9 @@ def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+a AS (SELECT row_number() OVER () AS q, * FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 20 = 0)),
+s AS (SELECT q.q, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM a q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """

@@ -94,6 +94,25 @@ def test_a_third_of_all_vectors_may_be_equal(spark, monkeypatch):
     assert {tuple(r) for r in mtree.top_k(df, F.col("vec_id") % 20 == 0, 9).collect()} == brute(np.arange(600), v, 9, np.arange(600) % 20 == 0)
 
 
+def test_query_rows_that_repeat(spark):
+    """Equal rows ask once; an identifier with two vectors asks with each; candidates that repeat count each."""
+    rng = np.random.default_rng(7)
+    x = [[float(c) for c in e] for e in rng.normal(0, 1, (60, 4))]
+    rows = [*enumerate(x), (20, x[20]), (40, x[5]), (7, x[7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = [(i, tuple(int(np.floor(64 * c)) for c in e)) for i, e in rows]
+    want = []
+    for i, q in {(i, e) for i, e in v if i % 20 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), j) for j, e in v if j != i)[:20]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
+    got = [tuple(r) for r in mtree.top_k(df, F.col("vec_id") % 20 == 0, 20).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 4 * 20
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    assert sorted(con.execute(mtree.SQL).fetchall()) == sorted(want)
+
+
 def test_query_equals_its_sql(spark):
     duckdb.sql("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
     assert sorted(tuple(r) for r in mtree.op6_mtree(spark, "/root/testdata/sf0.001").collect()) == sorted(duckdb.sql(mtree.SQL).fetchall())
