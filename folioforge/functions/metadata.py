@@ -154,8 +154,13 @@ def with_registry(captures, registry):
     """Fill captures from a registry of DOIs (doi, title, container_title, published_date_raw, year, authors).
 
     Where the registry knows authors they replace the page's own, which are kept as local_authors, and blank year,
-    container, title (also one that only repeats the URL) and date are filled; without authors nothing changes.
+    container, title (also one that only repeats the URL) and date are filled; without authors nothing changes. Of several
+    registry rows of a DOI one counts: with authors before without, then the one whose fields come first in order.
     """
+    has_none = (F.coalesce(F.size("authors"), F.lit(0)) <= 0).alias("has_none")
+    fields = ("title", "container_title", "published_date_raw", "year", "authors")
+    first = F.min(F.struct(has_none, *fields)).alias("row")
+    registry = registry.where(F.coalesce(strip(F.col("doi")), F.lit("")) != "").groupBy(F.lower(strip(F.col("doi"))).alias("doi")).agg(first).select("doi", *[F.col(f"row.{c}").alias(c) for c in fields])
     r = registry.select(F.lower(strip(F.col("doi"))).alias("r_doi"), *[F.col(c).alias(f"r_{c}") for c in ("title", "container_title", "published_date_raw", "year", "authors")])
     joined = captures.join(r, (captures["doi"] != "") & (captures["doi"] == F.col("r_doi")), "left")
     use = F.coalesce(F.size("r_authors") > 0, F.lit(False))

@@ -59,6 +59,22 @@ def touched(captures: DataFrame, ids: DataFrame, at: str) -> DataFrame:
     return captures.join(listed, "id", "left").withColumn("updated_at", F.when(F.col("listed"), F.lit(at)).otherwise(F.col("updated_at"))).drop("listed").select(*captures.columns)
 
 
+def set_for_capture(tables: dict[str, DataFrame], capture_id: str, selected: list[int], now: str) -> dict[str, DataFrame]:
+    """One capture's collections replaced by those selected (existing ones, else an error): others go, new ones come with the time, and the capture is touched."""
+    items, wanted = tables["items"], sorted(set(selected))
+    if tables["captures"].where(F.col("id") == capture_id).isEmpty():
+        raise CollectionError("Capture not found.")
+    if tables["collections"].where(F.col("id").isin(wanted)).count() < len(wanted):
+        raise CollectionError("Collection not found.")
+    mine = F.col("capture_id") == capture_id
+    stay = items.where(~mine | F.col("collection_id").isin(wanted))
+    spark = items.sparkSession
+    chosen = spark.createDataFrame([(c, capture_id, now) for c in wanted], items.schema)
+    new = chosen.join(items.where(mine), ["collection_id", "capture_id"], "left_anti").select(*items.columns)
+    ids = spark.createDataFrame([(capture_id,)], "capture_id string")
+    return {"items": stay.unionByName(new), "captures": touched(tables["captures"], ids, now)}
+
+
 def created(collections: DataFrame, name: str, at: str) -> DataFrame:
     name = (name or "").strip()
     if not name:

@@ -42,8 +42,8 @@ def matching(captures: DataFrame, texts: DataFrame, terms: list[str], fold=unacc
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Sorted by token within files, so that a prefix reads few row groups."""
-    index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+    """Sorted by token within files, so that a prefix reads few row groups; a common token has as many files as it needs."""
+    index.repartitionByRange("token", "capture_id").sortWithinPartitions("token", "capture_id").write.mode("overwrite").parquet(path)
 
 
 def verify(captures: DataFrame, indexed: DataFrame) -> DataFrame:

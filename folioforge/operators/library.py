@@ -20,6 +20,20 @@ def query_terms(q: str | None) -> list[str]:
     return re.findall(r"[a-z0-9]+", (q or "").lower())[:MOST_TERMS]
 
 
+def whole_number(value) -> int | None:
+    """A whole number from a request's text; None if it is none or beyond 32 bits."""
+    found = re.fullmatch(r"[+-]?[0-9]{1,10}", str(value if value is not None else "").strip())
+    return int(found[0]) if found and -(2**31) <= int(found[0]) < 2**31 else None
+
+
+def params(args: dict) -> dict:
+    """q, collection, number and size of a request: `collection`, else the older `col`; a page from 1; a size within its bounds."""
+    return {
+        "q": str(args.get("q") or "").strip(), "collection": max(0, whole_number(args.get("collection") or args.get("col")) or 0),
+        "number": max(1, whole_number(args.get("page")) or 1), "size": page_size(whole_number(args.get("page_size"))),
+    }
+
+
 def page_size(size: int | None) -> int:
     return PAGE_SIZE if not size or size <= 0 else min(size, MOST_PAGE_SIZE)
 

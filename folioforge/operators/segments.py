@@ -20,7 +20,7 @@ from folioforge.operators import graph
 from folioforge.operators.changes import KEYS, Delta
 
 LEDGER = "entry long, batch long, name string, low long, high long, size long"
-#: How rows lie in a segment's files.
+#: Tables whose rows lie in a segment's files by range; others lie as they come, sorted by capture within files.
 ORDER = {"postings": ("token", "capture_id")}
 #: Segments are merged with those after them that have more than one in TIER of their size.
 TIER = 2
@@ -70,7 +70,8 @@ class Library:
 
     def _write(self, name: str, rows: DataFrame, gone: DataFrame, low: int, high: int) -> int:
         order = ORDER.get(name, (KEYS[name],))
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(self._path(name, "rows", low, high))
+        dealt = rows.repartitionByRange(*order) if name in ORDER else rows
+        dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(self._path(name, "rows", low, high))
         gone.write.mode("overwrite").parquet(self._path(name, "gone", low, high))
         count = lambda kind: self.spark.read.parquet(self._path(name, kind, low, high)).count()
         return count("rows") + count("gone")

@@ -20,10 +20,8 @@ LOOKED_UP = 4
 
 
 def grams(c: Column) -> Column:
-    """The different trigrams of a text."""
-    s = ascii_lower(text(c))
-    places = F.when(F.length(s) >= 3, F.sequence(F.lit(1), F.length(s) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(F.array(s), lambda t: F.transform(places, lambda i: t.substr(i, F.lit(3))))[0])
+    """The different trigrams of a text, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(text(c)), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def fragment_grams(fragment: str) -> list[str]:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.cluster import spread
-from folioforge.functions import metadata, text, urls
-from folioforge.operators import changes, collections, fulltext, graph, identity, ingest, library, sections
+from folioforge.functions import metadata, records, text, urls
+from folioforge.operators import bitmaps, changes, collections, fulltext, graph, identity, ingest, library, ordering, sections, segments, trigrams
 from folioforge.plans import views
 from folioforge.sources import bundles, exports, html, sites
 
@@ -28,6 +28,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Where a session's indexes lie, by what they are of.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _built(spark: SparkSession, of: str, build) -> str:
+    """The path of an index, which build(path) makes the first time that a session asks."""
+    key = (spark.sparkContext.applicationId, of)
+    if key not in _indexes:
+        path = f"{graph.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        build(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 @query(C + "SELECT id, url_canon, sha256(url_canon) AS url_hash, 'generic' AS site FROM captures")
 def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     c = views.captures(spark, d)
@@ -78,9 +92,8 @@ def fts_prefix_and(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_INDEX + "SELECT id AS capture_id FROM tok GROUP BY id HAVING bool_or(t LIKE 'tha%') AND bool_or(t LIKE 'on%')")
 def fts_prefix_and_by_index(spark: SparkSession, d: str) -> DataFrame:
-    """By the stored index, whose files are sorted by token."""
-    path = f"{graph.shared_dir(spark)}/postings-{uuid.uuid4().hex}"
-    fulltext.write_postings(_index(spark, d), path)
+    """By the stored index, whose files are sorted by token. It is built once a session."""
+    path = _built(spark, f"postings {d}", lambda path: fulltext.write_postings(_index(spark, d), path))
     return library.matching_ids(spark.read.parquet(path), library.query_terms("Tha, ON"))
 
 
@@ -243,12 +256,19 @@ def heading_count(spark: SparkSession, d: str) -> DataFrame:
     return views.spread_table(spark, d, "documents").select("doc_id", sections.headings_in(F.col("text")).alias("headings"))
 
 
-@query("""SELECT * FROM (VALUES ('1. Introduction', 'introduction', '1', 'Introduction'), ('3.2 Methods', 'other', NULL, '3.2 Methods'), ('2) RESULTS and discussion', 'results_discussion', '2', 'RESULTS and discussion'),
-('Keywords: a, b', 'keywords', NULL, 'Keywords: a, b'), ('Competing interest', 'conflicts', NULL, 'Competing interest'), ('Aims', 'other', NULL, 'Aims')) AS t(line, kind, number, title)""")
+@query(r"""WITH l AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN doc_id || '. Introduction' WHEN 1 THEN '3.2 Methods' WHEN 2 THEN doc_id || ') RESULTS  and discussion' WHEN 3 THEN 'Keywords: ' || source WHEN 4 THEN 'Competing interest' WHEN 5 THEN 'Aims of ' || lang ELSE '1.' || doc_id || '. ' || split_part(text, ' ', 1) END AS line FROM documents),
+k AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN 'introduction' WHEN 2 THEN 'results_discussion' WHEN 3 THEN 'keywords' WHEN 4 THEN 'conflicts' ELSE 'other' END AS kind FROM l)
+SELECT doc_id, kind, CASE WHEN kind = 'results_discussion' THEN 'results,discussion' ELSE kind END AS kinds, nullif(regexp_extract(line, '^(\d+(?:\.\d+)*)\s*[.)]\s+\S', 1), '') AS number, trim(regexp_replace(regexp_replace(line, '^\d+(?:\.\d+)*\s*[.)]\s+(\S)', '\1'), '\s+', ' ', 'g')) AS title FROM k""")
 def heading_classify(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, ("1. Introduction", "3.2 Methods", "2) RESULTS and discussion", "Keywords: a, b", "Competing interest", "Aims")))).alias("line"))
+    """A heading for each document, of seven shapes: kind, kinds, number, title."""
+    i = F.col("doc_id")
+    shapes = [F.concat(i.cast("string"), F.lit(". Introduction")), F.lit("3.2 Methods"), F.concat(i.cast("string"), F.lit(") RESULTS  and discussion")), F.concat(F.lit("Keywords: "), "source"), F.lit("Competing interest"), F.concat(F.lit("Aims of "), "lang")]
+    line = F.concat(F.lit("1."), i.cast("string"), F.lit(". "), F.substring_index("text", " ", 1))
+    for n, shape in enumerate(shapes):
+        line = F.when(i % 7 == n, shape).otherwise(line)
     c = F.col("line")
-    return lines.select("line", text.heading_kind(c).alias("kind"), text.heading_number(c).alias("number"), text.heading_title(c).alias("title"))
+    told = views.table(spark, d, "documents").select("doc_id", line.alias("line"))
+    return told.select("doc_id", text.heading_kind(c).alias("kind"), text.heading_number(c).alias("number"), text.heading_title(c).alias("title")).withColumn("kinds", F.array_join(text.heading_kinds(F.col("kind")), ","))
 
 
 @query(r"""WITH t AS (SELECT doc_id, string_split('Keywords: a, b' || chr(10) || text || chr(10) || array_to_string(['2. Methods', 'We did', 'et', 'this.', 'Funding', ''], chr(10)), chr(10)) AS a FROM documents),
@@ -325,11 +345,11 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ingest_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads made of pages, some of them broken, through validation, metadata and parsing."""
+    """Payloads made of pages, and some broken ones beside them, through validation, metadata and parsing."""
     pages = views.spread_table(spark, d, "pages")
     payload = F.to_json(F.struct(F.col("url").alias("source_url"), F.col("html").alias("dom_html"), F.struct(F.create_map(F.lit("citation_doi"), F.concat(F.lit("10.5555/"), "page_id")).alias("meta")).alias("extraction")))
-    value = F.when(F.col("page_id") % 50 == 0, "[1]").when(F.col("page_id") % 50 == 1, '{"source_url": " "}').otherwise(payload)
-    raw = ingest.validated(pages.select(value.alias("value"), F.lit("2024-01-01").alias("captured_at"), F.col("page_id").alias("seq")))
+    broken = pages.where(F.col("page_id") % 25 == 0).select(F.when(F.col("page_id") % 2 == 0, "[1]").otherwise('{"source_url": " "}').alias("value"), (-1 - F.col("page_id")).alias("seq"))
+    raw = ingest.validated(pages.select(payload.alias("value"), F.col("page_id").alias("seq")).unionByName(broken).withColumn("captured_at", F.lit("2024-01-01")))
     good = ingest.parsed(raw.where("error_code is null")).select("seq", "url_canon", "url_hash", "title", "doi", "site", "capture_quality", "used_for_index", "content_text", F.lit(None).cast("string").alias("error_code"))
     return good.unionByName(raw.where("error_code is not null").select("seq", "error_code"), allowMissingColumns=True)
 
@@ -501,3 +521,105 @@ def feed_library(spark: SparkSession, d: str) -> DataFrame:
     after = changes.fed(tables, arrivals, "now")
     tokens = after["postings"].groupBy("capture_id").agg(F.count(F.lit(1)).alias("tokens"))
     return after["captures"].join(tokens.withColumnRenamed("capture_id", "id"), "id", "left").select("id", "url_hash", "doi", "created_at", "tokens")
+
+
+@query(C + "SELECT capture_id AS id, length(content_text) AS chars FROM texts WHERE lower(content_text) LIKE '%tion th%er%' UNION ALL SELECT capture_id, -length(content_text) FROM texts WHERE lower(content_text) LIKE '%ción las%' UNION ALL SELECT capture_id, 0 FROM texts WHERE lower(content_text) LIKE '%q_e %'")
+def substring_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with and without wildcards found by trigrams, and one without any trigram."""
+    texts = spread(views.texts(spark, d))
+    path = _built(spark, f"trigrams {d}", lambda path: trigrams.write_index(texts, "capture_id", ["content_text"], path))
+    found = lambda fragment, chars: trigrams.search(texts, "capture_id", ["content_text"], path, fragment).select(F.col("capture_id").alias("id"), chars.alias("chars"))
+    size = F.length("content_text").cast("long")
+    return found("TION th%ER", size).unionByName(found("ción las", -size)).unionByName(found("q_e ", F.lit(0).cast("long")))
+
+
+@query("""WITH a AS (SELECT *, source || '-' || doc_id % 300 AS u, doc_id % 2 * 1000000000 + doc_id AS k FROM documents), f AS (SELECT u, arg_min(doc_id, k) AS first, arg_max(doc_id, k) AS last, arg_max(text, k) AS text FROM a GROUP BY u),
+t AS (SELECT u, first, last, regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+') AS ts FROM f)
+SELECT substr(u, 1, 16) || '-' || first AS id, last FROM t WHERE len(list_filter(ts, lambda x: starts_with(x, 'tha'))) > 0 AND len(list_filter(ts, lambda x: starts_with(x, 'on'))) > 0""".replace("\\\\", "\\"))
+def feed_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents fed to a segmented library in two batches, the even ones first, and searched by its posting segments."""
+    docs = spread(views.table(spark, d, "documents"))
+    schemas = {"captures": "id string, url_hash string, doi string, title string, created_at string, updated_at string", "texts": "capture_id string, content_text string", "items": "collection_id long, capture_id string, added_at string", "postings": "capture_id string, field string, token string"}
+    lib = segments.Library(spark, f"{graph.shared_dir(spark)}/library-{uuid.uuid4().hex}", schemas)
+    i = F.col("doc_id")
+    for batch in (0, 1):
+        came = docs.where(i % 2 == batch).select(F.concat("source", F.lit("-"), (i % 300).cast("string")).alias("url_hash"), F.lit("").alias("doi"), F.lpad(i.cast("string"), 9, "0").alias("captured_at"), i.alias("seq"), i.cast("string").alias("title"), F.col("text").alias("content_text"))
+        lib.add(batch, changes.feed(lib.tables(), came, "now"))
+    found = library.matching_ids(lib.read("postings").where("field = 'content_text'"), library.query_terms("tha on"))
+    return found.join(lib.read("captures"), F.col("capture_id") == F.col("id")).select("id", F.col("title").cast("long").alias("last"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, source AS updated_at, n AS rank FROM (SELECT *, row_number() OVER (ORDER BY source DESC, doc_id::VARCHAR) AS n FROM documents) WHERE n BETWEEN 201 AND 250 OR n BETWEEN 101 AND 150")
+def library_pages_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Two pages of all documents by their stored ranks."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("updated_at"))
+    path = _built(spark, f"pages {d}", lambda path: ordering.write_pages(docs, path))
+    return ordering.read_page(spark, path, 5, 50).unionByName(ordering.read_page(spark, path, 3, 50)).select("id", "updated_at", "rank")
+
+
+@query(C + """, a AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), b AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), l AS (SELECT DISTINCT doc_id FROM labels), m AS (SELECT capture_id::BIGINT AS doc_id FROM items WHERE collection_id = 5)
+SELECT 'to add' AS what, doc_id AS capture_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'to remove', doc_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+UNION ALL SELECT 'added', doc_id FROM (SELECT * FROM l EXCEPT SELECT * FROM m) UNION ALL SELECT 'removed', doc_id FROM (SELECT * FROM m INTERSECT SELECT * FROM l)""")
+def membership_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """What the four membership queries find, by bit operations."""
+    labels = views.table(spark, d, "labels")
+    of = lambda df: bitmaps.bitmaps(df.select(F.lit(5).cast("long").alias("collection_id"), F.col("doc_id").alias("capture_id")))
+    a, b, listed = of(labels.where("toxic = 1")), of(labels.where("quality = 0")), of(labels)
+    held = bitmaps.bitmaps(views.items(spark, d).where("collection_id = 5"))
+    told = {"to add": bitmaps.difference(a, b), "to remove": bitmaps.difference(b, a), "added": bitmaps.difference(listed, held), "removed": bitmaps.common(held, listed)}
+    return reduce(DataFrame.unionByName, [bitmaps.members(found).select(F.lit(what).alias("what"), "capture_id") for what, found in told.items()])
+
+
+@query(C + """, l AS (SELECT DISTINCT doc_id::VARCHAR AS id FROM labels), k AS (SELECT * FROM items WHERE capture_id NOT IN (SELECT id FROM l) UNION ALL SELECT 5, id FROM l)
+SELECT collection_id::BIGINT AS collection_id, count(*) AS count, 0::BIGINT AS drift FROM k GROUP BY collection_id""")
+def maintained_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts kept up while labelled documents leave all collections and join the fifth, and how far they are from a recount."""
+    items = views.items(spark, d).withColumn("added_at", F.lit("old"))
+    listed = views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("capture_id")).distinct()
+    known = bitmaps.counts(bitmaps.bitmaps(items))
+    gone = items.join(listed, "capture_id", "left_semi")
+    left = collections.without(items, listed).select(*items.columns)
+    new = collections.added(left, listed, 5, "now")
+    kept = bitmaps.changed_counts(known, new, gone)
+    drift = bitmaps.drift(kept, left.unionByName(new)).select("collection_id", (F.col("count") - F.col("recount")).alias("drift"))
+    return kept.join(drift, "collection_id", "left").select("collection_id", "count", F.coalesce("drift", F.lit(0)).alias("drift"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN source || '|' || lang ELSE '7|true' END AS keywords, CASE WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 2 = 0 THEN 'Ann Lee' ELSE 'Ann Lee|Roe|9' END AS authors,
+CASE WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 4 = 0 THEN doc_id::VARCHAR WHEN doc_id % 4 = 1 THEN '' ELSE trim(text, ' ' || chr(10)) END AS abstract, CASE WHEN doc_id % 5 = 4 THEN '' ELSE 'x; y; z' END AS creator, CASE WHEN doc_id % 5 = 4 THEN '' ELSE '1.5' END AS version FROM documents""")
+def meta_records(spark: SparkSession, d: str) -> DataFrame:
+    """Open records made of documents: fields as texts, numbers, lists, lists within lists and objects; every fifth is no record."""
+    i, quoted = F.col("doc_id"), lambda c: exports.json_text(F.col(c))
+    keywords = F.when(i % 3 == 0, quoted("source")).when(i % 3 == 1, F.concat(F.lit("["), quoted("source"), F.lit(', " ", null, '), quoted("lang"), F.lit(", "), F.upper(quoted("lang")), F.lit("]"))).otherwise("[7, true]")
+    authors = F.when(i % 2 == 0, '" Ann Lee "').otherwise('["Ann Lee", {"given": "ann", "last": "lee"}, {"family": "Roe"}, {"given": "Bo"}, 9, "ROE"]')
+    abstract = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, "null").otherwise(quoted("text"))
+    whole = F.concat(F.lit('{"keywords": '), keywords, F.lit(', "authors": '), authors, F.lit(', "abstract": '), abstract, F.lit(', "meta": {"dc.creator": ["x", ["y", null, ["z", ""]]]}, "client": {"v": 1.5}}'))
+    broken = F.when(i % 10 == 4, "[1]").otherwise('{"keywords": ')
+    read = views.spread_table(spark, d, "documents").select("doc_id", records.meta_record(F.when(i % 5 == 4, broken).otherwise(whole)).alias("r"))
+    joined = lambda c: F.array_join(c, "|")
+    return read.select("doc_id", joined(F.col("r.keywords")).alias("keywords"), joined(F.col("r.authors")).alias("authors"), "r.abstract", F.coalesce(F.array_join(F.try_element_at("r.meta", F.lit("dc.creator")), "; "), F.lit("")).alias("creator"), F.coalesce(F.try_element_at("r.client", F.lit("v")), F.lit("")).alias("version"))
+
+
+@query(W + """, n AS (SELECT *, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS total FROM works)
+SELECT n, CASE WHEN n = 1 THEN '[' || chr(10) ELSE '' END || '  {' || chr(10) || array_to_string(['    "container_title": ' || to_json(container_title), '    "doi": ' || to_json(doi), '    "id": ' || to_json(id),
+'    "sections": ' || CASE WHEN abstract = '' THEN '[]' ELSE '[' || chr(10) || '      {' || chr(10) || '        "kind": "other",' || chr(10) || '        "text": ' || to_json(abstract) || chr(10) || '      }' || chr(10) || '    ]' END,
+'    "title": ' || to_json(title), '    "url": ' || to_json(url), '    "year": ' || coalesce(year::VARCHAR, 'null')], ',' || chr(10)) || chr(10) || '  }' || CASE WHEN n = total THEN chr(10) || ']' ELSE ',' END AS value FROM n""")
+def export_sections_file(spark: SparkSession, d: str) -> DataFrame:
+    """The sections export as one array, by its lines: indented, keys in order of name."""
+    section = F.array(F.struct(F.col("abstract").alias("text"), F.lit("other").alias("kind")))
+    w = views.works(spark, d).withColumn("sections", F.when(F.col("abstract") != "", section).otherwise(F.array().cast("array<struct<text: string, kind: string>>")))
+    return exports.json_array(w.select("id", "title", "url", "doi", "year", "container_title", "sections"), [F.col("id")])
+
+
+@query(C + "SELECT id, to_json({'id': id, 'url': url, 'title': title, 'doi': doi, 'updated_at': updated_at})::VARCHAR AS row FROM captures")
+def row_json(spark: SparkSession, d: str) -> DataFrame:
+    return exports.row_json(views.captures(spark, d).select("id", "url", "title", "doi", "updated_at"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pmc' WHEN 1 THEN 'oup' WHEN 2 THEN 'wiley' WHEN 3 THEN 'sciencedirect' ELSE 'generic' END AS site FROM documents""")
+def site_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents at addresses of the five kinds of site."""
+    hosts = ("www.ncbi.nlm.nih.gov/pmc/articles/PMC", "academic.oup.com/a/", "onlinelibrary.wiley.com/doi/", "www.sciencedirect.com/science/", "example.org/wiley/")
+    i = F.col("doc_id")
+    url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, hosts)), (i % 5 + 1).cast("int")), i.cast("string"))
+    return views.table(spark, d, "documents").select("doc_id", urls.site_kind(url).alias("site"))

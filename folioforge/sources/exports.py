@@ -9,9 +9,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from folioforge.functions.strings import collapse, strip, text
 from folioforge.functions.text import standard_text
+from folioforge.operators import graph
+from folioforge.operators.ordering import numbered
 
 #: Section kinds that the papers export leaves out.
 NOT_PAPER = ("acknowledgements", "author_contributions", "funding", "conflicts", "keywords")
@@ -131,6 +134,56 @@ def sections_json() -> Column:
     return F.to_json(F.struct("container_title", "doi", "id", "sections", "title", "url", "year"), {"ignoreNullFields": "false"})
 
 
+def json_text(c: Column) -> Column:
+    """A text as JSON; null as null."""
+    quoted = F.to_json(F.array(c))
+    return F.coalesce(F.when(c.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2)), F.lit("null"))
+
+
+def pretty_json(c: Column, kind: DataType, indent: int = 0) -> Column:
+    """A value as JSON over several lines, two spaces a level, keys in order of name, nulls kept."""
+    pad, inner = " " * indent, " " * (indent + 2)
+    if isinstance(kind, StructType):
+        if not kind.fields:
+            return F.lit("{}")
+        cells = [F.concat(F.lit(f'{inner}"{f.name}": '), pretty_json(c.getField(f.name), f.dataType, indent + 2)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        whole = F.concat(F.lit("{\n"), F.concat_ws(",\n", *cells), F.lit(f"\n{pad}}}"))
+    elif isinstance(kind, ArrayType):
+        cells = F.transform(c, lambda x: F.concat(F.lit(inner), pretty_json(x, kind.elementType, indent + 2)))
+        whole = F.when(F.size(c) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(cells, ",\n"), F.lit(f"\n{pad}]")))
+    elif isinstance(kind, StringType):
+        return json_text(c)
+    else:
+        whole = c.cast("string")
+    return F.coalesce(F.when(c.isNotNull(), whole), F.lit("null"))
+
+
+def json_array(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """n, value: the lines of one JSON array of all rows in order of n, a row each; a single line if there are none.
+
+    Brackets and commas come with the rows, as each knows its number and how many there are: no task sees them all.
+    """
+    item = pretty_json(F.struct(*rows.columns), StructType(rows.schema.fields), 2)
+    lines = numbered(rows, order, "_n").select(F.col("_n").alias("n"), item.alias("item"))
+    lines = graph.stored(lines, "export-items")
+    total = lines.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([(0, "[]")], "n long, value string")
+    begin, end = F.when(F.col("n") == 1, "[\n  ").otherwise("  "), F.when(F.col("n") == total, "\n]").otherwise(",")
+    return lines.select("n", F.concat(begin, "item", end).alias("value"))
+
+
+def write_parts(lines: DataFrame, order: list, path: str, parts: int | None = None) -> None:
+    """Lines in global order as many text files: those of a folder, put together in order of their names, are one file."""
+    dealt = lines.repartitionByRange(parts, *order) if parts else lines.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def row_json(captures: DataFrame) -> DataFrame:
+    """id, row: each capture's row as JSON, columns in their order, nulls kept."""
+    return captures.select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+
+
 def write_lines(entries: DataFrame, column: str, order: list, path: str, separator: str = "\n") -> None:
     """Entries in global order as text files, whose names sort in that order."""
     entries.orderBy(*order).select(F.col(column).alias("value")).write.mode("overwrite").option("lineSep", separator).text(path)
