@@ -17,7 +17,9 @@ from folioforge.operators import collections, fulltext, graph, identity
 from folioforge.operators.collections import CollectionError, without
 
 #: How tables name their capture.
-KEYS = {"captures": "id", "texts": "capture_id", "items": "capture_id", "postings": "capture_id", "artifacts": "capture_id"}
+KEYS = {"captures": "id", "texts": "capture_id", "items": "capture_id", "postings": "capture_id"}
+#: The same with the table of artifacts (capture_id, name, text), which a library may have.
+KEY_OF = KEYS | {"artifacts": "capture_id"}
 
 
 class ArrivalError(ValueError):
@@ -37,7 +39,7 @@ def applied(tables: dict[str, DataFrame], delta: Delta) -> dict[str, DataFrame]:
     """All tables as they are after a change."""
     out = dict(tables)
     for name, gone in delta.goes.items():
-        out[name] = without(out[name], gone, KEYS[name]).select(*out[name].columns)
+        out[name] = without(out[name], gone, KEY_OF[name]).select(*out[name].columns)
     for name, new in delta.comes.items():
         out[name] = out[name].unionByName(new.select(*out[name].columns))
     return out
@@ -51,7 +53,7 @@ def form_ids(values) -> list[str]:
 
 def deleted(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the captures listed (capture_id)."""
-    return {name: without(df, ids, KEYS[name]) for name, df in tables.items()}
+    return {name: without(df, ids, KEY_OF[name]) for name, df in tables.items()}
 
 
 def final_merges(merges: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def merged(tables: dict[str, DataFrame], merges: DataFrame) -> dict[str, DataFra
         final = final.join(tables["captures"].select(F.col("id").alias("keep")), "keep", "left_semi")
     final = graph.stored(final, "merges")
     gone = final.select(F.col("gone").alias("capture_id"))
-    delta = Delta({"items": _moved(tables["items"], final)}, {name: _named_by(final) if name == "items" else gone for name in tables if name in KEYS})
+    delta = Delta({"items": _moved(tables["items"], final)}, {name: _named_by(final) if name == "items" else gone for name in tables if name in KEY_OF})
     return applied(tables, delta)
 
 
@@ -244,7 +246,7 @@ def _collection(tables: dict[str, DataFrame], collection_id: int | None) -> int:
 def delete_selected(tables: dict[str, DataFrame], values) -> dict[str, DataFrame]:
     """A form's captures deleted from every table."""
     ids = _some_of(tables["captures"], form_ids(values))
-    return deleted({name: df for name, df in tables.items() if name in KEYS}, ids)
+    return deleted({name: df for name, df in tables.items() if name in KEY_OF}, ids)
 
 
 def add_selected(tables: dict[str, DataFrame], values, collection_id: int | None, now: str) -> dict[str, DataFrame]:

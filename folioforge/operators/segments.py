@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import graph
-from folioforge.operators.changes import KEYS, Delta
+from folioforge.operators.changes import KEY_OF, Delta
 
 LEDGER = "entry long, batch long, name string, low long, high long, size long"
 #: Tables whose rows lie in a segment's files by range; others lie as they come, sorted by capture within files.
@@ -56,7 +56,7 @@ class Library:
         if not segments:
             return empty
         each = lambda kind, schema: [self.spark.read.schema(schema).parquet(self._path(name, kind, r["low"], r["high"])).withColumn("_high", F.lit(r["high"])) for r in segments]
-        rows, key = reduce(DataFrame.unionByName, each("rows", empty.schema)), KEYS[name]
+        rows, key = reduce(DataFrame.unionByName, each("rows", empty.schema)), KEY_OF[name]
         dead = reduce(DataFrame.unionByName, each("gone", "capture_id string")).groupBy("capture_id").agg(F.max("_high").alias("_dead"))
         alive = rows.join(dead, rows[key] == dead["capture_id"], "left") if key != "capture_id" else rows.join(dead, key, "left")
         return alive.where(F.col("_dead").isNull() | (F.col("_high") >= F.col("_dead"))).select(*empty.columns)
@@ -69,7 +69,7 @@ class Library:
         return {name: self._rows(name, [r for r in entry if r["name"] == name]) for name in self.schemas}
 
     def _write(self, name: str, rows: DataFrame, gone: DataFrame, low: int, high: int) -> int:
-        order = ORDER.get(name, (KEYS[name],))
+        order = ORDER.get(name, (KEY_OF[name],))
         dealt = rows.repartitionByRange(*order) if name in ORDER else rows
         dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(self._path(name, "rows", low, high))
         gone.write.mode("overwrite").parquet(self._path(name, "gone", low, high))
