@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.strings import WS, collapse, dedupe, rstrip, strip, text
@@ -150,19 +150,22 @@ def snippet(c: Column, chars: int = SNIPPET_CHARS) -> Column:
     return F.when(F.length(s) <= chars, s).otherwise(F.concat(rstrip(F.substring(s, 1, chars - 1)), F.lit("…")))
 
 
-def with_registry(captures, registry):
-    """Fill captures from a registry of DOIs (doi, title, container_title, published_date_raw, year, authors).
+#: Fields that a registry may fill.
+REGISTRY_FIELDS = ("title", "container_title", "published_date_raw", "year", "authors")
 
-    Where the registry knows authors they replace the page's own, which are kept as local_authors, and blank year,
-    container, title (also one that only repeats the URL) and date are filled; without authors nothing changes. Of several
-    registry rows of a DOI one counts: with authors before without, then the one whose fields come first in order.
-    """
+
+def one_a_doi(registry: DataFrame) -> DataFrame:
+    """A registry with one row a DOI (trimmed, lower case): with authors before without, then the one whose fields come first in order."""
     has_none = (F.coalesce(F.size("authors"), F.lit(0)) <= 0).alias("has_none")
-    fields = ("title", "container_title", "published_date_raw", "year", "authors")
-    first = F.min(F.struct(has_none, *fields)).alias("row")
-    registry = registry.where(F.coalesce(strip(F.col("doi")), F.lit("")) != "").groupBy(F.lower(strip(F.col("doi"))).alias("doi")).agg(first).select("doi", *[F.col(f"row.{c}").alias(c) for c in fields])
-    r = registry.select(F.lower(strip(F.col("doi"))).alias("r_doi"), *[F.col(c).alias(f"r_{c}") for c in ("title", "container_title", "published_date_raw", "year", "authors")])
-    joined = captures.join(r, (captures["doi"] != "") & (captures["doi"] == F.col("r_doi")), "left")
+    first = F.min(F.struct(has_none, *REGISTRY_FIELDS)).alias("row")
+    named = registry.where(F.coalesce(strip(F.col("doi")), F.lit("")) != "").groupBy(F.lower(strip(F.col("doi"))).alias("doi"))
+    return named.agg(first).select("doi", *[F.col(f"row.{c}").alias(c) for c in REGISTRY_FIELDS])
+
+
+def filled(captures: DataFrame, registry: DataFrame) -> DataFrame:
+    """Captures filled from a registry with one row a DOI, as with_registry() says. Where both tables are bucketed by DOI, nothing is shuffled."""
+    r = registry.select(F.col("doi").alias("r_doi"), *[F.col(c).alias(f"r_{c}") for c in REGISTRY_FIELDS])
+    joined = captures.join(r, captures["doi"] == F.col("r_doi"), "left")
     use = F.coalesce(F.size("r_authors") > 0, F.lit(False))
     fill = lambda blank, c: F.when(use & blank & (strip(text(F.col(f"r_{c}"))) != ""), strip(F.col(f"r_{c}"))).otherwise(captures[c]).alias(c)
     new = {
@@ -173,3 +176,13 @@ def with_registry(captures, registry):
         "published_date_raw": fill(captures["published_date_raw"] == "", "published_date_raw"),
     }
     return joined.select(*[new.get(c, captures[c]) for c in captures.columns], F.when(use, captures["authors"]).alias("local_authors"))
+
+
+def with_registry(captures: DataFrame, registry: DataFrame) -> DataFrame:
+    """Fill captures from a registry of DOIs (doi, title, container_title, published_date_raw, year, authors).
+
+    Where the registry knows authors they replace the page's own, which are kept as local_authors, and blank year,
+    container, title (also one that only repeats the URL) and date are filled; without authors nothing changes. Of several
+    registry rows of a DOI one counts, see one_a_doi().
+    """
+    return filled(captures, one_a_doi(registry))

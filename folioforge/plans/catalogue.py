@@ -233,10 +233,15 @@ def citation_fields(spark: SparkSession, d: str) -> DataFrame:
 SELECT w.id, coalesce(nullif(w.title, ''), CASE WHEN len(r.authors) > 0 THEN r.title END, '') AS title, CASE WHEN len(r.authors) > 0 AND w.container_title = '' THEN r.container_title ELSE w.container_title END AS container_title,
 CASE WHEN len(r.authors) > 0 AND w.year IS NULL THEN r.year ELSE w.year END AS year, array_to_string(CASE WHEN len(r.authors) > 0 THEN r.authors ELSE w.authors END, ';') AS authors FROM works w LEFT JOIN r ON w.doi = r.doi AND w.doi <> ''""")
 def registry_override(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.with_registry(*_registry(spark, d)).select("id", "title", "container_title", "year", F.array_join("authors", ";").alias("authors"))
+
+
+def _registry(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Works, and a registry that knows those with a DOI."""
     w = views.works(spark, d).withColumn("published_date_raw", F.lit(""))
     even = F.col("id").cast("long") % 2 == 0
     r = w.where("doi != ''").select(F.upper("doi").alias("doi"), F.concat(F.lit("Known "), "id").alias("title"), F.lit("Registry").alias("container_title"), F.lit(2001).alias("year"), F.lit("").alias("published_date_raw"), F.when(even, F.array(F.lit("Reg A"))).otherwise(F.array().cast("array<string>")).alias("authors"))
-    return metadata.with_registry(w, r).select("id", "title", "container_title", "year", F.array_join("authors", ";").alias("authors"))
+    return w, r
 
 
 _MESSY = "\nDownload PDF\nLong inter-\nnational ab-\ncd-\nef  word\t\tx \r\n\n\n\nShare this page\nEnd. "

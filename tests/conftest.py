@@ -9,6 +9,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "3g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

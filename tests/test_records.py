@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import metadata, records
 from folioforge.operators import bitmaps, collections, library
-from folioforge.sources import bundles, exports
+from folioforge.sources import buckets, bundles, exports
 
 
 def test_records_of_every_shape(spark):
@@ -83,6 +83,21 @@ def test_one_registry_row_counts_for_a_doi(spark):
     assert (row.title, row.year, row.authors, row.local_authors) == ("A", 3, ["S"], ["Own"])
 
 
+def test_buckets_meet_a_registry_without_a_shuffle(spark):
+    captures = spark.createDataFrame([(str(i), f"u{i}", "", f"10.1/{i}" if i % 3 else "", None, "", "", ["Own"]) for i in range(40)], "id string, url string, title string, doi string, year int, container_title string, published_date_raw string, authors array<string>")
+    registry = spark.createDataFrame([(f"10.1/{i // 2}", f"T{i}", "J", "", 1990, ["R"] if i % 2 else []) for i in range(60)], "doi string, title string, container_title string, published_date_raw string, year int, authors array<string>")
+    try:
+        left, right = buckets.save(captures, "bucketed_captures", 4), buckets.save_registry(registry, "bucketed_registry", 4)
+        found = metadata.filled(left, right.hint("merge"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(found) == rows(metadata.with_registry(captures, registry)) and "title='T3'" in "".join(rows(found))
+    finally:
+        for name in ("bucketed_captures", "bucketed_registry"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_collections_of_one_capture(spark):
     tables = {
         "captures": spark.createDataFrame([("a", "old"), ("b", "old")], "id string, updated_at string"), "collections": spark.createDataFrame([(i, str(i)) for i in (1, 2, 3)], "id long, name string"),
