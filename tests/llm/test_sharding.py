@@ -62,7 +62,7 @@ def test_one_more_shard_moves_little(spark):
     given = docs(spark, [words(rng, rng.randint(5, 60)) for _ in range(4000)])
     a, b = ({r.id: (r.shard, r.size) for r in sharding.shard(given, n).collect()} for n in (8, 9))
     moved = sum(size for i, (s, size) in a.items() if b[i][0] != s) / sum(size for _, size in a.values())
-    assert moved < 0.6  # dealing anew by hash modulo would move 8 of 9
+    assert moved < 0.25  # the ideal is 1 of 9; dealing anew by hash modulo would move 8 of 9
 
 
 def test_query(spark):
