@@ -33,7 +33,7 @@ def lines(spark: SparkSession, source: str, files_per_batch: int) -> DataFrame:
 def arrivals(batch: DataFrame, number: int) -> DataFrame:
     """A batch's lines with seq. Lines of a block are read in order by one task, so their order doesn't hang on how files are cut."""
     ordered = numbered(batch.withColumn("line", F.monotonically_increasing_id()), [F.col(c) for c in ("captured_at", "file", "block", "line")])
-    return ordered.select("value", F.col("captured_at").cast("string").alias("captured_at"), (F.lit(number * PLACES) + F.col("n")).alias("seq"))
+    return ordered.select("value", "captured_at", (F.lit(number * PLACES) + F.col("n")).alias("seq"))
 
 
 def apply(library: Library, batch: DataFrame, number: int, quarantine: str | None = None, now: str | None = None) -> bool:

@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioforge.operators import ingest
+from folioforge.streaming import feed
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Read what lies in `source` (one payload a line), write target/captures and target/quarantine by batch, and stop.
 
-    A batch that is run again after a failure replaces its own files.
+    A batch that is run again after a failure replaces its own files, and its captures have the numbers they had: they can be
+    fed to a library (changes.feed), also when payloads repeat.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        checked = ingest.validated(batch).persist()
+        checked = ingest.validated(feed.arrivals(batch, number)).persist()
         bad = checked.where("error_code is not null").select("seq", "captured_at", "value", "error_code")
         bad.write.mode("overwrite").parquet(f"{target}/quarantine/batch={number}")
         ingest.parsed(checked.where("error_code is null")).write.mode("overwrite").parquet(f"{target}/captures/batch={number}")
         checked.unpersist()
 
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
-    stamped = lines.select("value", F.col("_metadata.file_modification_time").alias("captured_at"), F.xxhash64("value").alias("seq"))
-    return stamped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return feed.lines(spark, source, files_per_batch).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def arrivals_per_window(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
