@@ -154,3 +154,38 @@ def test_substring_search_by_trigrams_equals_a_scan(spark, tmp_path):
         assert rows_of(trigrams.search(df, "id", ["title", "url"], path, q).select("id")) == want, q
     assert trigrams.candidates(spark, path, "zzz").count() == 0 and trigrams.candidates(spark, path, "a_") is None
     assert trigrams.fragment_grams("aBCd%xy_zzz") == ["abc", "bcd", "zzz"]
+
+
+def test_a_common_token_has_many_files(spark, tmp_path):
+    """A token that most postings have is dealt to several tasks, and a prefix still opens few files."""
+    index = spark.range(20_000).select(F.col("id").cast("string").alias("capture_id"), F.lit("title").alias("field"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("z"), "id")).otherwise("common").alias("token"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files would be put together
+    try:
+        fulltext.write_postings(index, str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    read = spark.read.parquet(str(tmp_path / "index"))
+    files = read.withColumn("file", F.input_file_name()).groupBy("token").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+    assert files.where("token = 'common'").first()["files"] >= 3 and files.where("token != 'common' and files > 1").isEmpty()
+    assert library.matching_ids(read, ["comm"]).count() == 18_000 and library.matching_ids(read, ["z19"]).count() == index.where("token like 'z19%'").count()
+
+
+def test_a_capture_with_most_memberships_is_split(spark):
+    """The join that moves memberships is left to adaptive execution, which splits the hot capture's."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        items = spark.range(60_000).repartition(8).select(F.lit(1).cast("long").alias("collection_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("capture_id"), F.lit("x").alias("added_at"))
+        merges = spark.createDataFrame([("kept", "hot"), ("other", "3")], "keep string, gone string")
+        found = changes.merged({"items": items}, merges)["items"]
+        assert len(found.collect()) == 20_001 and not {"hot", "3"} & {r.capture_id for r in found.collect()}
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
