@@ -3,14 +3,13 @@
 Each live capture owns one (doi, url_hash) pair, which every arrival that hits it overwrites. An arrival with a DOI hits
 that DOI's owner, and another owner of its URL hash is merged into it; else it hits its URL hash's owner; else it is new.
 So a capture stays as an arrival left it until the next arrival at its DOI or its URL hash: windows by each of them tell
-which arrival takes it over, and connected components of these links are the captures. fold() says the same in one piece.
+which arrival takes it over, and connected components of these links are the captures.
 Windows go over blocks of the log in order, and what lies at their edges is handed on, so no task holds a URL hash or a DOI.
 A log without DOIs needs no links: the latest row of each URL hash is the answer. (captured_at, seq) tells arrivals apart.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,31 +24,6 @@ def latest_per_url(log: DataFrame) -> DataFrame:
     return latest.select("row.*", "created_at")
 
 
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """The live captures of a log after its rows in (captured_at, seq) order, all in one place: what resolve() must equal."""
-    live, by_doi, by_url = {}, {}, {}
-    for r in rows.sort_values(["captured_at", "seq"]).itertuples():
-        owner, other = by_doi.get(r.doi) if r.doi else None, by_url.get(r.url_hash)
-        merged = 0
-        if owner is not None and other is not None and other != owner:
-            gone = live.pop(other)
-            by_doi.pop(gone["doi"], None)
-            by_url.pop(gone["url_hash"], None)
-            merged = 1 + gone["merged"]
-        key = owner if owner is not None else other
-        if key is None:
-            key = f"{r.url_hash[:16]}-{r.seq}"
-            live[key] = {"capture_id": key, "doi": "", "url_hash": "", "first_seq": r.seq, "last_seq": r.seq, "arrivals": 0, "merged": 0}
-        c = live[key]
-        by_doi.pop(c["doi"], None)
-        by_url.pop(c["url_hash"], None)
-        c.update(doi=r.doi, url_hash=r.url_hash, last_seq=r.seq, arrivals=c["arrivals"] + 1, merged=c["merged"] + merged)
-        if r.doi:
-            by_doi[r.doi] = key
-        by_url[r.url_hash] = key
-    return pd.DataFrame(list(live.values()), columns=["capture_id", "doi", "url_hash", "first_seq", "last_seq", "arrivals", "merged"])
-
-
 def _blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
     """rows stored in order of key and arrival; `name` numbers the consecutive blocks in which they lie. A key may have many blocks, so that no task holds all of it."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

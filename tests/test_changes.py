@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import metadata
 from folioforge.operators import changes, collections, fulltext, identity, library
 from folioforge.sources import bundles
+from tests.folds import fold
 
 CAPTURES = "id string, url_hash string, doi string, title string, created_at string, updated_at string"
 
@@ -30,7 +31,7 @@ def test_a_feed_in_batches_gives_what_one_fold_gives(spark, tmp_path):
     tables = empty_library(spark)
     for k in range(3):
         tables = kept(spark, changes.fed(tables, spark.createDataFrame(log.iloc[12 * k : 12 * k + 12]), f"now{k}"), tmp_path / str(k))
-    whole = identity.fold(log).set_index("capture_id")
+    whole = fold(log).set_index("capture_id")
     rows = {r.id: r for r in tables["captures"].collect()}
     assert set(rows) == set(whole.index)
     texts = {r.capture_id: r.content_text for r in tables["texts"].collect()}
@@ -66,7 +67,7 @@ def test_only_what_arrivals_reach_is_folded(spark, tmp_path, monkeypatch):
     for k in range(2):
         batch = pd.concat([log.iloc[20 * k : 20 * k + 20], log.iloc[20 * k : 20 * k + 3]])  # three arrivals repeat
         tables = kept(spark, changes.fed(tables, spark.createDataFrame(batch), f"now{k}"), tmp_path / str(k))
-    whole = identity.fold(log).set_index("capture_id")
+    whole = fold(log).set_index("capture_id")
     rows = {r.id: r for r in tables["captures"].collect() if not r.id.startswith("far")}
     assert set(rows) == set(whole.index) and tables["captures"].count() == 200 + len(rows) == tables["captures"].select("id").distinct().count()
     assert all((rows[i].doi, rows[i].url_hash, rows[i].title) == (w.doi, w.url_hash, f"title {w.last_seq}") for i, w in whole.iterrows())

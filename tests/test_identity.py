@@ -4,6 +4,7 @@ import random
 import pandas as pd
 
 from folioforge.operators import identity
+from tests.folds import fold
 
 
 def ordered(found):
@@ -20,7 +21,7 @@ def chain(n):
 
 def test_a_long_chain_is_one_component(spark):
     log = chain(300)
-    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(log)).toPandas()), ordered(identity.fold(log)), check_dtype=False)
+    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(log)).toPandas()), ordered(fold(log)), check_dtype=False)
 
 
 def test_every_mix_of_arrivals_equals_the_fold_without_python_tasks(spark):
@@ -32,16 +33,16 @@ def test_every_mix_of_arrivals_equals_the_fold_without_python_tasks(spark):
     log = pd.DataFrame([(*r, i) for i, r in enumerate(rows)], columns=["url_hash", "doi", "captured_at", "seq"])
     found = identity.resolve(spark.createDataFrame(log))
     assert "Pandas" not in found._jdf.queryExecution().toString()
-    pd.testing.assert_frame_equal(ordered(found.toPandas()), ordered(identity.fold(log)), check_dtype=False)
+    pd.testing.assert_frame_equal(ordered(found.toPandas()), ordered(fold(log)), check_dtype=False)
 
 
 def test_one_url_and_one_doi_with_most_arrivals(spark):
     rng = random.Random(11)
     rows = [("hot" if rng.random() < 0.7 else f"u{rng.randrange(9)}", rng.choice(["", "10.1/hot", "10.1/hot", f"10.1/{rng.randrange(5)}"]), str(rng.randrange(90))) for _ in range(1500)]
     log = pd.DataFrame([(*r, i) for i, r in enumerate(rows)], columns=["url_hash", "doi", "captured_at", "seq"])
-    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(log)).toPandas()), ordered(identity.fold(log)), check_dtype=False)
+    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(log)).toPandas()), ordered(fold(log)), check_dtype=False)
     only = log.assign(url_hash="hot", doi="")
-    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(only)).toPandas()), ordered(identity.fold(only)), check_dtype=False)
+    pd.testing.assert_frame_equal(ordered(identity.resolve(spark.createDataFrame(only)).toPandas()), ordered(fold(only)), check_dtype=False)
     blocks = identity._blocks(spark.createDataFrame(only).selectExpr("url_hash", "struct(captured_at, seq) AS at"), "url_hash", "block").groupBy("block").count().collect()
     assert len(blocks) == 4 and max(r["count"] for r in blocks) < 750
 

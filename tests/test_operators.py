@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from folioforge.operators import collections, fulltext, identity, library, sections
 from folioforge.sources import exports, html
+from tests.folds import fold
 
 
 def test_identity_by_components_equals_one_fold(spark):
     rng = random.Random(9)
     for trial in range(3):
         log = pd.DataFrame([(rng.choice("abcdefgh") * 20, rng.choice(["", "", "10.1/x", "10.1/y", "10.1/z"]), f"2024-01-{rng.randint(1, 9):02d}", i) for i in range(40)], columns=["url_hash", "doi", "captured_at", "seq"])
-        whole = identity.fold(log)
+        whole = fold(log)
         got = identity.resolve(spark.createDataFrame(log)).toPandas()
         order = lambda x: x.sort_values("capture_id").reset_index(drop=True)
         pd.testing.assert_frame_equal(order(got), order(whole), check_dtype=False)

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import changes, fulltext, graph, identity, library, ordering, segments, trigrams
+from folioforge.operators import changes, fulltext, graph, library, ordering, segments, trigrams
 from folioforge.streaming import feed, ingest
+from tests.folds import fold
 
 SCHEMAS = {"captures": "id string, title string", "texts": "capture_id string, content_text string", "postings": "capture_id string, field string, token string"}
 
@@ -115,7 +116,7 @@ def test_what_a_stream_wrote_can_be_fed_in_two_parts(spark, tmp_path):
         tables = {name: graph.stored(df, "fed") for name, df in changes.fed(tables, came.where(F.col("batch") == batch).drop("batch"), "now").items()}
     log = came.toPandas()
     log["captured_at"] = log["captured_at"].astype(str)
-    want = identity.fold(log)
+    want = fold(log)
     assert came.count() == came.select("seq").distinct().count() == 25
     assert sorted((r.url_hash, r.doi) for r in tables["captures"].collect()) == sorted(zip(want.url_hash, want.doi, strict=True))
     assert sorted(r.id for r in tables["captures"].collect()) == sorted(want.capture_id)
