@@ -20,7 +20,6 @@ without windows, gives documents without hits. Other columns are ignored, whatev
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
