@@ -12,7 +12,7 @@ from folioforge.cluster import spread
 from folioforge.functions import metadata, records, text, urls
 from folioforge.operators import bitmaps, changes, collections, fulltext, graph, identity, ingest, library, ordering, sections, segments, trigrams
 from folioforge.plans import views
-from folioforge.sources import bundles, exports, html, sites
+from folioforge.sources import bundles, exports, html, sites, tree
 
 QUERIES, ORACLE_SQL = {}, {}
 C, W = "WITH " + views.CAPTURES_SQL, "WITH " + views.WORKS_SQL
@@ -628,3 +628,19 @@ def site_kinds(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, hosts)), (i % 5 + 1).cast("int")), i.cast("string"))
     return views.table(spark, d, "documents").select("doc_id", urls.site_kind(url).alias("site"))
+
+
+@query("""SELECT page_id::VARCHAR AS capture_id, 'page.html' AS name, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL AND page_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id::VARCHAR, 'article.txt', octet_length(encode(text)), sha256(text) FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'page.html', octet_length(encode('again ' || doc_id)), sha256('again ' || doc_id) FROM labels""")
+def artifact_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and texts as files, then those of labelled captures once more: the files that count, read back."""
+    root, n = f"{graph.shared_dir(spark)}/tree-{uuid.uuid4().hex}", F.col("doc_id").cast("string")
+    pages = views.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("capture_id"), F.lit("page.html").alias("name"), F.col("html").alias("text"))
+    texts = spread(views.texts(spark, d)).select("capture_id", F.lit("article.txt").alias("name"), F.col("content_text").alias("text"))
+    tree.put(pages.unionByName(texts), root)
+    again = views.table(spark, d, "labels").select(n.alias("capture_id"), F.lit("page.html").alias("name"), F.concat(F.lit("again "), n).alias("text")).distinct()
+    tree.put(again, root)
+    names = tree.latest(tree.files(spark, root, ("batch", "capture_id", "name", "length")))
+    found = tree.files(spark, root, ("batch", "capture_id", "name", "content")).select("batch", "capture_id", "name", F.sha2("content", 256).alias("sha256"))
+    return names.join(found, ["batch", "capture_id", "name"]).select("capture_id", "name", "length", "sha256")
