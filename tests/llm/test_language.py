@@ -1,5 +1,8 @@
+import re
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioforge.llm import language
@@ -45,3 +48,34 @@ def test_edges(spark):
     assert language.identify(empty_docs(spark), known).count() == 0
     assert language.learn(docs.limit(0).select("text", "lang")) == {}
     assert language.identify(docs, known, carry={"held_out": F.lit(True)}).columns == ["id", "held_out", "lang_pred", "score"]
+
+
+def test_query_by_hand(spark):
+    """Every prediction and score of the query, from trigrams counted text by text and cosines taken one by one."""
+    d, table = "/root/testdata/sf0.001", language.Space(language.DIMENSIONS).c.astype(np.int64)
+    source = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+    row = lambda c: table[0 if c == " " else ord(c) % (language.LETTERS - 1) + 1]
+    vectors = {}
+
+    def vector(gram):
+        if gram not in vectors:
+            a, b, c = gram
+            vectors[gram] = np.roll(row(a), 2) * np.roll(row(b), 1) * row(c)
+        return vectors[gram]
+
+    def bundle(text):
+        letters = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        letters = re.sub(" +", " ", letters)
+        counts = Counter(zip(letters, letters[1:], letters[2:])) if letters.strip() else {}
+        return sum((n * vector(g) for g, n in counts.items()), np.zeros(language.DIMENSIONS, np.int64))
+
+    bundles, known = [bundle(r.text) for r in source], defaultdict(int)
+    for r, v in zip(source, bundles, strict=True):
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.text is not None and r.lang is not None:
+            known[r.lang] = known[r.lang] + v
+    got = {r.doc_id: r for r in language.op2_language(spark, d).collect()}
+    assert len(got) == len(source)
+    for r, v in zip(source, bundles, strict=True):
+        near = {n: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for n, p in known.items()} if v.any() else {"und": 0.0}
+        told = got[r.doc_id]
+        assert abs(near[told.lang_pred] - max(near.values())) < 1e-6 and abs(told.score - max(0.0, near[told.lang_pred])) < 1e-6
