@@ -91,3 +91,13 @@ def test_exports(spark, tmp_path):
     assert exports.slug(" Über X! ") == "ber-x" and exports.slug("") == "export"
     exports.write_lines(df.withColumn("e", exports.ris_entry()), "e", ["id"], str(tmp_path / "ris"), "\n\n")
     assert sum("TY  - JOUR" in p.read_text() for p in (tmp_path / "ris").glob("part*")) == 1
+
+
+def test_collections_come_by_name_in_ascii_case_only(spark):
+    """`_` sorts before letters, `A` and `a` are one and go by id, letters beyond ASCII keep their case and come last."""
+    c = spark.createDataFrame([(1, "ä"), (2, "b"), (3, "a"), (4, "Ä"), (5, "A"), (6, "_"), (7, "B"), (8, "")], "id long, name string")
+    items = spark.createDataFrame([(3, "x"), (3, "y"), (9, "x")], "collection_id long, capture_id string")
+    want = [8, 6, 3, 5, 2, 7, 4, 1]
+    counted, told = collections.with_counts(c, items).collect(), collections.membership(c, items, "x").collect()
+    assert [r.id for r in counted] == [r.id for r in told] == want
+    assert {r.id: r["count"] for r in counted if r["count"]} == {3: 2} and [r.id for r in told if r.selected] == [3]
