@@ -458,6 +458,20 @@ def late_batch(spark: SparkSession, d: str) -> DataFrame:
     return after["captures"].join(after["texts"].withColumnRenamed("capture_id", "id"), "id").join(said, "id").select("id", "doi", "title", F.length("content_text").cast("long").alias("chars"), "tokens")
 
 
+@query(C + """, held AS (SELECT collection_id, capture_id, 'old' AS since FROM items UNION ALL SELECT 5, id, 'added' FROM captures WHERE id IN ('7', '3', '12') AND id NOT IN (SELECT capture_id FROM items WHERE collection_id = 5))
+SELECT 'items' AS name, capture_id AS id, collection_id || ' ' || since AS value FROM held WHERE collection_id <> 5 OR capture_id <> '3'
+UNION ALL SELECT 'captures', id, CASE WHEN id = '3' THEN 'removed' WHEN id IN ('7', '12') THEN 'added' ELSE 'old' END FROM captures""")
+def form_actions(spark: SparkSession, d: str) -> DataFrame:
+    """A form's captures added to a collection, with blanks, repeats and one that there is not, then one of them taken out: memberships and captures after both."""
+    tables = {
+        "captures": views.captures(spark, d).withColumn("updated_at", F.lit("old")), "items": views.items(spark, d).withColumn("added_at", F.lit("old")),
+        "collections": views.collections(spark, d),
+    }
+    tables |= changes.add_selected(tables, [" 7 ", "3", "", "7", "no such", "12", None], 5, "added")
+    tables |= changes.remove_selected(tables, " 3", 5, "removed")
+    return _library_rows(tables, captures=F.col("updated_at"), items=F.concat_ws(" ", "collection_id", "added_at"))
+
+
 @query(C + """SELECT coalesce(d.doc_id::VARCHAR, c.id) AS id, CASE WHEN d.doc_id IS NULL THEN c.title ELSE d.source END AS title, CASE WHEN c.id IS NULL THEN 'new' ELSE 'old' END AS created_at, CASE WHEN d.doc_id IS NULL THEN 'old' ELSE 'new' END AS updated_at
 FROM captures c FULL JOIN documents d ON d.doc_id::VARCHAR = c.id""")
 def upsert_captures(spark: SparkSession, d: str) -> DataFrame:
