@@ -124,9 +124,14 @@ def registry_record(message: Column) -> Column:
     return F.struct(title("title").alias("title"), title("container-title").alias("container_title"), date.alias("published_date_raw"), year.alias("year"), names.alias("authors"))
 
 
+def iso(at: Column) -> Column:
+    """A time in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def now_iso() -> Column:
     """The time of the query in UTC, to the second."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return iso(F.current_timestamp())
 
 
 def lengths(**texts: Column) -> Column:

@@ -34,6 +34,12 @@ def validated(raw: DataFrame, column: str = "value") -> DataFrame:
     return read.withColumn("error_code", code).drop("is_object")
 
 
+def index_choice(parsed_text: Column, quality: Column, confidence: Column, base_text: Column) -> tuple[Column, Column]:
+    """Whether the parsed article is what is indexed, and the text that is: else the page's plain text."""
+    use = (parsed_text != "") & (quality != "blocked") & (confidence >= INDEX_CONFIDENCE)
+    return use, F.when(use, parsed_text).otherwise(base_text)
+
+
 def parsed(good: DataFrame) -> DataFrame:
     """One row per valid payload (payload, captured_at, seq): identity, bibliographic fields, article and index text."""
     rows = good.select(
@@ -44,12 +50,12 @@ def parsed(good: DataFrame) -> DataFrame:
     page = html.judged(read.select("*", "p.*").drop("p"))
     meta = metadata.merged_meta(F.col("meta"), F.col("client_meta"))
     fields = page.withColumn("meta", meta).withColumn("parsed_text", standard_text(F.col("article_text"))).withColumn("published_date_raw", metadata.best_date(F.col("meta")))
-    use = (F.col("parsed_text") != "") & (F.col("capture_quality") != "blocked") & (F.col("confidence") >= INDEX_CONFIDENCE)
+    use, content_text = index_choice(F.col("parsed_text"), F.col("capture_quality"), F.col("confidence"), standard_text(F.col("base_text")))
     return fields.select(
         "captured_at", "seq", "url", "url_canon", urls.url_hash(F.col("url_canon")).alias("url_hash"), urls.site_kind(F.col("url")).alias("site"),
         metadata.best_title(F.col("meta"), F.col("title_tag"), F.col("url")).alias("title"), metadata.best_doi(F.col("meta")).alias("doi"), metadata.year(F.col("published_date_raw")).alias("year"),
         metadata.best_container(F.col("meta")).alias("container_title"), metadata.best_authors(F.col("meta")).alias("authors"), metadata.best_keywords(F.col("meta")).alias("keywords"),
         metadata.best_abstract(F.col("meta")).alias("abstract"), "published_date_raw", "selected_hint", "confidence", "capture_quality", "blocked_reason", F.col("error").alias("parse_error"),
         F.nullif("article_text", F.lit("")).alias("article_text"), F.nullif("references_text", F.lit("")).alias("references_text"), use.alias("used_for_index"),
-        F.when(use, F.col("parsed_text")).otherwise(standard_text(F.col("base_text"))).alias("content_text"),
+        content_text.alias("content_text"),
     )

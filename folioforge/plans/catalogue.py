@@ -644,6 +644,130 @@ def site_kinds(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "documents").select("doc_id", urls.site_kind(url).alias("site"))
 
 
+@query("""WITH f AS (SELECT *, CASE doc_id % 8 WHEN 0 THEN 'We use cookies. Consent' WHEN 1 THEN 'GDPR' WHEN 2 THEN 'Please sign in' WHEN 3 THEN 'Are you a robot?' WHEN 4 THEN 'Accept every cookie' WHEN 5 THEN 'cookies and consentful gdprs' ELSE 'Plain' END || chr(10) || text AS page FROM documents),
+b AS (SELECT *, length(text) AS chars, len(string_split(text, chr(10))) AS paragraphs, (doc_id % 11) * 600 AS side_chars FROM f),
+s AS (SELECT *, CASE WHEN chars > 0 THEN least(chars::DOUBLE, 6000) / 6000 * 6 + least(paragraphs::DOUBLE, 60) / 60 * 4 + least((doc_id % 40)::DOUBLE, 30) / 30 * 2 - least((doc_id % 3) * 100 / greatest(chars, 1), 1) * 5 + CASE WHEN doc_id % 4 = 0 THEN 1.5::DOUBLE ELSE 0 END END AS main,
+CASE WHEN side_chars > 0 THEN least(side_chars::DOUBLE, 6000) / 6000 * 6 + least((doc_id % 70)::DOUBLE, 60) / 60 * 4 + 0 - least((doc_id % 11) * 300 / side_chars, 1) * 5 + 1.5::DOUBLE END AS side FROM b),
+t AS (SELECT *, CASE WHEN doc_id % 13 = 0 OR (main IS NULL AND side IS NULL) THEN 'none' WHEN side IS NULL OR main >= side THEN 'main' ELSE 'side' END AS best,
+CASE WHEN doc_id % 8 IN (0, 1, 4) THEN 'cookie_wall' WHEN doc_id % 8 = 2 THEN 'paywall' WHEN doc_id % 8 = 3 THEN 'bot_block' ELSE '' END AS wall, length(page) AS long FROM s),
+q AS (SELECT *, CASE best WHEN 'main' THEN main WHEN 'side' THEN side END AS score, CASE best WHEN 'main' THEN chars WHEN 'side' THEN side_chars ELSE 0 END AS won, CASE best WHEN 'main' THEN paragraphs WHEN 'side' THEN doc_id % 70 ELSE 0 END AS parts,
+CASE WHEN wall <> '' AND long < 4000 THEN 'blocked' WHEN wall <> '' OR long < 800 THEN 'suspicious' ELSE 'ok' END AS quality FROM t),
+r AS (SELECT *, least(1, coalesce(score, 0) / 10) + CASE WHEN won >= 2500 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN parts >= 8 THEN 0.25::DOUBLE ELSE 0 END AS raw, CASE best WHEN 'main' THEN trim(text, ' ' || chr(10)) WHEN 'side' THEN source ELSE '' END AS article FROM q),
+c AS (SELECT *, greatest(0, least(1, CASE WHEN quality = 'blocked' THEN least(raw, 0.2::DOUBLE) ELSE raw END))::DOUBLE AS sure FROM r)
+SELECT doc_id, CASE WHEN best = 'none' THEN '' ELSE best END AS selected_hint, round(score, 6) AS score, round(sure, 6) AS confidence, quality AS capture_quality, wall AS blocked_reason, best <> 'none' AS ok, article <> '' AND quality <> 'blocked' AND sure >= 0.45 AS used_for_index,
+CASE WHEN article <> '' AND quality <> 'blocked' AND sure >= 0.45 THEN article ELSE lang END AS content_text FROM c""")
+def page_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of four blocks, or of none, behind walls or not: the best block (the first of equal ones), what it is worth, and which text is indexed."""
+    i, none = F.col("doc_id").cast("int"), F.lit("")
+    phrases = ("We use cookies. Consent", "GDPR", "Please sign in", "Are you a robot?", "Accept every cookie", "cookies and consentful gdprs", "Plain", "Plain")
+    first = F.element_at(F.array(*map(F.lit, phrases)), i % 8 + 1)
+
+    def block(hint, chars, paragraphs, headings, link_chars, lead, body):
+        return F.struct(F.lit(hint).alias("hint"), chars.alias("chars"), paragraphs.alias("paragraphs"), headings.alias("headings"), link_chars.alias("link_chars"), lead.alias("lead"), body.alias("body"), none.alias("refs"))
+
+    own = (F.length("text"), F.size(F.split("text", "\n")), i % 40, i % 3 * 100, F.when(i % 4 == 0, "An introduction.").otherwise("introductory"))
+    empty = block("empty", F.lit(0), F.lit(60), F.lit(30), F.lit(0), F.lit("Results"), F.lit("no text"))
+    side = block("side", i % 11 * 600, i % 70, F.lit(0), i % 11 * 300, F.lit("Results of"), F.col("source"))
+    blocks = F.array(empty, block("main", *own, F.col("text")), block("again", *own, F.col("lang")), side)
+    pages = views.table(spark, d, "documents").select("doc_id", "lang", F.concat(first, F.lit("\n"), "text").alias("document_text"), F.when(i % 13 > 0, blocks).otherwise(F.slice(blocks, 1, 1)).alias("blocks"))
+    told = html.judged(pages)
+    use, content_text = ingest.index_choice(F.col("article_text"), F.col("capture_quality"), F.col("confidence"), F.col("lang"))
+    return told.select("doc_id", "selected_hint", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"), "capture_quality", "blocked_reason", "ok", use.alias("used_for_index"), content_text.alias("content_text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Client ' || source WHEN doc_id % 7 = 1 OR doc_id % 2 = 1 THEN 'Dc ' || lang || '; Two' ELSE source END AS title, CASE WHEN doc_id % 3 = 0 THEN '10.1234/ab' ELSE '10.5555/x' END || doc_id AS doi,
+CASE WHEN doc_id % 4 = 0 THEN 'Journal of ' || source ELSE '' END AS container_title, CASE WHEN doc_id % 8 = 0 THEN '2150-01-02' ELSE 'Spring 1899; 2003' END AS published_date_raw, CASE WHEN doc_id % 8 = 0 THEN 2150 ELSE 1899 END AS year,
+CASE WHEN doc_id % 5 < 3 THEN 'Ann Lee|Bo Roe|Cy, Poe' ELSE 'Di Vox|Ed Wu' END AS authors, CASE WHEN doc_id % 6 = 0 THEN 'a|b' ELSE lang || '|' || source END AS keywords, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 20000) AS abstract FROM documents""".replace("\\\\", "\\"))
+def payload_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Head and client metadata made of documents: keys in any case, blank keys and values, values that the client takes away; the fields that come of both."""
+    i, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    entry = lambda key, *values, when=F.lit(True): F.when(when, F.struct(F.lit(key).alias("key"), F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]).cast("array<string>").alias("value")))
+    made = lambda *entries: F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    head = made(
+        entry(" Citation_Title ", said(" ", source, " "), "", when=i % 2 == 0), entry("dc.title", said("Dc ", lang), "Two"), entry("citation_doi", said("DOI: 10.1234/Ab", i.cast("string"), "."), when=i % 3 == 0), entry("Citation_DOI", "no doi", when=i % 3 == 1),
+        entry("dc.identifier", said("https://doi.org/10.5555/X", i.cast("string"))), entry("citation_journal_title", said("Journal of ", source), when=i % 4 < 2), entry("CITATION_DATE", "Spring 1899", "2003", when=i % 8 > 0), entry("dc.date", "2150-01-02"),
+        entry("citation_author", "Ann Lee and Bo Roe", "ann lee", " ", "Cy, Poe", when=i % 5 < 3), entry("dc.creator", "Di Vox; Ed Wu"), entry("citation_keywords", "a, b", "B", when=i % 6 == 0), entry("keywords", said(lang, ";", source, "\n")), entry("citation_abstract", F.col("text")),
+    )
+    client = made(entry("CITATION_TITLE", said("Client ", source), when=i % 7 == 0), entry("citation_title", when=i % 7 == 1), entry("citation_journal_title", "", "", when=i % 4 == 1), entry(" ", "x"))
+    meta, joined = F.col("meta"), lambda c: F.array_join(c, "|")
+    read = views.table(spark, d, "documents").select("doc_id", metadata.merged_meta(head, client).alias("meta"))
+    return read.select(
+        "doc_id", metadata.best_title(meta, F.lit(None), F.lit(None)).alias("title"), metadata.best_doi(meta).alias("doi"), metadata.best_container(meta).alias("container_title"), metadata.best_date(meta).alias("published_date_raw"),
+        metadata.year(metadata.best_date(meta)).alias("year"), joined(metadata.best_authors(meta)).alias("authors"), joined(metadata.best_keywords(meta)).alias("keywords"), metadata.best_abstract(meta).alias("abstract"),
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 3, 4) THEN 'invalid_json' WHEN doc_id % 7 IN (5, 6) THEN 'missing_field' END AS error_code, CASE WHEN doc_id % 7 = 0 THEN 'https://example.org/' || doc_id END AS url, CASE WHEN doc_id % 7 = 0 THEN sha256(text) END AS html_sha256 FROM documents""")
+def payload_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads made of documents, one in seven whole: the others are lists, texts, null, cut off, or lack their URL."""
+    i, quoted = F.col("doc_id"), exports.json_text(F.col("text"))
+    whole = F.concat(F.lit('{"source_url": " https://example.org/'), i.cast("string"), F.lit(' ", "dom_html": '), quoted, F.lit("}"))
+    shapes = (F.concat(F.lit("["), whole, F.lit("]")), quoted, F.lit("null"), F.substring_index(whole, "}", 1), F.lit('{"source_url": "  \\t", "dom_html": ""}'), F.concat(F.lit('{"dom_html": '), quoted, F.lit("}")))
+    value = whole
+    for n, shape in enumerate(shapes, 1):
+        value = F.when(i % 7 == n, shape).otherwise(value)
+    read = ingest.validated(views.table(spark, d, "documents").select("doc_id", value.alias("value")))
+    good = F.col("error_code").isNull()
+    return read.select("doc_id", "error_code", F.when(good, F.trim("payload.source_url")).alias("url"), F.when(good, F.sha2("payload.dom_html", 256)).alias("html_sha256"))
+
+
+@query(W + r""", m AS (SELECT id, id::BIGINT AS i, '# ' || coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), 'Untitled') AS head, '**' || array_to_string(list_filter([CASE WHEN doi <> '' THEN 'DOI: `' || doi || '`' END,
+ CASE WHEN container_title <> '' THEN container_title END, year::VARCHAR, url], lambda x: x IS NOT NULL), ' · ') || '**' AS bits, nullif(trim(abstract, ' ' || chr(10)), '') AS body, url FROM works)
+SELECT id, CASE WHEN i % 3 = 0 AND body IS NOT NULL THEN '  ' || body || chr(10) ELSE array_to_string(list_filter([head, bits, body, CASE WHEN i % 2 = 0 THEN '## References' || chr(10) || url END], lambda x: x IS NOT NULL), chr(10) || chr(10)) || chr(10) END AS paper_md FROM m""")
+def best_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Works with stored Markdown, blank Markdown or none: what is stored, else one made of the article's text and references."""
+    i, abstract = F.col("id").cast("long"), F.col("abstract")
+    stored = F.when(i % 3 == 0, F.concat(F.lit("  "), F.trim(abstract, F.lit(" \n")), F.lit(" \n\n "))).when(i % 3 == 1, " \n")
+    references = F.when(i % 2 == 0, F.concat(F.lit("\n"), "url", F.lit(" ")))
+    return views.works(spark, d).select("id", exports.best_markdown(stored, abstract, references).alias("paper_md"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, substr(trim(regexp_replace(lower(trim(text, ' ' || chr(10))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS title, substr(trim(regexp_replace(lower('Cap/' || doc_id || '/' || source), '[^a-z0-9]+', '-', 'g'), '-'), 1, 12) AS part FROM documents)
+SELECT doc_id, coalesce(nullif(title, ''), 'export') AS slug, 'paper_' || part || CASE WHEN doc_id % 3 = 0 OR trim(text, ' ' || chr(10)) = '' THEN '' ELSE '_' || coalesce(nullif(title, ''), 'export') END || '.md' AS file_name FROM s""")
+def export_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of files that documents would be exported to, one each, with and without a suffix."""
+    capture_id = F.concat(F.lit("Cap/"), F.col("doc_id").cast("string"), F.lit("/"), "source")
+    suffix = F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text"))
+    return views.table(spark, d, "documents").select("doc_id", exports.slug_of(F.col("text")).alias("slug"), exports.capture_file_name("md", "paper", capture_id, suffix).alias("file_name"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS captured_at FROM events")
+def capture_times(spark: SparkSession, d: str) -> DataFrame:
+    """The times of events as captures have them."""
+    return views.table(spark, d, "events").select("event_id", metadata.iso(F.col("ts").cast("timestamp")).alias("captured_at"))
+
+
+@query(_INDEX + "SELECT id AS capture_id FROM tok GROUP BY id HAVING bool_or(t LIKE 'our%') AND bool_or(t LIKE 'l%') AND bool_or(t LIKE 'ti%')")
+def fts_plain_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A question with letters beyond ASCII, which end its terms, while the index has them without marks."""
+    return fulltext.matching(views.indexed_captures(spark, d), spread(views.texts(spark, d)), library.query_terms("Ouré é lé-TIñ"))
+
+
+@query(C + """SELECT 'collection' AS kind, id, name, count FROM (SELECT c.id, CASE WHEN c.id = 1 THEN 'Renamed' ELSE name END AS name, (SELECT count(*) FROM items WHERE collection_id = c.id) AS count FROM collections c WHERE c.id <> 2 UNION ALL SELECT max(id) + 1, 'New one', 0 FROM collections)
+UNION ALL SELECT 'refused', n, said, (SELECT count(*) FROM collections) FROM (VALUES (1, 'Name required.'), (2, 'Collection already exists.'), (3, 'Collection name already exists.'), (4, 'Collection not found.'), (5, 'Choose a collection.'), (6, 'No captures selected.'), (7, 'No matching captures found.')) v(n, said)""")
+def collection_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Collections after one is made, one renamed and one deleted, with their counts; and what is said to changes that can't be."""
+    tables = {"captures": views.captures(spark, d), "collections": views.collections(spark, d).withColumn("created_at", F.lit("old")), "items": views.items(spark, d).withColumn("added_at", F.lit("old"))}
+    made = tables["collections"]
+    wrong = (
+        lambda: collections.created(made, " ", "now"), lambda: collections.created(made, " src1 ", "now"), lambda: collections.renamed(made, 1, "src2"), lambda: collections.renamed(made, -1, "x"),
+        lambda: changes.add_selected(tables, ["1"], 0, "now"), lambda: changes.delete_selected(tables, [" ", None]), lambda: changes.remove_selected(tables, ["no such"], 1, "now"),
+    )
+    said = []
+    for n, change in enumerate(wrong, 1):
+        try:
+            change()
+        except collections.CollectionError as e:
+            said.append((n, str(e)))
+    rows = F.array(*[F.struct(F.lit(n).cast("long").alias("id"), F.lit(m).alias("name")) for n, m in said])
+    refused = made.agg(F.count(F.lit(1)).alias("count")).select(F.inline(rows), "count")
+    tables["collections"] = collections.renamed(collections.created(made, " New one", "now"), 1, "Renamed ")
+    after = tables | changes.delete_collection(tables, 2)
+    left = collections.with_counts(after["collections"], after["items"])
+    return left.select(F.lit("collection").alias("kind"), "id", "name", "count").unionByName(refused.select(F.lit("refused").alias("kind"), "id", "name", "count"))
+
+
 @query("""SELECT page_id::VARCHAR AS capture_id, 'page.html' AS name, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL AND page_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT doc_id::VARCHAR, 'article.txt', octet_length(encode(text)), sha256(text) FROM documents WHERE text IS NOT NULL
 UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'page.html', octet_length(encode('again ' || doc_id)), sha256('again ' || doc_id) FROM labels""")

@@ -40,12 +40,12 @@ def indexed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, name: the sources, numbered by the digits in their names."""
-    return table(spark, sf_dir, "documents").select("source").distinct().select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("id"), F.col("source").alias("name"))
+    return table(spark, sf_dir, "documents").select("source").distinct().select(F.regexp_extract("source", r"(\d+)", 1).try_cast("long").alias("id"), F.col("source").alias("name"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """collection_id, capture_id."""
-    return table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("collection_id"), F.col("doc_id").cast("string").alias("capture_id"))
+    return table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)", 1).try_cast("long").alias("collection_id"), F.col("doc_id").cast("string").alias("capture_id"))
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,18 @@ def file_name(extension: str, base: str = "library", capture_id: str | None = No
     return "_".join(x for x in (base, what, slug(suffix) if suffix else None, "selected" if selected else None) if x) + f".{extension}"
 
 
+def slug_of(c: Column, most: int = 80) -> Column:
+    """slug() of a column, null as empty."""
+    dashed = F.regexp_replace(F.lower(strip(text(c))), "[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.substring(F.trim(dashed, F.lit("-")), 1, most), F.lit("")), F.lit("export"))
+
+
+def capture_file_name(extension: str, base: str, capture_id: Column, suffix: Column | None = None) -> Column:
+    """file_name() of an export of one capture each row; a blank suffix is none."""
+    named = [] if suffix is None else [F.when(strip(text(suffix)) != "", slug_of(suffix))]
+    return F.concat(F.concat_ws("_", F.lit(base), F.substring(slug_of(capture_id), 1, 12), *named), F.lit(f".{extension}"))
+
+
 def scope(captures: DataFrame, items: DataFrame, capture_id: str | None = None, collection: int = 0) -> DataFrame:
     """What an export covers: one capture (nothing if there is none), else a collection, else all."""
     if capture_id and capture_id.strip():

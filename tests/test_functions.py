@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import metadata, strings, text, urls
+from folioforge.operators import ingest
+from folioforge.sources import exports
 
 
 def apply(spark, values, *columns):
@@ -100,3 +102,19 @@ def test_like_is_ascii_and_live(spark):
     given = ["50% off", "5Äb", "a_b", "A\\B", "axb"]
     for q, want in (("0%", [1, 0, 0, 0, 0]), ("5ä", [0, 0, 0, 0, 0]), ("A_B", [0, 0, 1, 1, 1]), ("a\\b", [0, 0, 0, 1, 0])):
         assert apply(spark, given, strings.like_any_case(F.col("v"), q).cast("int")) == want
+
+
+def test_file_names_of_rows_are_those_of_values(spark):
+    values = ["A  b/C", "", None, " --x-- ", "é Ünder", "a" * 79 + "/b", "x_1.md", " Deep ", "***"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", exports.slug_of(F.col("v")).alias("slug"), exports.capture_file_name("bib", "paper", F.col("v"), F.col("v")).alias("name"), exports.capture_file_name("bib", "paper", F.col("v")).alias("plain")).collect()
+    assert [r["slug"] for r in got] == [exports.slug(v) for v in values]
+    assert [r["name"] for r in got] == [exports.file_name("bib", "paper", capture_id=v or " ", suffix=(v or "").strip()) for v in values]
+    assert [r["plain"] for r in got] == [exports.file_name("bib", "paper", capture_id=v or " ") for v in values]
+
+
+def test_index_choice_takes_the_parsed_text_only_where_it_is_sure(spark):
+    rows = [("t", "ok", 0.45), ("t", "suspicious", 1.0), ("t", "ok", 0.449), ("t", "blocked", 1.0), ("", "ok", 1.0)]
+    use, chosen = ingest.index_choice(F.col("t"), F.col("q"), F.col("c"), F.lit("base"))
+    got = spark.createDataFrame(rows, "t string, q string, c double").select(use.alias("use"), chosen.alias("chosen")).collect()
+    assert [tuple(r) for r in got] == [(True, "t"), (True, "t"), (False, "base"), (False, "base"), (False, "base")]
