@@ -94,7 +94,8 @@ def merged_meta(head: Column, client: Column) -> Column:
     """Both maps with stripped lower-case keys; the client's values win whole."""
     clean = lambda m: F.transform(F.filter(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,array<string>>"))), lambda e: strip(e["key"]) != ""), lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value")))
     last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last(F.concat(clean(head), clean(client))))
+    # An array of one binds the entries; without it each entry would compute them anew.
+    return F.map_from_entries(F.transform(F.array(F.concat(clean(head), clean(client))), last)[0])
 
 
 #: Keys of a person's record, in the order in which they are tried, and years that a registry's date may have.

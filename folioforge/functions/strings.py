@@ -54,8 +54,9 @@ def like_any_case(c: Column, fragment: str) -> Column:
 def dedupe(items: Column, key=F.lower) -> Column:
     """The items stripped, without blanks and without later ones of the same key, in order."""
     clean = F.filter(F.transform(items, lambda x: strip(text(x))), lambda x: x != "")
-    keys = F.transform(clean, key)
-    return F.filter(clean, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+    first = lambda c, keys: F.filter(c, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+    # Arrays of one bind the items and their keys; without them each item would compute all anew.
+    return F.transform(F.array(clean), lambda c: F.transform(F.array(F.transform(c, key)), lambda keys: first(c, keys))[0])[0]
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
