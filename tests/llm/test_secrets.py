@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.llm import secrets
 from tests.llm.fixtures import docs, edge_docs, empty_docs
@@ -95,3 +96,93 @@ def test_thousands_of_findings_in_one_text(spark, net):
     text = "\n".join(f"password = Zx9{i:06d}qLm and /some/path/of/words/{i}" for i in range(4000))
     [row] = secrets.scan(docs(spark, [text]), net).collect()
     assert sum(s.kind == "assign" for s in row.found) == 4000 and [s.start for s in row.found] == sorted(s.start for s in row.found)
+
+
+def test_learning_reads_every_document(spark, monkeypatch):
+    """Documents beyond the first thousands, and windows of any length, take part in what is learnt."""
+    monkeypatch.setattr(secrets, "ROUNDS", 2, raising=False)
+    texts = [f"see mail/mailmail/mail/{i % 10} there {i}" for i in range(2600)]
+    other = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").orderBy(F.xxhash64("doc_id"), "doc_id").tail(1)[0].doc_id
+    long = [*texts]
+    long[other] = "it says token = " + "aB3/xY7=" * 100 + " and ends"
+    given = [spark.createDataFrame(list(enumerate(t)), "doc_id long, text string") for t in (texts, long)]
+    one, two = [secrets.learn(g) for g in given]
+    assert not all(np.array_equal(getattr(one, w), getattr(two, w)) for w in ("embed", "kernel", "bias", "out", "out_bias", "scale", "shift", "threshold"))
+    found = [secrets.labelled(secrets.search(g)).where("not made").groupBy("label").sum("n").collect() for g in given]
+    assert [{r[0]: r[1] for r in f} for f in found] == [{0: 2600}, {0: 2599, 1: 1}]
+
+
+def test_learning_in_rounds_is_that_of_all_windows_at_once(spark, monkeypatch):
+    """Against the same steps over windows in memory, each as often as it occurs."""
+    monkeypatch.setattr(secrets, "ROUNDS", 3)
+    words = [f"the file run/{'abcdefg'[i % 7]}/of/many/words/{'abcdefghijk'[i % 11]} is here; key{i % 3} token: Ab{i % 23}cD{i % 7}efGh{i % 13} ends" for i in range(6000)]
+    words[5] = "password = " + "q7W/" * 400 + " is long"
+    given = docs(spark, [*words, None, ""])
+    real = {}
+    for text in words:
+        found, spans = secrets.base_findings(text), secrets.candidates(text)
+        for start, end, label in [(a, b, 1) for a, _, b in found] + [(*x, 0) for x, clear in zip(spans, secrets.clear_of(spans, found)) if clear and not secrets.secretlike(text[slice(*x)])]:
+            codes, low, high = secrets.window(text, (start, end))
+            key = (codes.astype(np.uint8).tobytes(), low, high, label)
+            real[key] = real.get(key, 0) + 1
+    rows = secrets.labelled(secrets.search(given, "doc_id", "text")).collect()
+    assert {(bytes(r.codes), r.low, r.high, r.label): r.n for r in rows if not r.made} == real and sum(real.values()) > 10_000
+    part = np.array([r.part for r in rows])
+    windows, labels, made, n = [(np.frombuffer(r.codes, np.uint8), r.low, r.high) for r in rows], np.array([r.label for r in rows]), np.array([r.made for r in rows]), np.array([r.n for r in rows])
+
+    def weight(use):
+        out = n.astype(float)
+        for c in (0, 1):
+            of = (labels == c) & use
+            out[of & ~made] *= min(1, n[of & made].sum() / n[of & ~made].sum())
+        return np.where(use, out, 0)
+
+    want = secrets.fit(*[f(x) for f, x in zip((list, np.array), secrets.made_up())])
+    use, w = part < 3, weight(part < 3)
+    w = w / np.where(labels == 1, w[labels == 1].sum(), w[labels == 0].sum()) / 2
+    pick = lambda x: [windows[i] for i in np.flatnonzero(x)]
+    step = secrets.adam(want.weights(), secrets.RATE)
+    for _ in range(3):
+        step(want.gradient(pick(use), labels[use], w[use]))
+    use, w = part == 3, weight(part == 3)
+    target = secrets.platt_targets(w[labels == 0].sum(), w[labels == 1].sum())
+    want.scale, want.shift = secrets.newton(lambda points: secrets.platt(points, want.raw(pick(use)), target[labels[use]], w[use]))
+    use = (part == 4) & (labels == 1)
+    chance = np.sort(np.repeat(want.chance(pick(use)), n[use]))
+    want.threshold = min(0.5, chance[int(0.02 * len(chance))])
+    net = secrets.learn(given)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(net.weights(), want.weights()))
+    assert np.allclose([net.scale, net.shift, net.threshold], [want.scale, want.shift, want.threshold], atol=1e-5)
+
+
+def test_gradient_of_windows_in_portions(net, monkeypatch):
+    windows = [secrets.window("token: " + "aB3" * 300 + " end", (7, 907)), secrets.window("see the words", (4, 7)), secrets.window("key = x9Yz8Wv7Ut6Sr5Qp4", (6, 23))]
+    labels, weight = np.array([1, 0, 1]), np.array([0.5, 2.0, 1.0])
+    whole = net.gradient(windows, labels, weight)
+    target = np.where(labels == 1, 0.95, 0.05)
+    loss = lambda: float(((np.logaddexp(0, net.raw(windows)) - target * net.raw(windows)) * weight).sum())
+    for w, g in zip(net.weights(), whole):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, w[at] = w[at], w[at] + 1e-6
+        more = loss()
+        w[at] = kept - 1e-6
+        less = loss()
+        w[at] = kept
+        assert np.isclose((more - less) / 2e-6, g[at], rtol=1e-3, atol=1e-6)
+    monkeypatch.setattr(secrets, "PORTION", 50)
+    assert all(np.allclose(a, b) for a, b in zip(net.gradient(windows, labels, weight), whole))
+
+
+def test_places_in_an_order_with_repeats(spark):
+    rng = np.random.default_rng(4)
+    x, n = np.round(rng.normal(0, 3, 3000), 2), rng.integers(1, 50, 3000)
+    values = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, n)], "x double, n long")
+    ordered = np.sort(np.repeat(x, n))
+    for place in (0, 7, len(ordered) // 50, len(ordered) // 2, len(ordered) - 1):
+        assert secrets.ranked(values, place) == ordered[place]
+
+
+def test_padding_changes_nothing(net):
+    short, long = secrets.window("see the words", (4, 7)), secrets.window("token: " + "aB3" * 300 + " end", (7, 907))
+    batch = net.forward(*net.padded([short, long]))[0]
+    assert np.allclose(batch[0], net.forward(*net.padded([short]))[0][0]) and np.allclose(batch[1], net.forward(*net.padded([long]))[0][0])
