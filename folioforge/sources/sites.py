@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from folioforge.functions import metadata, urls
+from folioforge.functions.pieces import in_pieces
 from folioforge.functions.text import heading_kind, heading_number, heading_title
 from folioforge.sources import html
 from folioforge.sources.html import Node
@@ -200,34 +202,39 @@ REFERENCE = StructType([StructField(c, StringType()) for c in ("n", "text", "doi
 LISTED = StructType([StructField("found", BooleanType()), StructField("sections", ArrayType(SECTION)), StructField("references", ArrayType(REFERENCE)), StructField("plain", StringType()), StructField("error", StringType())])
 
 
-def _listed(site: pd.Series, pages: pd.Series) -> pd.DataFrame:
-    rows = []
-    for kind, page in zip(site, pages, strict=True):
-        found = (False, [], [], "", None)
-        if kind in SECTIONS and page:
-            try:  # a page that can't be read becomes a row that says so
-                whole = html.tree(page)
-                if root := first(whole, *ROOTS[kind]):
-                    clean = root.cleaned(lambda n, out=STRIPPED[kind]: n.tag in out)
-                    sections, told, open_ = [], set(), []
-                    for title, level, lines in SECTIONS[kind](clean):
-                        text = "\n".join(x for i, x in enumerate(lines) if x and (i == 0 or x != lines[i - 1]))
-                        mark = f"{title}|{text[:80]}".casefold()
-                        if text and mark not in told:
-                            told.add(mark)
-                            while open_ and open_[-1][0] >= level:
-                                open_.pop()
-                            sections.append((title, level, text, open_[-1][1] if open_ else None))
-                            open_.append((level, len(sections)))
-                    found = (True, sections, references(kind, whole), line(clean), None)
-            except (ValueError, AssertionError, RecursionError) as e:
-                found = (False, [], [], "", f"{type(e).__name__}: {e}"[:500])
-        rows.append(found)
-    return pd.DataFrame(rows, columns=LISTED.names)
-
-
-def listed(site: Column, page: Column) -> Column:
-    return F.pandas_udf(_listed, LISTED)(site, page)
+READ = StructType([StructField("s", LISTED), StructField("p", html.PAGE)])
+
+
+def _read_page(kind: str, page: str | None) -> dict:
+    """What a page has where its layout puts it, and its features, of one tree."""
+    whole, found = None, (False, [], [], "", None)
+    if kind in SECTIONS and page:
+        try:  # a page that can't be read becomes a row that says so
+            whole = html.tree(page)
+            if root := first(whole, *ROOTS[kind]):
+                clean = root.cleaned(lambda n, out=STRIPPED[kind]: n.tag in out)
+                sections, told, open_ = [], set(), []
+                for title, level, lines in SECTIONS[kind](clean):
+                    text = "\n".join(x for i, x in enumerate(lines) if x and (i == 0 or x != lines[i - 1]))
+                    mark = f"{title}|{text[:80]}".casefold()
+                    if text and mark not in told:
+                        told.add(mark)
+                        while open_ and open_[-1][0] >= level:
+                            open_.pop()
+                        sections.append((title, level, text, open_[-1][1] if open_ else None))
+                        open_.append((level, len(sections)))
+                found = (True, [dict(zip(SECTION.names, x, strict=True)) for x in sections], [dict(zip(REFERENCE.names, x, strict=True)) for x in references(kind, whole)], line(clean), None)
+        except (ValueError, AssertionError, RecursionError) as e:
+            found = (False, [], [], "", f"{type(e).__name__}: {e}"[:500])
+    return {"s": dict(zip(LISTED.names, found, strict=True)), "p": html.features(page, whole)}
+
+
+def _read_pages(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    return in_pieces(batches, _read_page, to_arrow_type(READ))
+
+
+def read_page(site: Column, page: Column) -> Column:
+    return F.arrow_udf(_read_pages, READ)(site, page)
 
 
 def reference_lines(items: Column) -> Column:
@@ -243,8 +250,8 @@ def parse_articles(pages: DataFrame, id_col: str, url_col: str, html_col: str) -
     A known layout counts if it gave any text, else the general parser's result does.
     """
     site = urls.site_kind(F.col(url_col))
-    read = pages.select(F.col(id_col).alias("id"), site.alias("site"), listed(site, F.col(html_col)).alias("s"), html.page_features(F.col(html_col)).alias("p"))
-    general = html.judged(read.select("id", "site", "s", "p.*"))
+    read = pages.select(F.col(id_col).alias("id"), site.alias("site"), read_page(site, F.col(html_col)).alias("r"))
+    general = html.judged(read.select("id", "site", "r.s", "r.p.*"))
     known = F.col("s.found") & ((F.size("s.sections") > 0) | (F.col("s.plain") != ""))
     number = lambda i: F.format_string("s%02d", i)
     titled = F.transform("s.sections", lambda x, i: F.struct(number(i + 1).alias("id"), heading_title(x["title"]).alias("title"), heading_kind(x["title"]).alias("kind"), heading_number(x["title"]).alias("number"), x["level"].alias("level"), F.when(x["parent"].isNotNull(), number(x["parent"])).alias("parent_id"), x["text"].alias("text")))
