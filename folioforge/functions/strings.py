@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: All characters that count as white space, and their class for Java's regular expressions, which has a faster test for
-#: a plain class than for \\s with Unicode rules.
+#: a plain class than for \\s with Unicode rules: one for all below 256 that stand alone, and one for each range or character above.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-WS = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "]"
+WS = "[" + "".join(f"\\u{ord(c):04x}" for c in SPACES if c < "\u0100") + "\\u1680\\u2000-\\u200a\\u2028-\\u2029\\u202f\\u205f\\u3000]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -44,7 +44,7 @@ def plain_whitespace(c: Column, normalize=nfkc) -> Column:
     s = normalize(text(c))
     s = F.translate(F.translate(s, "\u00a0", " "), "\u00ad\u200b\u200c\u200d\ufeff", "")
     s = F.regexp_replace(s, r"\r\n?", "\n")
-    s = F.regexp_replace(s, rf"[{WS[1:-1]}&&[^\n]]++(?=\n|\z)", "")
+    s = F.regexp_replace(s, WS.replace("\\u000a", "") + r"++(?=\n|\z)", "")
     s = F.regexp_replace(s, r"[ \t\f\x0B]+", " ")
     return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
